@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_round_trip
 from .exact_dedup import OP3_SQL, op3_grace_dedup
+from .minhash import op7_minhash_bayes
 
 
 def queries() -> dict:
-    return {"op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip}
+    return {"op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip, "op7_minhash_bayes": op7_minhash_bayes}
 
 
 def oracle_sql() -> dict[str, str]:
