@@ -132,3 +132,17 @@ def in_chunks(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096, mb: fl
             yield rows_to_batch(some, schema)
             some, load = [], 0
     yield rows_to_batch(some, schema)
+
+
+def pass_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows of docs for which decide(list of texts as bytes) says True, with all their columns and no shuffle."""
+    packed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    row = packed.schema["row"].dataType
+
+    def run(batches):
+        for b in batches:
+            mask = decide(bytes_of(b.column(0)))
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(mask, pa.bool_()))], names=["row"])
+
+    kept = packed.mapInArrow(run, "row " + row.simpleString())
+    return kept.select(*[F.col("row").getField(f.name).alias(f.name) for f in row.fields])

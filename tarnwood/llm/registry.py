@@ -5,10 +5,11 @@ from __future__ import annotations
 from .bpe import op5_bpe_round_trip
 from .exact_dedup import OP3_SQL, op3_grace_dedup
 from .minhash import op7_minhash_bayes
+from .toxicity import op8_toxicity_mil
 
 
 def queries() -> dict:
-    return {"op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip, "op7_minhash_bayes": op7_minhash_bayes}
+    return {"op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip, "op7_minhash_bayes": op7_minhash_bayes, "op8_toxicity_mil": op8_toxicity_mil}
 
 
 def oracle_sql() -> dict[str, str]:
