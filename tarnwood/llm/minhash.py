@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 5
 STEP, MISS = 32, 1e-6
 #: Nodes that one side of a block comparison holds.
 BLOCK = 128
+#: Orders of nodes by which buckets choose their leader: a node meets as many different ones of a large class.
+LEADERS = 4
 #: Rows up to which ids are broadcast (24 bytes each, so 5 MB); beyond them they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -254,8 +256,9 @@ def links(docs: DataFrame, sk: DataFrame, words: int, percent: int) -> DataFrame
     reps = stash(sk.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
     size = 4 * ROWS
     bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * size + 1, F.lit(size))))
-    bands = reps.select(F.explode(bucket).alias("bucket"), "node")
-    leaders = stash(bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1"), "leaders")
+    bands = reps.select(F.posexplode(bucket).alias("band", "bucket"), "node")
+    first_of = F.min_by("node", F.xxhash64("node", F.col("band") % LEADERS))  # a band's number is the same all over a bucket
+    leaders = stash(bands.groupBy("bucket").agg(first_of.alias("leader"), F.count("*").alias("c")).where("c > 1"), "leaders")
     inside = stash(bands.join(leaders, "bucket").where("node <> leader"), "inside")
     of = lambda node, *cols: reps.select(F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in cols])
     pairs = inside.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
