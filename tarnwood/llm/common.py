@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch holds at most. A batch of very long documents stays far below a worker's memory.
 BATCH_ROWS = 256
 #: Entries of a worker's word cache; when it is full it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 5
 #: Hashes of a signature that one step of the sequential test compares; its miss probability for each pair and step.
 STEP, MISS = 32, 1e-6
 #: Nodes that one side of a block comparison holds.
-BLOCK = 128
+BLOCK = 512
 #: Orders of nodes by which buckets choose their leader: a node meets as many different ones of a large class.
 LEADERS = 4
 #: Rows up to which ids are broadcast (24 bytes each, so 5 MB); beyond them they are joined by a shuffle.

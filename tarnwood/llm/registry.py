@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe_round_trip
+from .decontaminate import op1_lsa_decontamination
 from .exact_dedup import OP3_SQL, op3_grace_dedup
 from .lm import op9_lm_bloom
 from .minhash import op7_minhash_bayes
@@ -11,8 +12,8 @@ from .toxicity import op8_toxicity_mil
 
 
 def queries() -> dict:
-    return {"op2_pii_semicrf": op2_pii_semicrf, "op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip, "op7_minhash_bayes": op7_minhash_bayes, "op8_toxicity_mil": op8_toxicity_mil, "op9_lm_bloom": op9_lm_bloom}
+    return {"op1_lsa_decontamination": op1_lsa_decontamination, "op2_pii_semicrf": op2_pii_semicrf, "op3_grace_dedup": op3_grace_dedup, "op5_bpe_round_trip": op5_bpe_round_trip, "op7_minhash_bayes": op7_minhash_bayes, "op8_toxicity_mil": op8_toxicity_mil, "op9_lm_bloom": op9_lm_bloom}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pii_semicrf": op2_pii_semicrf, "op3_grace_dedup": OP3_SQL}
+    return {"op1_lsa_decontamination": op1_lsa_decontamination, "op2_pii_semicrf": op2_pii_semicrf, "op3_grace_dedup": OP3_SQL}
