@@ -13,7 +13,7 @@ _EXT = "CASE l_partkey % 10 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.js
 
 #: One finding for each order line.
 FINDINGS = f"""
-SELECT ((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey AS pos,
+SELECT (((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS pos,
   'src/' || CAST(l_suppkey % 7 AS STRING) || CASE WHEN l_partkey % 13 = 0 THEN '/tests' ELSE '' END || '/f' || CAST(l_partkey % 50 AS STRING) || {_EXT} AS path,
   l_linenumber * 10 + l_partkey % 40 AS line, l_suppkey % 80 + 1 AS col,
   CASE l_returnflag WHEN 'R' THEN 'HIGH' WHEN 'A' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
@@ -58,7 +58,7 @@ FROM {orders}
 
 #: Decisions on findings, and rules that suppress by rule, rule in a file or file.
 TRIAGE = """
-SELECT ((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey AS pos, CASE l_partkey % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'fixed' WHEN 2 THEN 'accepted_risk' ELSE 'investigating' END AS state, 'note ' || CAST(l_partkey AS STRING) AS note
+SELECT (((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS pos, CASE l_partkey % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'fixed' WHEN 2 THEN 'accepted_risk' ELSE 'investigating' END AS state, 'note ' || CAST(l_partkey AS STRING) AS note
 FROM {lineitem} WHERE l_orderkey % 9 = 1
 """
 RULES = """
@@ -78,7 +78,7 @@ SELECT p_partkey AS fid, CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go
 FROM {part}
 """
 CALL_SITES = """
-SELECT ((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey AS site, l_partkey AS caller, 'm' || CAST((l_partkey * 7 + l_linenumber) % 730 AS STRING) AS name, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS INT) END AS arity,
+SELECT (((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS site, l_partkey AS caller, 'm' || CAST((l_partkey * 7 + l_linenumber) % 730 AS STRING) AS name, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS INT) END AS arity,
   CASE WHEN l_suppkey % 5 = 0 THEN 'C' || CAST(l_suppkey % 25 AS STRING) ELSE NULL END AS container_hint
 FROM {lineitem} WHERE l_orderkey % 16 = 1
 """
