@@ -7,7 +7,7 @@ collides with its template with probability 1 - (1 - s)^16, which is 0.99998 at
 of its template and holds it has about 0.7. Candidates are verified on the exact share of the template's shingles that the
 window and the quarter after it hold, CONTAINED or more.
 
-All windows of all texts are hashed, in arrays, and nothing is shuffled. Templates are few; their tables are broadcast, in
+All windows of all texts are hashed, in arrays over a batch of texts, and nothing is shuffled. Templates are few; their tables are broadcast, in
 blocks of TEMPLATES a pass.
 
 Defined cases. Null or empty text: no match. Texts shorter than a window are one window. Repeated rows: reported each. Overlapping
@@ -87,24 +87,22 @@ class Bands:
         for i in range(HASHES):
             self.flags[i, self.least[:, i] >> 16] = True
 
-    def candidates(self, shingles: np.ndarray) -> list[tuple[int, int]]:
-        """(template, first shingle of the window) for each window and template that share a band."""
-        n, s = len(shingles), self.step
-        starts = np.arange(0, max(1, n), s)
+    def candidates(self, values: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(template, first shingle of the window) for each window and template that share a band; values: of each hash over all shingles."""
+        n = len(values[0])
+        starts = np.arange(0, max(1, n), self.step)
         hit = np.zeros(len(starts), dtype=bool)
         signature = np.empty((HASHES, len(starts)), dtype=np.uint32)
         for i in range(HASHES):
-            block = np.minimum.reduceat(_values(shingles, i), starts)
+            block = np.minimum.reduceat(values[i], starts)
             least = block.copy()
-            for j in range(1, 4):  # a window is four blocks
-                np.minimum(least[: len(block) - j], block[j:], out=least[: len(block) - j]) if len(block) > j else None
+            for j in range(1, min(4, len(block))):  # a window is four blocks
+                np.minimum(least[:-j], block[j:], out=least[:-j])
             signature[i] = least
             hit |= self.flags[i, least >> 16]
-        out = []
-        for w in np.flatnonzero(hit):
-            for x in np.flatnonzero((self.least == signature[:, w]).any(axis=1)):
-                out.append((int(x), int(starts[w])))
-        return out
+        at = np.flatnonzero(hit)
+        which, window = np.nonzero((self.least[:, :, None] == signature[None, :, at]).any(axis=1))
+        return list(zip(which.tolist(), starts[at[window]].tolist(), strict=True))
 
 
 class Scanner:
@@ -117,31 +115,45 @@ class Scanner:
 
     def scan(self, text: bytes) -> dict[str, tuple[int, int, float]]:
         """license -> (matches, first word of the best, its share)."""
-        h = word_hashes(words_of(text))
-        cache: dict[int, np.ndarray] = {}
-        found: dict[str, list[tuple[int, int, float]]] = {}
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[bytes]) -> list[dict[str, tuple[int, int, float]]]:
+        """For each text; windows run over all texts end to end, verification stays within one text."""
+        words = [words_of(t) for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        begins = ends - [len(w) for w in words]
+        h = word_hashes([w for ws in words for w in ws])
+        found: list[dict[str, list[tuple[int, int, float]]]] = [{} for _ in texts]
+        k, s, values = 0, h, []
         for b in self.bands:
             if len(h) < b.k:
                 continue
-            s = cache.setdefault(b.k, windows(h, b.k))
-            for x, start in b.candidates(s):
-                t = b.some[x][1]
-                there = s[start : start + 5 * b.step]
-                inside = np.isin(there, t.shingles)
-                share = len(np.unique(there[inside])) / len(t.shingles)
-                if share >= CONTAINED:
-                    first = start + int(np.flatnonzero(inside)[0])
-                    found.setdefault(t.license, []).append((first, first + len(t.shingles) + t.k, share))
-        out = {}
-        for name, some in found.items():
-            some.sort()
-            n, end = 0, -1
-            for a, z, _ in some:
-                n += a >= end
-                end = max(end, z) if a < end else z
-            first, _, share = min(some, key=lambda m: (-m[2], m[0]))
-            out[name] = (n, first, share)
-        return out
+            if b.k != k:
+                k, s = b.k, windows(h, b.k)
+                values = [_values(s, i) for i in range(HASHES)]
+            for x, start in b.candidates(values):
+                t, stop = b.some[x][1], start + 5 * b.step
+                for d in range(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(begins, stop, "left"))):
+                    low, high = max(start, int(begins[d])), min(stop, int(ends[d]) - k + 1)
+                    if low >= high:
+                        continue
+                    there = s[low:high]
+                    inside = np.isin(there, t.shingles)
+                    share = len(np.unique(there[inside])) / len(t.shingles)
+                    if share >= CONTAINED:
+                        first = low - int(begins[d]) + int(np.flatnonzero(inside)[0])
+                        found[d].setdefault(t.license, []).append((first, first + len(t.shingles) + k, share))
+        return [{name: self.best(some) for name, some in hits.items()} for hits in found]
+
+    @staticmethod
+    def best(some: list[tuple[int, int, float]]) -> tuple[int, int, float]:
+        some.sort()
+        n, end = 0, -1
+        for a, z, _ in some:
+            n += a >= end
+            end = max(end, z) if a < end else z
+        first, _, share = min(some, key=lambda m: (-m[2], m[0]))
+        return n, first, share
 
 
 def scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +174,8 @@ def scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text_col: str
             scanner = Scanner(templates_of(block))
             for b in batches:
                 texts = b.column(1).cast(pa.binary()).to_pylist()
-                yield rows_to_batch([(d, name, *m) for d, t in zip(b.column(0).to_pylist(), texts, strict=True) for name, m in sorted(scanner.scan(t).items())], schema)
+                found = scanner.scan_all(texts)
+                yield rows_to_batch([(d, name, *m) for d, hits in zip(b.column(0).to_pylist(), found, strict=True) for name, m in sorted(hits.items())], schema)
 
         out = out.unionByName(id_and_text(docs, id_col, text_col).mapInArrow(run, kind))
     return out
