@@ -151,3 +151,60 @@ def _(h):
     changed = h.edges.where("dst % 30 = 1")
     ids = changed.select(F.col("src").alias("fid")).union(changed.select("dst")).distinct()
     return h.functions.join(ids, "fid", "left_semi").select("namespace").distinct()
+
+
+BODY = "(SELECT src // 20 AS body, src, dst FROM edges WHERE src // 20 = dst // 20 UNION SELECT src // 20, src // 20 * 20 + (src * 7 + dst) % 20, src // 20 * 20 + (src + dst * 3) % 20 FROM edges)"
+DOMINATORS = f"""WITH RECURSIVE e AS {BODY}, n AS (SELECT body, src AS node FROM e UNION SELECT body, dst FROM e), s AS (SELECT body, min(node) AS entry FROM n GROUP BY 1),
+r AS (SELECT s.body, b.node AS banned, s.entry AS node FROM s JOIN (SELECT body, node FROM n UNION SELECT body, -1 FROM s) b ON b.body = s.body WHERE b.node <> s.entry
+ UNION SELECT r.body, r.banned, e.dst FROM r JOIN e ON e.body = r.body AND e.src = r.node WHERE e.dst <> r.banned),
+live AS (SELECT body, node FROM r WHERE banned = -1),
+dom AS (SELECT d.body, d.node AS d, v.node AS v FROM live d JOIN live v ON v.body = d.body WHERE d.node = v.node OR d.node = (SELECT entry FROM s WHERE s.body = d.body) OR NOT EXISTS (SELECT 1 FROM r WHERE r.body = d.body AND r.banned = d.node AND r.node = v.node)),
+k AS (SELECT body, v, count(*) AS depth FROM dom GROUP BY 1, 2)
+SELECT n.body, n.node, l.node IS NOT NULL AS reachable, CASE WHEN l.node IS NULL THEN NULL WHEN n.node = s.entry THEN n.node ELSE (SELECT arg_max(dom.d, k.depth) FROM dom JOIN k ON k.body = dom.body AND k.v = dom.d WHERE dom.body = n.body AND dom.v = n.node AND dom.d <> n.node) END AS idom
+FROM n JOIN s ON s.body = n.body LEFT JOIN live l ON l.body = n.body AND l.node = n.node"""
+
+
+def bodies(h):
+    e = h.edges.withColumn("body", F.floor(F.col("src") / 20))
+    local = e.where(F.floor(F.col("dst") / 20) == F.col("body")).select("body", "src", "dst")
+    more = e.select("body", (F.col("body") * 20 + (F.col("src") * 7 + F.col("dst")) % 20).alias("src"), (F.col("body") * 20 + (F.col("src") + F.col("dst") * 3) % 20).alias("dst"))
+    return local.union(more).distinct()
+
+
+@query("g03_dominators", DOMINATORS)
+def _(h):
+    from ..operators.bodies import analyse
+
+    return analyse(bodies(h)).select("body", "node", "reachable", "idom")
+
+
+@query("g43_loops_and_frontiers")
+def _(h):
+    from ..operators.bodies import analyse
+
+    return analyse(bodies(h)).select("body", "node", "frontier", "loops")
+
+
+@query("d03_unreachable", DOMINATORS.replace("SELECT n.body, n.node, l.node IS NOT NULL AS reachable, CASE", "SELECT body, node FROM (SELECT n.body, n.node, l.node IS NOT NULL AS reachable, CASE") + ") WHERE NOT reachable")
+def _(h):
+    from ..operators.bodies import analyse
+
+    return analyse(bodies(h)).where("NOT reachable").select("body", "node")
+
+
+@query("j29_unguarded_sinks", DOMINATORS.split("SELECT n.body, n.node")[0] + "SELECT DISTINCT v.body, v.node FROM live v WHERE v.node % 3 = 0 AND NOT EXISTS (SELECT 1 FROM dom WHERE dom.body = v.body AND dom.v = v.node AND dom.d % 4 = 1)")
+def _(h):
+    from ..operators.bodies import analyse
+
+    up = analyse(bodies(h)).where("reachable").select("body", "node", "idom")
+    tree = up.where("node <> idom").select("body", F.col("idom").alias("d"), "node")
+    # guards cover what they dominate: the dominator tree walked down from them, a level a join
+    from ..plans.storage import cut
+
+    tree = cut(tree)
+    covered = cut(up.where("node % 4 = 1").select("body", "node"))
+    new = covered
+    while not new.isEmpty():
+        new = cut(tree.join(new.withColumnRenamed("node", "d"), ["body", "d"]).select("body", "node").distinct().join(covered, ["body", "node"], "left_anti"))
+        covered = cut(covered.unionByName(new))
+    return up.where("node % 3 = 0").select("body", "node").join(covered, ["body", "node"], "left_anti")
