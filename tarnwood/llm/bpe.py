@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, rows_to_batch, small_batches
 
 #: Bytes of the widest matrix row; cells of a matrix; pieces that a worker's cache holds.
-WIDEST, CELLS, CACHED = 128, 1 << 19, 300_000
+WIDEST, CELLS, CACHED = 128, 1 << 19, 200_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -31,7 +31,7 @@ TRAIN_DOCS, CANDIDATES, FEATURES, LEAST_DOCS = 20_000, 20_000, 4_000, 4
 THRESHOLD = 0.7
 #: The held-out third: this remainder of crc32(id) by 3.
 FOLDS, HELD_OUT = 3, 1
-CACHE = 300_000
+CACHE = 150_000
 
 _SENTENCES = re.compile(r"[.!?\n]+").split
 _EDGES = ".,;:!?\"'()[]{}<>|*%&#$@+-=_~^/\\`"
@@ -137,22 +137,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 rows.append((y, plain, hits))
             yield rows_to_batch(rows, pa.schema([("y", pa.int32()), ("plain", pa.int64()), ("hits", pa.list_(pa.list_(pa.int32())))]))
 
-    got = train.select("text", "toxic").mapInArrow(bags, "y int, plain long, hits array<array<int>>").groupBy("y", "plain", "hits").agg(F.count("*").alias("n")).collect()
-    return _train([(r.y, r.plain, r.hits, r.n) for r in sorted(got, key=lambda r: (r.y, r.plain, r.hits))], chosen_features, steps)
+    got = train.select("text", "toxic").mapInArrow(bags, "y int, plain long, hits array<array<int>>").groupBy("y", "plain", "hits").agg(F.count("*").alias("n"))
+    return _train(got.orderBy("y", "plain", "hits").toArrow().combine_chunks(), chosen_features, steps)
 
 
-def _train(bags: list[tuple], names: list[str], steps: int) -> Model:
-    """Full-batch Adam on the noisy-or likelihood; a bag is (y, sentences without features, feature lists, weight)."""
-    y, plain, weight = (np.array([b[i] for b in bags], dtype=float) for i in (0, 1, 3))
-    bag = np.array([i for i, b in enumerate(bags) for _ in b[2]], dtype=np.int64)
-    inst = np.array([j for j, s in enumerate(s for b in bags for s in b[2]) for _ in s], dtype=np.int64)
-    feat = np.array([f for b in bags for s in b[2] for f in s], dtype=np.int64)
+def _train(bags: pa.Table, names: list[str], steps: int) -> Model:
+    """Full-batch Adam on the noisy-or likelihood; a bag is (y, sentences without features, feature lists, weight).
+
+    The bags stay in Arrow and numpy arrays: as Python objects they would take many times the space.
+    """
+    y, plain, weight = (bags.column(c).to_numpy().astype(float) for c in ("y", "plain", "n"))
+    hits = bags.column("hits")
+    hits = hits.chunk(0) if hits.num_chunks else pa.array([], pa.list_(pa.list_(pa.int32())))
+    inner = hits.flatten()
+    bag = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    inst = np.repeat(np.arange(len(inner)), inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    feat = inner.flatten().to_numpy().astype(np.int64)
     w, bias, total = np.zeros(len(names)), -6.0, weight.sum()
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(inst, w[feat], minlength=len(bag))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        log_q = -np.bincount(bag, np.logaddexp(0, z), minlength=len(bags)) - plain * np.logaddexp(0, bias)
+        log_q = -np.bincount(bag, np.logaddexp(0, z), minlength=len(y)) - plain * np.logaddexp(0, bias)
         q = np.exp(np.minimum(log_q, -1e-9))
         pull = weight * np.where(y > 0, -q / (1 - q), 1.0)
         per = pull[bag] * p
