@@ -189,3 +189,18 @@ def propagate_caps(edges: DataFrame, own: DataFrame, rounds: int = FIXPOINT_ROUN
 def merge_summaries(parts: DataFrame) -> DataFrame:
     """Partial summaries of one function as one: capability bits OR-ed, parameters united. Partial and final aggregates are native."""
     return parts.groupBy("fid").agg(F.bit_or("source_caps").alias("source_caps"), F.bit_or("sink_caps").alias("sink_caps"), F.array_sort(F.collect_set("param")).alias("params"))
+
+
+def alias_sets(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) as equalities -> node, label: the least member of its set. Least neighbours are taken, doubled and contracted."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
+    e = cut(both)
+    label = cut(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    while True:
+        near = e.join(label.select(F.col("node").alias("b"), F.col("label").alias("n")), "b").groupBy(F.col("a").alias("node")).agg(F.min("n").alias("n"))
+        step = label.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("n", "label")).alias("next"))
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))  # the label's own label
+        then = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) < F.col("label")).alias("moved")))
+        label = then.select("node", "label")
+        if then.where("moved").isEmpty():
+            return label
