@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from ..frontend.python_flows import facts, findings
 from .registry import query
 
-#: A small program for each document, by rule of its id; flows within a file and over files.
-_PROGRAM = F.concat(
-    F.lit("import os\n\ndef entry_"), F.col("doc_id"), F.lit("(x):\n    "),
-    F.when(F.col("doc_id") % 4 == 0, "os.system(x)").when(F.col("doc_id") % 4 == 1, F.concat(F.lit("entry_"), F.col("doc_id") - 1, F.lit("(x)"))).when(F.col("doc_id") % 4 == 2, "return int(x)").otherwise("eval(request.args.get('q'))"),
-    F.lit("\n\ndef main_"), F.col("doc_id"), F.lit("():\n    entry_"), F.col("doc_id"), F.lit("(input())\n"),
-)
+def program():
+    """A small program for each document, by rule of its id; flows within a file and over files."""
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, "os.system(x)").when(k == 1, F.concat(F.lit("entry_"), F.col("doc_id") - 1, F.lit("(x)"))).when(k == 2, "return int(x)").otherwise("eval(request.args.get('q'))")
+    head, main = F.lit("import os\n\ndef entry_"), F.lit("\n\ndef main_")
+    return F.concat(head, F.col("doc_id"), F.lit("(x):\n    "), body, main, F.col("doc_id"), F.lit("():\n    entry_"), F.col("doc_id"), F.lit("(input())\n"))
 
 
 def programs(h):
-    return h.base("documents").select(F.concat(F.lit("pkg/m"), F.col("doc_id"), F.lit(".py")).alias("path"), F.encode(_PROGRAM, "UTF-8").alias("content"))
+    return h.base("documents").select(F.concat(F.lit("pkg/m"), F.col("doc_id"), F.lit(".py")).alias("path"), F.encode(program(), "UTF-8").alias("content"))
 
 
 @query("s03_python_facts", "SELECT 'pkg/m' || doc_id || '.py' AS path, 2::BIGINT AS functions FROM documents")
