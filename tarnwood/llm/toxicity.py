@@ -3,7 +3,7 @@
 A sentence has probability sigmoid(bias + weights of its distinct words' features); a document's is the
 noisy-or of its sentences, 1 - prod(1 - p). The document likelihood trains both, so weights settle
 on the words that make sentences offend, and `locate` can point at them. Features are whole words
-and word beginnings of 3 to 8 letters, which carry a stem to forms that were never labelled.
+and word beginnings of 3 to 8 letters, which are meant to carry a stem to other forms.
 
 The model is fitted on at most TRAIN_DOCS labelled documents, those of the smallest id hashes;
 candidate features are counted over all of these on the executors, and at most FEATURES stay.
