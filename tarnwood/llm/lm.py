@@ -2,7 +2,7 @@
 
 Counting. Tasks turn texts into 64-bit token hashes, fold them in chunks and deal sorted key blocks out
 by key range; a task merges one bucket at a time. Word counts become a table; of each bucket's
-word pairs those seen twice or more go to a Bloom filter of the bucket: a pair of count c is
+word pairs all go to a Bloom filter of the bucket: a pair of count c is
 entered as (pair, 1), ..., (pair, 1 + floor(log2 c)).
 
 Scoring. The count of a pair is found by probing levels until one is absent, so it can be too high but never
@@ -38,8 +38,8 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens that a counting task folds at once; characters of input for each bucket of keys.
 CHUNK, CHARS_A_BUCKET = 2_000_000, 8_000_000
 COMMON, SHARD_BYTES = 500_000, 64_000_000
-#: Bits for each entry of the filter, probes for each entry; counts of pairs from which they are kept.
-BITS, PROBES, LEAST = 12, 4, 2
+#: Bits for each entry of the filter, probes for each entry.
+BITS, PROBES = 12, 4
 LEVELS = 40
 WEIGHT, DAMP = 0.7, 5.0
 #: Tokens that are no words: words hold no space.
@@ -136,9 +136,7 @@ def _merge(batches):
         keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
         if kind:
-            often = counts >= LEAST
-            bits = bucket_filter(keys[often], counts[often]).tobytes()
-            yield rows_to_batch([(1, bucket, int(often.sum()), bits)], _MERGED)
+            yield rows_to_batch([(1, bucket, len(keys), bucket_filter(keys, counts).tobytes())], _MERGED)
         else:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.binary())], schema=_MERGED)
 
@@ -158,7 +156,7 @@ class Shard:
     first: bool  # takes the tokens that need no bucket
 
     def count(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes; 0 for what is absent."""
+        """Quantised counts by repeated probes; 0 for what is absent, 1 for what was seen once."""
         level = np.zeros(len(keys), dtype=np.int64)
         left = np.arange(len(keys))
         for j in range(1, LEVELS):
@@ -168,7 +166,7 @@ class Shard:
             if not len(left):
                 break
             level[left] = j
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1), 0.0)
+        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Counts of frequent words, 0 for others."""

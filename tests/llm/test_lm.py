@@ -73,6 +73,15 @@ def test_counts_are_never_too_low():
     assert bucket_of(keys, 7).max() < 7
 
 
+def test_pairs_seen_once_are_held(docs):
+    model = train(docs("b c", *["a b", "c d"] * 3))
+    (s,) = lm._shards(model)
+    keys = lm.pair_keys(lm.tokens(b"b c"))[1:2]
+    assert s.count(keys, bucket_of(keys, model.buckets)).tolist() == [1.0]
+    got = {r.doc_id: r.score for r in score(docs("b c", "b a"), model).collect()}
+    assert got[0] > got[1] + 0.1
+
+
 def test_repeated_rows_null_ids_and_empty_tables(docs, sf, spark):
     df = docs("a b", "a b", "c", ids=[4, 4, None])
     got = score(df, train(df)).collect()
