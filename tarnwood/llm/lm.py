@@ -7,13 +7,12 @@ entered as (pair, 1), ..., (pair, 1 + floor(log2 c)).
 
 Scoring. The count of a pair is found by probing levels until one is absent, so it can be too high but never
 too low. P(w | v) = lambda(v) min(1, c(v, w) / c(v)) + (1 - lambda(v)) P(w), lambda(v) = WEIGHT c(v) / (c(v) + DAMP),
-for v among the frequent words; other contexts use P(w) alone. P(w) is exact for frequent words; the
-others share their mean.
+for every v seen in training, the start included; after other words it is P(w) alone. Counts of words are exact.
 
 What is broadcast: the frequent words, COMMON at most (16 bytes each), and buckets of the filter in shards of
-SHARD_BYTES at most; scores of the shards add up, one pass over the texts for each shard. The base
-score is exact for every token: counts of frequent words come from that table, those of all other
-words from a join with the word counts.
+SHARD_BYTES at most; scores of the shards add up, one pass over the texts for each shard. A pass scores the
+tokens whose word and context are both frequent. It hands on the others with the counts of their pairs, and they are scored
+when a join with the word counts has brought the counts of the other words; the base score takes them from there too.
 
 Defined cases. Null text: empty, a single end token. Null ids: held out, so not learned from. Repeated rows: each counts
 when learning and is scored. Empty tables: no rows; without training rows all tokens are unknown.
@@ -150,7 +149,7 @@ class Shard:
     starts: np.ndarray  # by bucket: first byte in bits, -1 if it is in another shard
     sizes: np.ndarray  # by bucket: bits
     bits: np.ndarray
-    mean: float  # count of the other words on average
+    others: float  # known words beside the frequent ones; without any, what is not among these is unknown
     docs: float  # training documents, the count of the start
     divisor: float
     first: bool  # takes the tokens that need no bucket
@@ -177,47 +176,84 @@ class Shard:
         return np.where(self.words[at] == words, self.counts[at], 0).astype(float)
 
 
-_SCORED = "rid long, doc_id long, n_tokens long, n_common long, common_log double, score double, rare array<long>"
+#: What a pass hands on: a text's other words, and of each token left open the places there (-1: none) and counts of context and word, and the count of the pair.
+_PASSED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double, words array<long>, before array<int>, token array<int>, n_before array<double>, n_token array<double>, n_pair array<double>"
+_SCORED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double"
 
 
-def _score(shard):
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common_log", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+def log_p(before: np.ndarray, token: np.ndarray, pair: np.ndarray, divisor: float) -> np.ndarray:
+    """log10 P(w | v) from the counts of v, w and the pair."""
+    lam = WEIGHT * before / (before + DAMP)
+    return np.log10(lam * np.minimum(1.0, pair / np.maximum(before, 1.0)) + (1 - lam) * (token + 0.5) / divisor)
+
+
+def _score(shard, part: int):
+    floats, ints = pa.list_(pa.float64()), pa.list_(pa.int32())
+    schema = pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("before", ints), ("token", ints), ("n_before", floats), ("n_token", floats), ("n_pair", floats)])
 
     def run(batches):
         s: Shard = shard.value
         rid = TaskContext.get().partitionId() << 33
-        for b in batches:
-            seqs = [tokens(t) for t in bytes_of(b.column(1))]
-            if not seqs:
-                continue
+
+        def rows(ids, seqs):
+            nonlocal rid
             n = np.array([len(x) for x in seqs])
             doc = np.repeat(np.arange(len(seqs)), n)
             flat = np.concatenate(seqs)
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             words, inverse = np.unique(flat, return_inverse=True)
             c = s.exact(words)[inverse]
-            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             before = np.concatenate(([0.0], c[:-1]))
             before[starts] = s.docs
             keys = np.concatenate([pair_keys(x) for x in seqs])
             bucket = bucket_of(keys, len(s.starts))
-            plain = (np.where(c > 0, c, s.mean) + 0.5) / s.divisor
-            here = (s.starts[bucket] >= 0) & (before > 0)
-            if s.first:
-                here |= before <= 0
-            at = np.flatnonzero(here & (before > 0))
+            here = s.starts[bucket] >= 0
+            token_open = (c <= 0) & (s.others > 0)
+            before_open = np.concatenate(([False], token_open[:-1]))
+            before_open[starts] = False
+            at = np.flatnonzero(here & ((before > 0) | before_open))
             pair = np.zeros(len(flat))
             pair[at] = s.count(keys[at], bucket[at])
-            lam = WEIGHT * before / (before + DAMP)
-            p = lam * np.minimum(1.0, pair / np.maximum(before, 1.0)) + (1 - lam) * plain
-            score = np.bincount(doc, np.where(here, np.log10(p), 0.0), minlength=len(seqs))
-            common = c > 0
-            log_c = np.bincount(doc, np.where(common, np.log10(np.where(common, c, 1) + 0.5), 0.0), minlength=len(seqs))
-            n_common = np.bincount(doc, common, minlength=len(seqs)).astype(np.int64)
-            rare = flat.view(np.int64)[~common]
-            cut = np.concatenate(([0], np.cumsum(n - n_common)))
-            rows = [(rid + i, d, int(n[i]), int(n_common[i]), float(log_c[i]), float(score[i]), rare[cut[i] : cut[i + 1]] if s.first else None) for i, d in enumerate(b.column(0).to_pylist())]
-            rid += len(rows)
-            yield from in_chunks(iter(rows), schema)
+            still = token_open | before_open
+            score = np.bincount(doc, np.where(here & ~still, log_p(before, c, pair, s.divisor), 0.0), minlength=len(seqs))
+            shut = here & ~token_open
+            base = np.bincount(doc, np.where(shut, np.log10(c + 0.5), 0.0), minlength=len(seqs))
+            known = np.bincount(doc, shut & (c > 0), minlength=len(seqs)).astype(np.int64)
+            left = np.flatnonzero(here & still)
+            cut = np.searchsorted(left, np.concatenate((starts, [len(flat)])))
+            for i, d in enumerate(ids):
+                x = left[cut[i] : cut[i + 1]]
+                t, b = x[token_open[x]], x[before_open[x]]
+                own, place = np.unique(np.concatenate((flat[t], flat[b - 1])), return_inverse=True)
+                to, bo = np.full(len(x), -1, np.int32), np.full(len(x), -1, np.int32)
+                to[token_open[x]], bo[before_open[x]] = place[: len(t)], place[len(t) :]
+                yield rid, part, d, int(n[i]), int(known[i]), float(base[i]), float(score[i]), own.view(np.int64), bo, to, before[x], c[x], pair[x]
+                rid += 1
+
+        for b in batches:
+            seqs = [tokens(t) for t in bytes_of(b.column(1))]
+            if seqs:
+                yield from in_chunks(rows(b.column(0).to_pylist(), seqs), schema, weight=lambda r: 8 * len(r[7]) + 32 * len(r[8]))
+
+    return run
+
+
+def _finish(divisor: float):
+    """Passed rows with (place, n) of the words that the join found -> rows whose tokens are all scored."""
+    schema = pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for rid, part, d, n, known, base, score, size, before, token, n_before, n_token, n_pair, got in zip(*([*c] for c in b.columns), strict=True):
+                counts = np.zeros(size.as_py() + 1)  # the last is for places of -1
+                if got.is_valid:
+                    counts[got.values.field("k").to_numpy()] = got.values.field("n").to_numpy()
+                at, of = token.values.to_numpy(), before.values.to_numpy()
+                c, v = n_token.values.to_numpy() + counts[at], n_before.values.to_numpy() + counts[of]
+                more, c_open = log_p(v, c, n_pair.values.to_numpy(), divisor).sum(), c[at >= 0]
+                out.append((rid.as_py(), part.as_py(), d.as_py(), n.as_py(), known.as_py() + int((c_open > 0).sum()), base.as_py() + float(np.log10(c_open + 0.5).sum()), score.as_py() + float(more)))
+            yield rows_to_batch(out, schema)
 
     return run
 
@@ -266,7 +302,7 @@ def _shards(model: LanguageModel) -> Iterator[Shard]:
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     sizes = dict(model.filters.select("bucket", "bytes").collect())
-    rare_tokens, rare_types = model.train_tokens - int(counts.sum()), model.types - len(words)
+    others = model.types - len(words)
     plan: list[list[int]] = [[]]
     load = 0
     for b in sorted(sizes):
@@ -285,7 +321,7 @@ def _shards(model: LanguageModel) -> Iterator[Shard]:
         if k == len(plan) - 1:  # buckets without any pair: a shared empty one, in the last shard
             starts[[b for b in range(model.buckets) if b not in sizes]] = len(bits)
             bits += bytes(8)
-        yield Shard(words, counts, starts, bits_of, np.frombuffer(bytes(bits), np.uint8), rare_tokens / max(1, rare_types), float(model.docs), max(model.divisor, 1.0), k == 0)
+        yield Shard(words, counts, starts, bits_of, np.frombuffer(bytes(bits), np.uint8), float(others), float(model.docs), max(model.divisor, 1.0), k == 0)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,25 +329,23 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     small_batches(spark)
     texts = id_and_text(docs, id_col, text_col)
-    first, rest = None, []
-    for shard in _shards(model):
+    parts = None
+    for k, shard in enumerate(_shards(model)):
         held = spark.sparkContext.broadcast(shard)
-        part = stash(texts.mapInArrow(_score(held), _SCORED), "scores")
+        part = stash(texts.mapInArrow(_score(held, k), _PASSED), "scores")
         held.unpersist()
-        if first is None:
-            first = part
-        else:
-            rest.append(part.select("rid", F.col("score").alias("more")))
-    if rest:
-        more = rest[0]
-        for x in rest[1:]:
-            more = more.unionByName(x)
-        first = first.join(more.groupBy("rid").agg(F.sum("more").alias("more")), "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
-    rare = first.select("rid", F.explode("rare").alias("word")).join(model.vocabulary.where(F.col("n") < model.least_common), "word")
-    rare = rare.groupBy("rid").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + 0.5)).alias("rare_log"))
-    k = F.coalesce("k", F.lit(0))
-    base = F.col("common_log") + F.coalesce("rare_log", F.lit(0.0)) + (F.col("n_tokens") - F.col("n_common") - k) * log10(0.5) - F.col("n_tokens") * log10(max(model.divisor, 1e-300))
-    return first.drop("rare").join(rare, "rid", "left").select("doc_id", "n_tokens", (F.col("n_common") + k).alias("n_known"), base.alias("base_score"), "score")
+        parts = part if parts is None else parts.unionByName(part)
+    if model.least_common > 1:  # some words are not among the frequent ones
+        others = parts.select("rid", "part", F.posexplode("words").alias("k", "word")).join(model.vocabulary.where(F.col("n") < model.least_common), "word")
+        others = others.groupBy("rid", "part").agg(F.collect_list(F.struct("k", "n")).alias("got"))
+        cols = [F.col(c) if c != "words" else F.size("words").alias("size") for c in parts.columns]
+        done = parts.join(others, ["rid", "part"], "left").select(*cols, "got").mapInArrow(_finish(max(model.divisor, 1.0)), _SCORED)
+    else:
+        done = parts.select("rid", "part", "doc_id", "n_tokens", "n_known", "base_log", "score")
+    if k:
+        done = done.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base_log", "score")])
+    base = F.col("base_log") - F.col("n_tokens") * log10(max(model.divisor, 1e-300))
+    return done.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), "score")
 
 
 def op9_lm_bloom(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,20 @@ def test_pairs_seen_once_are_held(docs):
     assert got[0] > got[1] + 0.1
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
+    df = docs(None, "", *(f"the cat{i % 5} sat on mat{i % 3} u{i}" for i in range(50)))
+    new = docs("u1 the", "zz u2 u3 zz", "cat1 sat on u7 mat2", "", ids=[1, 1, None, 3])
+    run = lambda some: sorted(((r.doc_id or -1, r.n_tokens, r.n_known), r.base_score, r.score) for r in score(some, train(df)).collect())
+    want = [run(df), run(new)]
+    monkeypatch.setattr(lm, "COMMON", 4)
+    assert train(df).least_common > 1
+    for shard_bytes in (64_000_000, 30):
+        monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+        for got, exact in zip([run(df), run(new)], want, strict=True):
+            assert [x[0] for x in got] == [x[0] for x in exact]
+            assert [y for x in got for y in x[1:]] == pytest.approx([y for x in exact for y in x[1:]], rel=1e-9)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(docs, sf, spark):
     df = docs("a b", "a b", "c", ids=[4, 4, None])
     got = score(df, train(df)).collect()
