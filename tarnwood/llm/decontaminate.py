@@ -5,9 +5,11 @@
 2. A randomised SVD of the TF-IDF matrix of passages (the items, and the passages of at most SAMPLE documents of the smallest id
    hashes) gives at most RANK right singular vectors; products with the matrix are made on the executors, which send
    back blocks of vocabulary x rank numbers.
-3. Every whole text is cut into overlapping windows at scales that hold an item whole. All windows are projected that hold HITS of these words (a half
-   of an item's words holds them all but surely), none is sampled; those of cosine COSINE or more to an item are candidates if they share HITS of its
-   words with the item.
+3. Every whole text is cut into overlapping windows at scales that hold an item whole; none is sampled. Windows that hold HITS of these words
+   are projected, and those of cosine COSINE or more to an item that share HITS of its words with it are candidates. So is each window
+   that a bound cannot rule out: a subsequence of m of an item's n words leaves out n - m of them at most, so m - k of them stand among the words beside
+   the k commonest; the same holds for the words of the answer. Words of a window that are in these sets are counted for all
+   items at once. Each match at the bounds of step 4 is a candidate in this way, whatever its cosine.
 4. A candidate's longest common subsequence with the item, in words, is taken over the window and its surroundings. A
    document is contaminated at a share of COPY of the item, or, as a paraphrase, at a share of PARAPHRASE if it
    also holds ANSWER of the item's last sentence's words.
@@ -37,6 +39,8 @@ from .common import discard, id_and_text, pass_rows, rows_to_batch, small_batche
 RARE, ANCHORS, SAMPLE, RANK, OVERSAMPLE, POWERS = 0.004, 8, 3_000, 192, 16, 2
 HITS, COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 2, 0.25, 0.7, 0.5, 0.8, 8
 ITEMS, LEAST_WINDOW = 4_000, 32
+#: Cells (blocks of a text x items) that are counted at once.
+SLAB = 1_000_000
 #: ASCII marks part words; everything else is part of one.
 _MARKS = bytes.maketrans(b".,;:!?\"'()[]{}<>|*%&#$@+-=_~^/\\`", b" " * 32)
 
@@ -88,6 +92,55 @@ def items_of(rows) -> list[Item]:
     return out
 
 
+def least(share: float, n: int) -> int:
+    """The smallest count c with c / n of at least share."""
+    return next(c for c in range(n + 1) if c / n >= share)
+
+
+def beside_common(counts: list[tuple[bytes, int]], need: int, stay: int) -> tuple[set[bytes], int]:
+    """(word, times) from the commonest on, `need` of which are held: words without the commonest, and how many of them are held at least; this is stay or more, if need is."""
+    words, left = dict(counts), need
+    for w, k in counts:
+        if left - k < stay:
+            break
+        left -= k
+        del words[w]
+    return set(words), left
+
+
+@dataclass
+class Bounds:
+    """Necessary counts for the items of one scale."""
+
+    which: np.ndarray  # numbers of the items
+    body: tuple[np.ndarray, np.ndarray]  # by telling word: borders into the list of places in which; items that hold it beside their commonest words
+    answer: tuple[np.ndarray, np.ndarray]  # the same of the answers
+    needs: np.ndarray  # 3 x items: of the body for a paraphrase, of the answer for it, of the body for a copy
+
+
+def bounds_of(items: list[Item], df: dict[bytes, int]) -> tuple[dict[bytes, int], dict[int, Bounds]]:
+    """Numbers of the telling words, and bounds by scale."""
+    rows = []
+    for x in items:
+        n, a = len(x.words), len(x.answer)
+        common = sorted(x.masks, key=lambda w: (-df[w], w))
+        half, copy = (n, n) if n < SHORT else (least(PARAPHRASE, n), least(COPY, n))
+        body, left = beside_common([(w, x.masks[w].bit_count()) for w in common], half, max(1, n // 8))
+        said = 0 if n < SHORT else least(ANSWER, a)
+        answer, said_left = beside_common([(w, 1) for w in common if w in x.answer], said, max(1, a // 3))
+        rows.append((body, answer if said else set(), (left, said_left, left + copy - half)))
+    telling = {w: i for i, w in enumerate(sorted({w for body, answer, _ in rows for w in body | answer}))}
+    out = {}
+    for scale in sorted({x.scale for x in items}):
+        which = np.array([i for i, x in enumerate(items) if x.scale == scale])
+        lists = []
+        for part in (0, 1):
+            pairs = np.array(sorted((telling[w], k) for k, i in enumerate(which) for w in rows[i][part]), dtype=np.int64).reshape(-1, 2)
+            lists.append((np.searchsorted(pairs[:, 0], np.arange(len(telling) + 1)), pairs[:, 1].astype(np.int32)))
+        out[scale] = Bounds(which, *lists, np.array([rows[i][2] for i in which]).T)
+    return telling, out
+
+
 @dataclass
 class Index:
     items: list[Item]
@@ -95,6 +148,8 @@ class Index:
     vectors: np.ndarray = field(default=None)  # vocabulary x rank: IDF times right singular vectors
     queries: np.ndarray = field(default=None)  # items x rank, of length 1
     hits: int = HITS
+    telling: dict[bytes, int] = field(default_factory=dict)
+    bounds: dict[int, Bounds] = field(default_factory=dict)
     ids: list = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -138,8 +193,43 @@ class Index:
                         share, answer = self.compare(item, words, int(starts[a + i]))
                         if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
                             out[d][int(which[k])] = max(out[d].get(int(which[k]), (0.0, 0.0, 0.0)), (share, answer, float(cosine[i, k])))
+            for k, start in self.possible(words):
+                if out[d].get(k, (0,))[0] == 1.0:
+                    continue
+                share, answer = self.compare(self.items[k], words, start)
+                if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
+                    out[d][k] = max(out[d].get(k, (0.0, 0.0, 0.0)), (share, answer, self.cosine(k, words[start : start + self.items[k].scale])))
         return out
 
+    def possible(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(item number, first word of the window) for all windows that the bounds do not rule out; a window and its surroundings are six blocks."""
+        n = numbers_of(words, self.telling)
+        at = np.flatnonzero(n >= 0)
+        known = n[at]
+        for scale, b in self.bounds.items():
+            slab = max(16, SLAB // len(b.which))
+            block, last = at // (scale // 4), max(0, len(words) - 1) // (scale // 4)
+            for low in range(0, last + 1, slab):
+                high = min(low + slab, last + 1)
+                i, j = np.searchsorted(block, (low - 1, high + 4))
+                if i == j:
+                    continue
+                held = []
+                for border, places in (b.body, b.answer):
+                    begin = border[known[i:j]]
+                    size = border[known[i:j] + 1] - begin
+                    of = places[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    cells = np.bincount(np.repeat(block[i:j] - low + 2, size) * len(b.which) + of, minlength=(high - low + 6) * len(b.which))
+                    total = np.cumsum(cells.reshape(-1, len(b.which)), axis=0)
+                    held.append(total[6:] - total[:-6])
+                for s, k in zip(*np.nonzero((held[0] >= b.needs[0]) & (held[1] >= b.needs[1]) | (held[0] >= b.needs[2])), strict=True):
+                    yield int(b.which[k]), int(low + s) * (scale // 4)
+
+    def cosine(self, k: int, words: list[bytes]) -> float:
+        n = numbers_of(words, self.vocabulary)
+        x = self.vectors[n[n >= 0]].sum(axis=0)
+        return float(x @ self.queries[k] / (np.sqrt((x * x).sum()) + 1e-6))
+
     def held(self, k: int) -> frozenset[int]:
         """The informative words of an item."""
         if self.ids is None:
@@ -224,6 +314,7 @@ def build(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col:
     v = q @ vectors[:, np.argsort(-values)[:rank]]
     index.vectors = (weight[:, None] * v).astype(np.float32)
     queries = np.array([index.vectors[[index.vocabulary[w] for w in x.words if w in index.vocabulary]].sum(axis=0) for x in items])
+    index.telling, index.bounds = bounds_of(items, {w: int(df[i]) for w, i in vocabulary.items()})
     index.queries = (queries / (np.sqrt((queries**2).sum(axis=1, keepdims=True)) + 1e-9)).astype(np.float32)
     return index
 

@@ -64,6 +64,42 @@ def test_empty_tables_and_repeated_rows(spark, docs):
     assert survivors(df, bench.limit(0)).count() == 3 and survivors(docs(), bench).count() == 0
 
 
+def test_paraphrases_that_keep_the_commoner_half(spark, docs):
+    """Half of the words and the last sentence stay, the rarer words are exchanged: contaminated by the bounds on subsequence and answer."""
+    mid = [f"mid{k}" for k in range(100)]  # each in 3 % of the documents
+    items = [[w for j in range(10) for w in (f"rare{i}x{j}", mid[i * 10 + j])] for i in range(10)]
+    bench = spark.createDataFrame([(i, " ".join(x[:-1]) + ". " + x[-1] + ".") for i, x in enumerate(items)], "item_id long, text string")
+    rows = [" ".join([f"own{d}x{k}" for k in range(40)] + [mid[(d * 3 + k) % 100] for k in range(3)]) for d in range(300)]
+    rows += [" ".join([f"more{i}x{k}" for k in range(60)] + [w if w in mid else f"other{i}{w}" for w in x]) for i, x in enumerate(items)]
+    assert {(r.doc_id, r.item_id) for r in matches(docs(*rows), bench).collect()} == {(300 + i, i) for i in range(10)}
+
+
+def test_bounds_rule_out_no_match(monkeypatch):
+    from tarnwood.llm import decontaminate
+    from tarnwood.llm.decontaminate import Index, bounds_of
+
+    monkeypatch.setattr(decontaminate, "SLAB", 1)
+    rng = random.Random(4)
+    vocab = [f"v{i}" for i in range(120)]
+    pick = lambda n: [vocab[min(rng.randrange(120), rng.randrange(120))] for _ in range(n)]
+    items = items_of([(i, " ".join(pick(rng.randint(0, 60))) + ". " + " ".join(pick(rng.randint(1, 12)))) for i in range(40)] + [(90, "v1 v2 v3")])
+    index = Index(items, {})
+    index.telling, index.bounds = bounds_of(items, {v.encode(): 120 - i for i, v in enumerate(vocab)})
+    found = 0
+    for _ in range(150):
+        words, x = [w.encode() for w in pick(rng.randint(0, 300))], rng.choice(items)
+        at = rng.randint(0, len(words))
+        words[at:at] = [w if rng.random() < 0.7 or i > len(x.words) - 10 else b"other" for i, w in enumerate(x.words)]
+        got = set(index.possible(words))
+        for k, y in enumerate(items):
+            for start in range(0, len(words), y.scale // 4):
+                share, answer = index.compare(y, words, start)
+                if share >= 0.7 or share >= 0.5 and answer >= 0.8:
+                    found += 1
+                    assert (k, start) in got
+    assert found > 100
+
+
 def test_query_against_brute_force(spark):
     """Recall against the exact search of every item in every document, by its words."""
     sf = "/root/testdata/sf0.01"
