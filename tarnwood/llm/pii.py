@@ -7,7 +7,7 @@ SPAN_TOKENS tokens and a kind; its features look at the whole span: shape, numbe
 separators, checksum, cue words before it. Weights are fitted by conditional likelihood
 (forward-backward over all segmentations) on windows written from format templates, PII and
 look-alikes such as dates, versions and order numbers; decoding is a dynamic program over
-(position, entities so far) with at most ENTITIES entities a window, boundaries and kinds at once.
+(position, entities so far) with as many entities as spans can end in the window, boundaries and kinds at once.
 Tokens of base spans take no part, so the two never overlap.
 
 Defined cases. Null text: empty. Texts without a span: counts of 0, the digest of the empty string and
@@ -30,7 +30,7 @@ from .common import id_and_text, rows_to_batch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the decoder.
-SPAN_TOKENS, ENTITIES, WINDOW = 16, 6, 160
+SPAN_TOKENS, WINDOW = 16, 160
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -237,16 +237,17 @@ class SemiCrf:
             s = self.score(text, borders[i], borders[j], kind)
             if s > 0:
                 ending[j].append((i, s, kind))
+        entities = sum(map(bool, ending))  # no two end at one place
         # best[k][j]: the first j tokens with k entities; the way back
-        best = [[0.0] * (n + 1)] + [[-np.inf] * (n + 1) for _ in range(ENTITIES)]
+        best = [[0.0] * (n + 1)] + [[-np.inf] * (n + 1) for _ in range(entities)]
         back: dict[tuple[int, int], tuple[int, str] | None] = {}
-        for k in range(1, ENTITIES + 1):
+        for k in range(1, entities + 1):
             for j in range(1, n + 1):
                 best[k][j] = best[k][j - 1]
                 for i, s, kind in ending[j]:
                     if best[k - 1][i] + s > best[k][j]:
                         best[k][j], back[k, j] = best[k - 1][i] + s, (i, kind)
-        k = max(range(ENTITIES + 1), key=lambda k: best[k][n])
+        k = max(range(entities + 1), key=lambda k: best[k][n])
         j, out = n, []
         while k and j:
             if (k, j) in back and best[k][j] != best[k][j - 1]:

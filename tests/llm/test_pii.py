@@ -53,6 +53,13 @@ def test_base_spans_stay_and_nothing_overlaps():
     assert all(a[1] <= b[0] for a, b in zip(every, every[1:], strict=False))
 
 
+@pytest.mark.parametrize("sep", ["\n", " ", ", ", " and "])
+def test_every_number_of_a_dense_list_is_found(sep):
+    numbers = [f"{201 + i}-555-{1000 + 37 * i}" for i in range(50)]
+    text = sep.join(numbers)
+    assert [text[s:e] for s, e, _ in find(text, trained())[1]] == numbers
+
+
 def test_long_and_odd_rows(docs):
     texts = [None, "", "1" * 100_000, "@" * 50_000, "a" * 100_000 + "@", "1.1." * 30_000, "+1" * 30_000, "(" * 50_000, "12-" * 40_000, "x@y.zz", "x@y.zz"]
     got = {r.doc_id: r for r in spans(docs(*texts)).collect()}
