@@ -6,8 +6,9 @@ tokens with, at least SIMILAR of them, and positions that differ become <*> too;
 found in LEAST_DOCS documents or more recurs, and its lines are dropped from all documents.
 
 Tasks first fold equal masked lines, so a line that a third of all documents hold leaves each task once; leaves are dealt
-out by their path. Lines of a leaf come in sorted order, so templates don't depend on partitioning. A leaf of more than LEAF
-templates is parsed on by the last token. Hashes of dropped lines are broadcast in shards of SHARD at most, one pass each.
+out by their path. Lines of a leaf come in sorted order, so templates don't depend on partitioning. A line is held against every template
+of its leaf that it can join, whatever their number: a template that shares m of n tokens shares one of any n - m + 1, so the places where the line's
+tokens are in fewest templates lead to all of them. Hashes of dropped lines are broadcast in shards of SHARD at most, one pass each.
 
 Defined cases. Null text: empty. A text without line ends is one line; blank lines are never templates and stay. A
 line repeated in one document counts once for it. Repeated rows count as documents of their own. Empty tables: no rows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, in_chunks, rows_to_batch, small_batches, stash
 
-LEAST_DOCS, SIMILAR, LEADING, DEEPER, LEAF = 3, 0.7, 3, 8, 64
+LEAST_DOCS, SIMILAR, LEADING, DEEPER = 3, 0.7, 3, 8
 #: Hashes in one broadcast (8 bytes each, 16 for counting); masked lines that a task folds at once, in characters.
 SHARD, FOLD = 1_000_000, 24_000_000
 _FIELD = re.compile(r"\S*[0-9]\S*")
 _DIGIT = re.compile(r"[0-9]").search
 WILD = "<*>"
+_NONE: frozenset[int] = frozenset()
 
 
 def mask(line: str) -> str:
@@ -54,18 +57,24 @@ def line_hash(masked: str) -> int:
 def grow(lines: list[tuple[str, int]]) -> list[tuple[list[str], list[str], int]]:
     """(masked line, documents) of one leaf, sorted -> (template, its masked lines, documents at most)."""
     found: list[list] = []
-    by_last: dict[str, list[list]] = {}
+    by_token: dict[tuple[int, str], set[int]] = {}  # templates with a token at a place
     for masked, n in lines:
         tokens = masked.split(" ")
         best, most = None, SIMILAR * len(tokens)
-        for t in found if len(found) <= LEAF else by_last.get(tokens[-1], ()):
-            same = sum(map(str.__eq__, t[0], tokens))
+        few = sorted((by_token.get(x, _NONE) for x in enumerate(tokens)), key=len)[: len(tokens) - ceil(most) + 1]
+        for i in sorted(set().union(*few)):
+            same = sum(map(str.__eq__, found[i][0], tokens))
             if same >= most and (best is None or same > most):
-                best, most = t, same
+                best, at, most = found[i], i, same
         if best is None:
-            found.append(t := [tokens, [masked], n])
-            by_last.setdefault(tokens[-1], []).append(t)
+            for x in enumerate(tokens):
+                by_token.setdefault(x, set()).add(len(found))
+            found.append([tokens, [masked], n])
         else:
+            for j, (a, b) in enumerate(zip(best[0], tokens, strict=True)):
+                if a != b and a != WILD:
+                    by_token[j, a].discard(at)
+                    by_token.setdefault((j, WILD), set()).add(at)
             best[0] = [a if a == b else WILD for a, b in zip(best[0], tokens, strict=True)]
             best[1].append(masked)
             best[2] += n

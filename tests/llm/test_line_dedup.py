@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 from tarnwood.llm import line_dedup
@@ -58,6 +59,31 @@ def test_fields_become_wild():
     assert template == ["user", WILD, "logged", "in", "now"] and len(members) == 2 and n == 3
 
 
+def test_a_busy_leaf_compares_with_every_template():
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    busy = [f"{WILD} {WILD} {WILD} {' '.join(name(100 * i + j) for j in range(4))}" for i in range(200)]
+    users = [f"{WILD} {WILD} {WILD} login of user {name(i)}" for i in range(90, 99)]
+    lines = sorted((x, 1) for x in busy + users)
+    got = grow(lines)
+    assert sorted(len(members) for _, members, _ in got) == [1] * 200 + [9]
+    assert [f"{WILD} {WILD} {WILD} login of user {WILD}".split()] == [t for t, members, _ in got if len(members) > 1]
+
+
+def test_the_index_loses_no_template():
+    rng = random.Random(3)
+    lines = sorted({" ".join(rng.choice(["a", "b", "c", "d", WILD]) for _ in range(9)): rng.randint(1, 3) for _ in range(600)}.items())
+    found = []
+    for masked, n in lines:
+        tokens = masked.split(" ")
+        same = [sum(a == b for a, b in zip(t[0], tokens, strict=True)) for t in found]
+        if same and max(same) >= line_dedup.SIMILAR * 9:
+            t = found[same.index(max(same))]
+            t[:] = [[a if a == b else WILD for a, b in zip(t[0], tokens, strict=True)], [*t[1], masked], t[2] + n]
+        else:
+            found.append([tokens, [masked], n])
+    assert grow(lines) == [tuple(t) for t in found] and len(found) > 64
+
+
 def test_empty_table_and_repeated_rows(docs):
     assert run(docs()) == []
     assert [r[2] for r in run(docs("same line", "same line", "same line", ids=[1, 1, None]).na.fill(0, ["doc_id"]))] == [1, 1, 1]
