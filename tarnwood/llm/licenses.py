@@ -3,8 +3,9 @@
 Every template has windows of its own length: WIDE times its words, starting every quarter of that, so one window
 always holds an occurrence whole. A window's signature is the least value of each of HASHES functions over its shingles
 of min(5, words of the template) words, taken from block minima of quarters. Bands are single rows: a window of similarity s
-collides with its template with probability 1 - (1 - s)^16, which is 0.99998 at s = 0.5; a window that is four thirds
-of its template and holds it has about 0.7. Candidates are verified on the exact share of the template's shingles that the
+collides with its template with probability 1 - (1 - s)^16, which is 0.99998 at s = 0.5. A short template has few
+shingles for its words; where a window that holds it whole is of less than ALIKE to it, every window with one of its shingles is a candidate, without
+bands, so nothing is lost. Candidates are verified on the exact share of the template's shingles that the
 window and the quarter after it hold, CONTAINED or more.
 
 All windows of all texts are hashed, in arrays over a batch of texts, and nothing is shuffled. Templates are few; their tables are broadcast, in
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, rows_to_batch, small_batches, windows, word_hashes
 
-HASHES, WIDE, CONTAINED, SHINGLE, TEMPLATES = 16, 4 / 3, 0.8, 5, 500
+HASHES, WIDE, CONTAINED, SHINGLE, TEMPLATES, ALIKE = 16, 4 / 3, 0.8, 5, 500, 0.5
 _RNG = np.random.RandomState(41)
 _A = (_RNG.randint(0, 2**31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _RNG.randint(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
@@ -82,14 +83,23 @@ class Bands:
 
     def __init__(self, some: list[tuple[int, Template]]):
         self.some, self.k, self.step = some, some[0][1].k, some[0][1].step
-        self.least = np.array([[_values(t.shingles, i).min() for i in range(HASHES)] for _, t in some], dtype=np.uint32)
+        short = [len(t.shingles) < ALIKE * 4 * self.step for _, t in some]
+        self.short, self.long = np.flatnonzero(short).tolist(), np.flatnonzero(~np.array(short))
+        self.least = np.array([[_values(some[x][1].shingles, i).min() for i in range(HASHES)] for x in self.long], dtype=np.uint32).reshape(-1, HASHES)
         self.flags = np.zeros((HASHES, 1 << 16), dtype=bool)
         for i in range(HASHES):
             self.flags[i, self.least[:, i] >> 16] = True
 
-    def candidates(self, values: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(template, first shingle of the window) for each window and template that share a band; values: of each hash over all shingles."""
-        n = len(values[0])
+    def candidates(self, s: np.ndarray, values: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(template, first shingle of the window) for each window and template that share a band, or a shingle of a short one; values: of each hash over all shingles s."""
+        out = []
+        for x in self.short:
+            block = np.flatnonzero(np.isin(s, self.some[x][1].shingles)) // self.step
+            block = np.unique(block[:, None] - np.arange(5))  # a window and the quarter after it
+            out += [(x, b * self.step) for b in block[block >= 0].tolist()]
+        if not len(self.long):
+            return out
+        n = len(s)
         starts = np.arange(0, max(1, n), self.step)
         hit = np.zeros(len(starts), dtype=bool)
         signature = np.empty((HASHES, len(starts)), dtype=np.uint32)
@@ -102,7 +112,7 @@ class Bands:
             hit |= self.flags[i, least >> 16]
         at = np.flatnonzero(hit)
         which, window = np.nonzero((self.least[:, :, None] == signature[None, :, at]).any(axis=1))
-        return list(zip(which.tolist(), starts[at[window]].tolist(), strict=True))
+        return out + list(zip(self.long[which].tolist(), starts[at[window]].tolist(), strict=True))
 
 
 class Scanner:
@@ -131,7 +141,7 @@ class Scanner:
             if b.k != k:
                 k, s = b.k, windows(h, b.k)
                 values = [_values(s, i) for i in range(HASHES)]
-            for x, start in b.candidates(values):
+            for x, start in b.candidates(s, values):
                 t, stop = b.some[x][1], start + 5 * b.step
                 for d in range(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(begins, stop, "left"))):
                     low, high = max(start, int(begins[d])), min(stop, int(ends[d]) - k + 1)

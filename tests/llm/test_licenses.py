@@ -32,6 +32,15 @@ def test_notices_anywhere_in_a_text():
         assert set(scanner.scan(text.encode())) == brute(text)
 
 
+def test_short_notices_are_never_missed():
+    rng, scanner = random.Random(6), Scanner(templates_of(NOTICES))
+    for name, notice in NOTICES:
+        if len(words_of(notice.encode())) > 8:
+            continue
+        texts = [" ".join(f"r{rng.randrange(10**9)}" for _ in range(20)) + f" {notice} " + " ".join(f"r{rng.randrange(10**9)}" for _ in range(20)) for _ in range(2000)]
+        assert all(name in hits for hits in scanner.scan_all([t.encode() for t in texts]))
+
+
 def test_odd_rows(docs):
     texts = [None, "", "All rights reserved.", "all RIGHTS -- reserved!!", "All rights. " * 2, "x " * 80000 + "Released under the MIT License. " + "y " * 100]
     got = sorted((r.doc_id, r.license, r.n_matches, r.first_word, r.share) for r in scan(docs(*texts)).collect())
