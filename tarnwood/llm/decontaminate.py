@@ -1,24 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval, longest common subsequences and answer checks.
 
-1. Document frequencies of the benchmark's words are counted over all documents. Words in fewer than
-   RARE of these, and the ANCHORS rarest of each item, carry TF-IDF weight.
-2. A randomised SVD of the TF-IDF matrix of passages (the items, and the passages of at most SAMPLE documents of the smallest id
-   hashes) gives at most RANK right singular vectors; products with the matrix are made on the executors, which send
+1. Document frequencies of the benchmark's words are counted over all documents, in one pass for all items. Every word carries
+   TF-IDF weight; words that stand everywhere weigh next to nothing by themselves.
+2. A randomised SVD of the TF-IDF matrix of passages (the items, and the passages of about SAMPLE documents chosen by a hash of id
+   and text) gives at most RANK right singular vectors; products with the matrix are made on the executors, which send
    back blocks of vocabulary x rank numbers.
-3. Every whole text is cut into overlapping windows at scales that hold an item whole; none is sampled. Windows that hold HITS of these words
-   are projected, and those of cosine COSINE or more to an item that share HITS of its words with it are candidates. So is each window
-   that a bound cannot rule out: a subsequence of m of an item's n words leaves out n - m of them at most, so m - k of them stand among the words beside
-   the k commonest; the same holds for the words of the answer. Words of a window that are in these sets are counted for all
-   items at once. Each match at the bounds of step 4 is a candidate in this way, whatever its cosine.
+3. Every whole text is cut into overlapping windows at scales that hold an item whole; none is sampled or skipped. Each window's latent vector
+   is the sum of its words' vectors, made from sums over blocks of STEP words by doubling. Windows of cosine COSINE or more to an item are its candidates:
+   the cosine alone decides, each item's by itself, whatever other items there are in the search.
 4. A candidate's longest common subsequence with the item, in words, is taken over the window and its surroundings. A
    document is contaminated at a share of COPY of the item, or, as a paraphrase, at a share of PARAPHRASE if it
-   also holds ANSWER of the item's last sentence's words.
+   also holds ANSWER of the item's last sentence's words. Candidates that cannot reach these shares are not compared: a subsequence of m words of an item
+   holds m - k words beside those of its k places that its commonest words take, so fewer of the rarer words in the window and its surroundings rule it out; the
+   same goes for the answer. This loses no match.
 
-Items of fewer than SHORT words count only where they stand whole, word by word. Items are taken in blocks of
-ITEMS, one pass each, so what a worker holds is bounded whatever the benchmark's size.
+Items of fewer than SHORT words count only where they stand whole, word by word, and are looked up by their rarest word: so few words have no
+direction that stands out in a window. Items are taken in blocks of ITEMS, one pass each, so what a worker holds is bounded whatever the benchmark's
+size; a text is searched in slabs of SLAB words that overlap by a window, whatever its length.
 
-Defined cases. Null or empty texts and items: never contaminated, never contaminating. Repeated rows: judged alike. Ties: every item
-at or above the bounds is reported. Empty tables: no rows. Other columns are ignored by `matches`, returned untouched by `survivors`.
+Defined cases. Null or empty texts and items: never contaminated, never contaminating. Repeated rows: judged alike; null ids: judged and returned as null. Ties: every item
+at or above the bounds is reported. Very long texts: searched whole. Empty tables: no rows. Other columns, clashing names included, are ignored by `matches`, returned untouched by `survivors`.
 """
 
 from __future__ import annotations
@@ -36,11 +37,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_and_text, pass_rows, rows_to_batch, small_batches, stash
 
-RARE, ANCHORS, SAMPLE, RANK, OVERSAMPLE, POWERS = 0.004, 8, 3_000, 192, 16, 2
-HITS, COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 2, 0.25, 0.7, 0.5, 0.8, 8
-ITEMS, LEAST_WINDOW = 4_000, 32
-#: Cells (blocks of a text x items) that are counted at once.
-SLAB = 1_000_000
+SAMPLE, RANK, OVERSAMPLE, POWERS = 3_000, 160, 16, 2
+COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 0.15, 0.7, 0.5, 0.8, 8
+ITEMS, LEAST_WINDOW, STEP = 2_000, 32, 8
+#: Words that are searched at once; items whose cosines are taken at once.
+SLAB, ITEM_SLAB = 65_536, 512
 #: ASCII marks part words; everything else is part of one.
 _MARKS = bytes.maketrans(b".,;:!?\"'()[]{}<>|*%&#$@+-=_~^/\\`", b" " * 32)
 
@@ -109,139 +110,133 @@ def beside_common(counts: list[tuple[bytes, int]], need: int, stay: int) -> tupl
 
 
 @dataclass
-class Bounds:
-    """Necessary counts for the items of one scale."""
+class Scale:
+    """The items whose windows are of one size, and what their matches hold at least."""
 
+    words: int
     which: np.ndarray  # numbers of the items
-    body: tuple[np.ndarray, np.ndarray]  # by telling word: borders into the list of places in which; items that hold it beside their commonest words
-    answer: tuple[np.ndarray, np.ndarray]  # the same of the answers
+    holds: np.ndarray  # vocabulary and none x (body words of each item, answer words of each item): 1 for words that tell
     needs: np.ndarray  # 3 x items: of the body for a paraphrase, of the answer for it, of the body for a copy
 
 
-def bounds_of(items: list[Item], df: dict[bytes, int]) -> tuple[dict[bytes, int], dict[int, Bounds]]:
-    """Numbers of the telling words, and bounds by scale."""
-    rows = []
-    for x in items:
-        n, a = len(x.words), len(x.answer)
-        common = sorted(x.masks, key=lambda w: (-df[w], w))
-        half, copy = (n, n) if n < SHORT else (least(PARAPHRASE, n), least(COPY, n))
-        body, left = beside_common([(w, x.masks[w].bit_count()) for w in common], half, max(1, n // 8))
-        said = 0 if n < SHORT else least(ANSWER, a)
-        answer, said_left = beside_common([(w, 1) for w in common if w in x.answer], said, max(1, a // 3))
-        rows.append((body, answer if said else set(), (left, said_left, left + copy - half)))
-    telling = {w: i for i, w in enumerate(sorted({w for body, answer, _ in rows for w in body | answer}))}
-    out = {}
-    for scale in sorted({x.scale for x in items}):
-        which = np.array([i for i, x in enumerate(items) if x.scale == scale])
-        lists = []
-        for part in (0, 1):
-            pairs = np.array(sorted((telling[w], k) for k, i in enumerate(which) for w in rows[i][part]), dtype=np.int64).reshape(-1, 2)
-            lists.append((np.searchsorted(pairs[:, 0], np.arange(len(telling) + 1)), pairs[:, 1].astype(np.int32)))
-        out[scale] = Bounds(which, *lists, np.array([rows[i][2] for i in which]).T)
-    return telling, out
+def scales_of(items: list[Item], vocabulary: dict[bytes, int], df: dict[bytes, int]) -> list[Scale]:
+    out = []
+    for scale in sorted({x.scale for x in items if len(x.words) >= SHORT}):
+        which = [i for i, x in enumerate(items) if x.scale == scale and len(x.words) >= SHORT]
+        holds = np.zeros((len(vocabulary) + 1, 2 * len(which)), np.uint8 if 2 * scale < 250 else np.uint32)
+        needs = np.zeros((3, len(which)), np.int64)
+        for k, i in enumerate(which):
+            x = items[i]
+            n, a = len(x.words), len(x.answer)
+            common = sorted(x.masks, key=lambda w: (-df[w], w))
+            body, left = beside_common([(w, x.masks[w].bit_count()) for w in common], half := least(PARAPHRASE, n), max(1, n // 8))
+            answer, said = beside_common([(w, 1) for w in common if w in x.answer], least(ANSWER, a), max(1, a // 3))
+            holds[[vocabulary[w] for w in body], k] = 1
+            holds[[vocabulary[w] for w in answer], len(which) + k] = 1
+            needs[:, k] = left, said, left + least(COPY, n) - half
+        out.append(Scale(scale, np.array(which), holds, needs))
+    return out
+
+
+class Sums:
+    """Sums of rows of a table over runs of blocks of STEP words, each within its piece, by doubling."""
+
+    def __init__(self, table: np.ndarray, n: np.ndarray, of: np.ndarray):
+        self.of = of
+        self.known = {1: table[n].reshape(-1, STEP, table.shape[1]).sum(axis=1, dtype=table.dtype)}
+
+    def over(self, size: int) -> np.ndarray:
+        if size not in self.known:
+            half = 1 << (size - 1).bit_length() - 1
+            a, b = self.over(half), self.over(size - half)
+            both = a.copy()
+            both[:-half] += b[half:] * (self.of[half:] == self.of[:-half])[:, None].astype(b.dtype)
+            self.known[size] = both
+        return self.known[size]
 
 
 @dataclass
 class Index:
     items: list[Item]
     vocabulary: dict[bytes, int]
-    vectors: np.ndarray = field(default=None)  # vocabulary x rank: IDF times right singular vectors
+    vectors: np.ndarray = field(default=None)  # vocabulary x rank: IDF times right singular vectors; a last row of zeros for other words
     queries: np.ndarray = field(default=None)  # items x rank, of length 1
-    hits: int = HITS
-    telling: dict[bytes, int] = field(default_factory=dict)
-    bounds: dict[int, Bounds] = field(default_factory=dict)
-    ids: list = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"ids": None}
-
-    def windows(self, words: list[bytes], scales: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(scale, first words, sums' borders into the informative words, their numbers) by scale."""
-        n = numbers_of(words, self.vocabulary)
-        at = np.flatnonzero(n >= 0)
-        if len(at) < self.hits:
-            return
-        known = n[at]
-        for scale in scales:
-            step = scale // 4
-            last = at // step  # the windows that hold an informative word: the one that starts in its quarter, and three before
-            starts = np.unique(np.concatenate([last, last - 1, last - 2, last - 3])) * step
-            starts = starts[starts >= 0]
-            lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + scale)
-            some = hi - lo >= self.hits
-            if some.any():
-                yield scale, starts[some], np.stack([lo[some], hi[some]]), known
+    rarest: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # number of a word -> short items of which it is the rarest, its place there
+    scales: list[Scale] = field(default_factory=list)
 
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
         """By text: item number -> (share of the longest common subsequence, share of the answer, cosine) of what is contaminated."""
         out: list[dict] = [{} for _ in texts]
-        of_scale = {s: np.array([i for i, x in enumerate(self.items) if x.scale == s]) for s in {x.scale for x in self.items}}
-        scales = sorted(of_scale)
+        overlap = 2 * max((x.scale for x in self.items), default=0) // STEP * STEP
+        pieces, load = [], 0
         for d, text in enumerate(texts):
             words = words_of(text)
-            for scale, starts, (lo, hi), known in self.windows(words, scales):
-                which = of_scale[scale]
-                total = np.concatenate((np.zeros((1, self.vectors.shape[1]), np.float32), np.cumsum(self.vectors[known], axis=0, dtype=np.float32)))
-                x = total[hi] - total[lo]
-                length = np.sqrt((x * x).sum(axis=1)) + 1e-6
-                for a in range(0, len(x), 4096):
-                    cosine = (x[a : a + 4096] @ self.queries[which].T) / length[a : a + 4096, None]
-                    for i, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        item = self.items[which[k]]
-                        if out[d].get(which[k], (0,))[0] == 1.0 or len(self.held(which[k]).intersection(known[lo[a + i] : hi[a + i]].tolist())) < self.hits:
-                            continue
-                        share, answer = self.compare(item, words, int(starts[a + i]))
-                        if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
-                            out[d][int(which[k])] = max(out[d].get(int(which[k]), (0.0, 0.0, 0.0)), (share, answer, float(cosine[i, k])))
-            for k, start in self.possible(words):
-                if out[d].get(k, (0,))[0] == 1.0:
-                    continue
-                share, answer = self.compare(self.items[k], words, start)
-                if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
-                    out[d][k] = max(out[d].get(k, (0.0, 0.0, 0.0)), (share, answer, self.cosine(k, words[start : start + self.items[k].scale])))
+            n = numbers_of(words, self.vocabulary)
+            for low in range(0, len(n), SLAB):
+                low = max(0, low - overlap)
+                part = n[low : low + SLAB + 2 * overlap]
+                pieces.append((d, low, words, part))
+                load += len(part)
+                if load >= SLAB:
+                    self._slab(pieces, out)
+                    pieces, load = [], 0
+        if pieces:
+            self._slab(pieces, out)
         return out
 
-    def possible(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(item number, first word of the window) for all windows that the bounds do not rule out; a window and its surroundings are six blocks."""
-        n = numbers_of(words, self.telling)
-        at = np.flatnonzero(n >= 0)
-        known = n[at]
-        for scale, b in self.bounds.items():
-            slab = max(16, SLAB // len(b.which))
-            block, last = at // (scale // 4), max(0, len(words) - 1) // (scale // 4)
-            for low in range(0, last + 1, slab):
-                high = min(low + slab, last + 1)
-                i, j = np.searchsorted(block, (low - 1, high + 4))
-                if i == j:
-                    continue
-                held = []
-                for border, places in (b.body, b.answer):
-                    begin = border[known[i:j]]
-                    size = border[known[i:j] + 1] - begin
-                    of = places[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    cells = np.bincount(np.repeat(block[i:j] - low + 2, size) * len(b.which) + of, minlength=(high - low + 6) * len(b.which))
-                    total = np.cumsum(cells.reshape(-1, len(b.which)), axis=0)
-                    held.append(total[6:] - total[:-6])
-                for s, k in zip(*np.nonzero((held[0] >= b.needs[0]) & (held[1] >= b.needs[1]) | (held[0] >= b.needs[2])), strict=True):
-                    yield int(b.which[k]), int(low + s) * (scale // 4)
-
-    def cosine(self, k: int, words: list[bytes]) -> float:
-        n = numbers_of(words, self.vocabulary)
-        x = self.vectors[n[n >= 0]].sum(axis=0)
-        return float(x @ self.queries[k] / (np.sqrt((x * x).sum()) + 1e-6))
-
-    def held(self, k: int) -> frozenset[int]:
-        """The informative words of an item."""
-        if self.ids is None:
-            self.ids = [frozenset(self.vocabulary[w] for w in x.words if w in self.vocabulary) for x in self.items]
-        return self.ids[k]
+    def _slab(self, pieces: list[tuple], out: list[dict]) -> None:
+        """Search pieces (text number, first word, words of the text, word numbers), each from a block of its own on."""
+        blocks = np.array([-(-len(p[3]) // STEP) for p in pieces])
+        first = np.cumsum(blocks) - blocks
+        n = np.full(int(blocks.sum()) * STEP, -1, np.int32)
+        for p, at in zip(pieces, first.tolist(), strict=True):
+            n[at * STEP : at * STEP + len(p[3])] = p[3]
+        of = np.repeat(np.arange(len(pieces)), blocks)
+        if self.rarest:
+            self._short(n, of, first, pieces, out)
+        latent = Sums(self.vectors, n, of)
+        for s in self.scales:
+            stride, margin = max(1, s.words // 4 // STEP), -(-s.words // 4 // STEP)
+            starts = np.arange(0, len(of), stride)
+            x = latent.over(s.words // STEP)[starts]
+            length = np.sqrt(np.einsum("ij,ij->i", x, x))
+            near = np.maximum(starts - margin, first[of[starts]])  # a window with its surroundings, or more at the start of a piece
+            for a in range(0, len(s.which), ITEM_SLAB):
+                k = slice(a, a + ITEM_SLAB)
+                cosine = x @ self.queries[s.which[k]].T
+                chosen = (cosine >= COSINE * length[:, None]) & (length > 1e-6)[:, None]
+                i, j = np.nonzero(chosen & self._may(s, k, n, of, near, s.words // STEP + 2 * margin))
+                for b, item, c in zip(starts[i].tolist(), s.which[a + j].tolist(), (cosine[i, j] / length[i]).tolist(), strict=True):
+                    d, low, words, _ = pieces[of[b]]
+                    if out[d].get(item, (0,))[0] == 1.0:
+                        continue
+                    share, answer = self.compare(self.items[item], words, low + (b - int(first[of[b]])) * STEP)
+                    if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
+                        out[d][item] = max(out[d].get(item, (0.0, 0.0, 0.0)), (share, answer, c))
+
+    def _may(self, s: Scale, k: slice, n: np.ndarray, of: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
+        """windows x items: whether a window's surroundings hold the words that a match holds at least."""
+        body = Sums(np.ascontiguousarray(s.holds[:, : len(s.which)][:, k]), n, of).over(size)[near]
+        answer = Sums(np.ascontiguousarray(s.holds[:, len(s.which) :][:, k]), n, of).over(size)[near]
+        needs = s.needs[:, k].astype(body.dtype)
+        return (body >= needs[0]) & (answer >= needs[1]) | (body >= needs[2])
+
+    def _short(self, n: np.ndarray, of: np.ndarray, first: np.ndarray, pieces: list[tuple], out: list[dict]) -> None:
+        wanted = np.zeros(len(self.vocabulary) + 1, bool)
+        wanted[list(self.rarest)] = True
+        for at in np.flatnonzero(wanted[n]).tolist():
+            p = of[at // STEP]
+            d, low, words, _ = pieces[p]
+            place = low + at - int(first[p]) * STEP
+            for item, offset in self.rarest[int(n[at])]:
+                start, want = place - offset, self.items[item].words
+                if start >= 0 and item not in out[d] and words[start : start + len(want)] == want:
+                    out[d][item] = (1.0, 1.0, 1.0)
 
     def compare(self, item: Item, words: list[bytes], start: int) -> tuple[float, float]:
-        n, margin = len(item.words), item.scale // 4
+        margin = item.scale // 4
         words = words[max(0, start - margin) : start + item.scale + margin]
-        if n < SHORT:
-            return (1.0, 1.0) if any(words[i : i + n] == item.words for i in range(len(words) - n + 1)) else (0.0, 0.0)
-        return lcs(item.masks, n, words) / n, len(item.answer.intersection(words)) / len(item.answer)
+        return lcs(item.masks, len(item.words), words) / len(item.words), len(item.answer.intersection(words)) / len(item.answer)
 
 
 def _frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -279,18 +274,12 @@ def _products(parts: DataFrame, q: np.ndarray, weight: np.ndarray) -> np.ndarray
     return sum((np.frombuffer(r.z).reshape(q.shape) for r in parts.mapInArrow(run, "z binary").toLocalIterator()), np.zeros(q.shape))
 
 
-def build(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The latent index of a block of items, with statistics over all documents."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = id_and_text(docs, id_col, text_col)
-    vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
-    df, n_docs = _frequencies(texts, vocabulary)
-    anchors = {w for x in items for w in sorted(set(x.words), key=lambda w: (df[vocabulary[w]], w))[:ANCHORS]}
-    keep = [w for w, i in vocabulary.items() if df[i] <= RARE * n_docs or w in anchors]
-    weight = np.array([log((n_docs + 2) / (df[vocabulary[w]] + 1)) for w in keep])
-    # an item of few words may hold a single informative one
-    index = Index(items, {w: i for i, w in enumerate(keep)}, hits=min([HITS, *(len(set(x.words)) for x in items)]))
+def build(texts: DataFrame, items: list[Item], df: dict[bytes, int], n_docs: int) -> Index:
+    """The latent index of a block of items; df: documents that hold each word."""
+    spark = texts.sparkSession
+    keep = sorted({w for x in items for w in x.words})
+    weight = np.array([log((n_docs + 2) / (df[w] + 1)) for w in keep])
+    index = Index(items, {w: i for i, w in enumerate(keep)})
     step = LEAST_WINDOW * 2
 
     def passages(batches):
@@ -301,9 +290,10 @@ def build(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col:
                 rows += [(x[x >= 0],) for x in (n[i : i + step] for i in range(0, len(n), step))]
             yield rows_to_batch([r for r in rows if len(r[0]) > 1], pa.schema([("ids", pa.list_(pa.int32()))]))
 
-    share = min(1.0, SAMPLE / max(1, n_docs))
-    sample = texts.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1) | (F.lit(share) >= 1)).select("text")
-    own = spark.createDataFrame([([index.vocabulary[w] for w in x.words if w in index.vocabulary],) for x in items], "ids array<int>")
+    # the same row again adds nothing to a sample: one stays for each hash
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53))
+    sample = texts.select(at.alias("at"), "text").where(F.col("at") < int(min(1.0, SAMPLE / max(1, n_docs)) * (1 << 53))).groupBy("at").agg(F.first("text").alias("text")).select("text")
+    own = spark.createDataFrame([([index.vocabulary[w] for w in x.words],) for x in items], "ids array<int>")
     parts = stash(sample.mapInArrow(passages, "ids array<int>").unionByName(own).repartition(4), "passages")
     rank = max(1, min(RANK, len(items), len(keep)))
     q = np.linalg.qr(np.random.RandomState(3).standard_normal((len(keep), min(len(keep), rank + OVERSAMPLE))))[0]
@@ -312,17 +302,28 @@ def build(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col:
     values, vectors = np.linalg.eigh(q.T @ _products(parts, q, weight))
     discard(parts)
     v = q @ vectors[:, np.argsort(-values)[:rank]]
-    index.vectors = (weight[:, None] * v).astype(np.float32)
-    queries = np.array([index.vectors[[index.vocabulary[w] for w in x.words if w in index.vocabulary]].sum(axis=0) for x in items])
-    index.telling, index.bounds = bounds_of(items, {w: int(df[i]) for w, i in vocabulary.items()})
+    index.vectors = np.concatenate((weight[:, None] * v, np.zeros((1, rank)))).astype(np.float32)
+    queries = np.array([index.vectors[[index.vocabulary[w] for w in x.words]].sum(axis=0) for x in items])
     index.queries = (queries / (np.sqrt((queries**2).sum(axis=1, keepdims=True)) + 1e-9)).astype(np.float32)
+    index.scales = scales_of(items, index.vocabulary, df)
+    for i, x in enumerate(items):
+        if len(x.words) < SHORT:
+            rarest = min(x.words, key=lambda w: (df[w], w))
+            index.rarest.setdefault(index.vocabulary[rarest], []).append((i, x.words.index(rarest)))
     return index
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Index]:
-    rows = sorted((r.item_id, r.text) for r in benchmark.select("item_id", "text").distinct().collect() if r.item_id is not None and r.text)  # the query set
-    items = items_of(rows)
-    return [build(docs, items[i : i + ITEMS], id_col, text_col) for i in range(0, len(items), ITEMS)]
+def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Iterator[Index]:
+    """An index for each block of items; word frequencies of all are counted in one pass."""
+    small_batches(docs.sparkSession)
+    texts = id_and_text(docs, id_col, text_col)
+    items = items_of(sorted((r.item_id, r.text) for r in benchmark.select("item_id", "text").distinct().collect() if r.item_id is not None and r.text))  # the query set
+    if items:
+        words = sorted({w for x in items for w in x.words})
+        counts, n_docs = _frequencies(texts, {w: i for i, w in enumerate(words)})
+        df = dict(zip(words, counts.tolist(), strict=True))
+        for i in range(0, len(items), ITEMS):
+            yield build(texts, items[i : i + ITEMS], df, n_docs)
 
 
 _MATCH = "doc_id long, item_id long, lcs double, answer double, cosine double"
