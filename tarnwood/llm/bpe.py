@@ -3,10 +3,11 @@
 A text is split by the vocabulary's pattern; distinct pieces that a worker has not met yet are
 grouped by length into padded matrices of token ids. In each round every row merges its leftmost
 pair of least rank; ranks come from a hashed table of pairs, rows that have no pair left are taken
-out and the columns close up. Pieces beyond WIDEST bytes are merged by the same rule on a heap,
-as a matrix round costs their whole width.
+out and the columns close up. A piece beyond WIDE bytes is a row by itself. A round merges its pair at all places, from left to right, if no pair
+with the merged token ranks below it, as the next rounds would merge just these, one by one; its columns close up when half of them are empty.
 
-Defined cases. Null text: the empty text, which has no tokens. Repeated rows: encoded alike. Empty
+Defined cases. Null text: the empty text, which has no tokens. Null ids: encoded and returned as null. Repeated rows: encoded alike. Very long
+texts and pieces: encoded whole, by the same rounds. Ties (a pair at several places): leftmost first. Empty
 tables: no rows. Other columns of any name are ignored by `encode`.
 """
 
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, rows_to_batch, small_batches
 
-#: Bytes of the widest matrix row; cells of a matrix; pieces that a worker's cache holds.
-WIDEST, CELLS, CACHED = 128, 1 << 19, 200_000
+#: Bytes beyond which a round merges a pair at all its places; cells of a matrix; pieces that a worker's cache holds.
+WIDE, CELLS, CACHED = 128, 1 << 19, 200_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -89,6 +89,11 @@ class Coder:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.table = PairTable(self.pairs)
+        # by token: no pair that it is a part of ranks below it
+        self.settled = np.ones(len(self.bytes), dtype=bool)
+        for (a, b), r in self.pairs.items():
+            self.settled[a] &= r > a
+            self.settled[b] &= r > b
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
 
@@ -113,11 +118,12 @@ class Coder:
             raw = p.encode()
             if (i := self.ids.get(raw)) is not None:  # a whole token is what its merges would end in, or the rank file's own rule
                 done[p] = i.to_bytes(4, "little")
-            elif len(raw) > WIDEST:
-                done[p] = np.array(self.by_heap(raw), dtype="<u4").tobytes()
             else:
                 by_width.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
         for width, some in by_width.items():
+            if width > WIDE:
+                done.update((p, self.by_row(raw)) for p, raw in some)
+                continue
             step = max(1, CELLS // width)
             for i in range(0, len(some), step):
                 part = some[i : i + step]
@@ -155,25 +161,33 @@ class Coder:
                     ranks[i, j] = self.table.rank(cells[i, j], cells[i, j + 1])
         return out
 
-    def by_heap(self, raw: bytes) -> list[int]:
-        ids = [int(self.single[b]) for b in raw]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < len(ids):
-                before[k] = i
-                if (s := self.pairs.get((r, ids[k]))) is not None:
-                    heapq.heappush(heap, (s, i, r, ids[k]))
-            if (h := before[i]) >= 0 and (s := self.pairs.get((ids[h], r))) is not None:
-                heapq.heappush(heap, (s, h, ids[h], r))
-        return [i for i in ids if i >= 0]
+    def by_row(self, raw: bytes) -> bytes:
+        cells = self.single[np.frombuffer(raw, dtype=np.uint8)]
+        ranks = np.append(self.table.rank(cells[:-1], cells[1:]), NONE)
+        alive = 0
+        while (least := ranks[at := int(ranks.argmin())]) != NONE:
+            if 2 * alive < len(cells):  # close up; columns of their own number their neighbours
+                stay = cells >= 0
+                cells, ranks = cells[stay], ranks[stay]
+                alive = len(cells)
+                after, before = np.arange(1, len(cells) + 1), np.arange(-1, len(cells) - 1)
+                at = int(ranks.argmin())
+            left = np.flatnonzero(ranks == least) if self.settled[least] else np.array([at])
+            k = np.arange(len(left))
+            run = np.maximum.accumulate(np.where(np.append(True, left[1:] != after[left[:-1]]), k, 0))
+            left = left[(k - run) % 2 == 0]  # places that do not overlap one to the left
+            right = after[left]
+            cells[left], cells[right], ranks[right] = least, -1, NONE  # the merged token's id is its rank
+            after[left] = beyond = after[right]
+            inside = beyond < len(cells)
+            before[beyond[inside]] = left[inside]
+            ranks[left[~inside]] = NONE
+            ranks[left[inside]] = self.table.rank(cells[left[inside]], cells[beyond[inside]])
+            ahead = before[left]
+            left, ahead = left[ahead >= 0], ahead[ahead >= 0]
+            ranks[ahead] = self.table.rank(cells[ahead], cells[left])
+            alive -= len(right)
+        return cells[cells >= 0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
