@@ -1,21 +1,26 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
 Counting. Tasks turn texts into 64-bit token hashes, fold them in chunks and deal sorted key blocks out
-by key range; a task merges one bucket at a time. Word counts become a table; of each bucket's
-word pairs all go to a Bloom filter of the bucket: a pair of count c is
-entered as (pair, 1), ..., (pair, 1 + floor(log2 c)).
-
-Scoring. The count of a pair is found by probing levels until one is absent, so it can be too high but never
-too low. P(w | v) = lambda(v) min(1, c(v, w) / c(v)) + (1 - lambda(v)) P(w), lambda(v) = WEIGHT c(v) / (c(v) + DAMP),
-for every v seen in training, the start included; after other words it is P(w) alone. Counts of words are exact.
-
-What is broadcast: the frequent words, COMMON at most (16 bytes each), and buckets of the filter in shards of
+by key range; a task merges one bucket at a time. Word counts become a table. A pair's key begins with bits of its context's hash, so a
+context's pairs share a bucket; those of the HOT commonest words (of START, and of a sample's words: this settles only where pairs go) are spread
+over all buckets. All pairs of a bucket go to its Bloom filter: a pair of count c is entered as
+(pair, 1), ..., (pair, 1 + floor(log2 c)), and counts as q(v, w) = 2^floor(log2 c). The sum of q over a context's pairs, T(v), is counted exactly and stands
+in the table of words.
+
+Scoring. q is found by probing levels until one is absent, so it can be too high but never too low. With f the rate at which the filter
+takes absent pairs for present, and V words, the q of a context that the filter gives add up to Z(v) = T(v) + f (V + 1), as expected; so
+P(w | v) = lambda(v) q(v, w) / Z(v) + (1 - lambda(v)) P(w), lambda(v) = T(v) / (Z(v) + DAMP), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+adds up to one over all words and an unknown one, but for the chance of f. After contexts never seen it is P(w) alone. c, N, V and T are exact.
+An entry's PROBES bits lie in one 64-bit word, read at once.
+
+What is broadcast: the frequent words, COMMON at most (24 bytes each), and buckets of the filter in shards of
 SHARD_BYTES at most; scores of the shards add up, one pass over the texts for each shard. A pass scores the
-tokens whose word and context are both frequent. It hands on the others with the counts of their pairs, and they are scored
-when a join with the word counts has brought the counts of the other words; the base score takes them from there too.
+tokens whose word and context are both frequent. It hands on the others with the q of their pairs, and they are scored
+when a join with the table of words has brought the counts of the other words; the base score takes them from there too.
 
 Defined cases. Null text: empty, a single end token. Null ids: held out, so not learned from. Repeated rows: each counts
-when learning and is scored. Empty tables: no rows; without training rows all tokens are unknown.
+when learning and is scored. Very long texts: counted and scored whole. Ties: equal texts have equal scores. Empty tables: no rows; without training rows all
+tokens are unknown. Columns of other names, clashing ones included, are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +42,13 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens that a counting task folds at once; characters of input for each bucket of keys.
 CHUNK, CHARS_A_BUCKET = 2_000_000, 8_000_000
 COMMON, SHARD_BYTES = 500_000, 64_000_000
+#: Words whose pairs are spread over all buckets; documents that they are taken from.
+HOT, HOT_DOCS = 512, 2_000
 #: Bits for each entry of the filter, probes for each entry.
-BITS, PROBES = 12, 4
+BITS, PROBES = 16, 4
 LEVELS = 40
-WEIGHT, DAMP = 0.7, 5.0
+DAMP = 5.0
+_LOWER = np.uint64((1 << 40) - 1)
 #: Tokens that are no words: words hold no space.
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" start ", b" end "))
 
@@ -50,94 +58,132 @@ def tokens(text: bytes) -> np.ndarray:
     return np.append(word_hashes(ascii_words(text)), END)
 
 
-def pair_keys(seq: np.ndarray) -> np.ndarray:
-    """Keys of (previous, token) for each token; the first one's previous is the start."""
-    before = np.concatenate(([START], seq[:-1]))
-    return mix(before * M2 + seq)
+def contexts(seqs: list[np.ndarray]) -> np.ndarray:
+    """The token before each token of the texts, START before the first."""
+    flat = np.concatenate(([START], *seqs))[:-1]
+    flat[np.cumsum([0, *map(len, seqs[:-1])])] = START
+    return flat
+
+
+def pair_keys(before: np.ndarray, token: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Keys of pairs; their upper 24 bits, by which they are dealt, are those of the context, if it is not among the hot ones."""
+    key = mix(before * M2 + token)
+    together = (mix(before) & ~_LOWER) | (key >> np.uint64(24))
+    return np.where(hot[np.minimum(np.searchsorted(hot, before), len(hot) - 1)] == before, key, together)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)).astype(np.int64) * buckets) >> 24
 
 
-_BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("contexts", pa.binary())])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def _fold(buckets: int):
+def _counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if len(packed) == n else np.uint32)
+
+
+def _fold(buckets: int, hot: np.ndarray):
     def run(batches):
         def blocks(held: list[np.ndarray]) -> Iterator[tuple]:
+            flat, before = np.concatenate(held), contexts(held)
             for kind in (0, 1):
-                keys, counts = np.unique(np.concatenate([x[kind] for x in held]), return_counts=True)
+                if kind:
+                    keys, first, counts = np.unique(pair_keys(before, flat, hot), return_index=True, return_counts=True)
+                else:
+                    keys, counts = np.unique(flat, return_counts=True)
                 cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                counts = counts.astype(np.uint32)
                 for i in range(buckets):
+                    k = slice(cut[i], cut[i + 1])
                     if cut[i] < cut[i + 1]:
-                        yield kind, i, keys[cut[i] : cut[i + 1]].tobytes(), counts[cut[i] : cut[i + 1]].tobytes()
+                        yield kind, i, keys[k].tobytes(), _packed(counts[k]), before[first[k]].tobytes() if kind else b""
 
         def rows():
             held, n = [], 0
             for b in batches:
                 for text in bytes_of(b.column(0)):
-                    seq = tokens(text)
-                    held.append((seq, pair_keys(seq)))
-                    n += len(seq)
+                    held.append(tokens(text))
+                    n += len(held[-1])
                     if n >= CHUNK:
                         yield from blocks(held)
                         held, n = [], 0
             if held:
                 yield from blocks(held)
 
-        yield from in_chunks(rows(), _BLOCK, weight=lambda r: len(r[2]) + len(r[3]))
+        yield from in_chunks(rows(), _BLOCK, weight=lambda r: len(r[2]) + len(r[3]) + len(r[4]))
 
     return run
 
 
-def _probe_bits(keys: np.ndarray, level: int, n_bits: np.ndarray | int) -> np.ndarray:
-    """(PROBES, keys) bit positions."""
+def _probe(keys: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each entry the 64-bit word of the filter, and its bits there."""
     h = mix(keys + np.array([level], dtype=np.uint64) * M2)
-    a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.asarray(n_bits, dtype=np.uint64) for i in range(PROBES)])
+    mask = np.zeros(len(keys), dtype=np.uint64)
+    for i in range(PROBES):
+        mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+    return ((h >> np.uint64(32)) * np.asarray(words, dtype=np.uint64) >> np.uint64(32)).astype(np.int64), mask
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
 
-def bucket_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bits of one bucket, as bytes."""
+def bucket_filter(keys: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> np.ndarray:
+    """The 64-bit words of one bucket; bits_each for each entry."""
     level = levels_of(counts)
-    n_bits = max(64, ceil(int(level.sum()) * BITS / 8) * 8)
-    bits = np.zeros(n_bits, dtype=bool)
+    bits = np.zeros(max(1, ceil(int(level.sum()) * bits_each / 64)), dtype=np.uint64)
     for j in range(1, int(level.max(initial=0)) + 1):
-        bits[_probe_bits(keys[level >= j], j, n_bits).ravel().astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little")
+        at, mask = _probe(keys[level >= j], j, len(bits))
+        order = np.argsort(at)
+        at, first = np.unique(at[order], return_index=True)
+        bits[at] |= np.bitwise_or.reduceat(mask[order], first)
+    return bits
 
 
-_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+def taken(bits: np.ndarray) -> float:
+    """The share of absent entries that the filter takes for present."""
+    return float(((np.bitwise_count(bits) / 64) ** PROBES).mean())
 
 
-def _merge(batches):
-    """Blocks in order of (kind, bucket) -> counts of words; a filter for each bucket of pairs."""
+_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("taken", pa.float64()), ("bits", pa.binary())])
+_MERGED_SQL = "kind int, key long, n long, taken double, bits binary"
 
-    def groups():
-        at, held = None, []
-        for b in batches:
-            for kind, bucket, keys, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (kind, bucket) != at and held:
-                    yield at, held
-                    held = []
-                at = (kind, bucket)
-                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
-        if held:
-            yield at, held
-
-    for (kind, bucket), held in groups():
-        keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
-        if kind:
-            yield rows_to_batch([(1, bucket, len(keys), bucket_filter(keys, counts).tobytes())], _MERGED)
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(counts), pa.nulls(len(keys), pa.binary())], schema=_MERGED)
+
+def _merge(bits_each: int):
+    """Blocks in order of (kind, bucket) -> 0: counts of words; 1: a filter for each bucket of pairs; 2: sums of q by context, in parts."""
+
+    def run(batches):
+        def groups():
+            at, held = None, []
+            for b in batches:
+                for kind, bucket, keys, counts, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (kind, bucket) != at and held:
+                        yield at, held
+                        held = []
+                    at = (kind, bucket)
+                    held.append((k := np.frombuffer(keys, np.uint64), _counts(counts, len(k)), np.frombuffer(before, np.uint64)))
+            if held:
+                yield at, held
+
+        def table(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.float64()), pa.nulls(len(keys), pa.binary())], schema=_MERGED)
+
+        for (kind, bucket), held in groups():
+            keys, first, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([c for _, c, _ in held]), minlength=len(keys)).astype(np.int64)
+            if kind:
+                before, of = np.unique(np.concatenate([v for _, _, v in held])[first], return_inverse=True)
+                yield table(2, before, np.bincount(of, weights=2.0 ** (levels_of(counts) - 1)))
+                bits = bucket_filter(keys, counts, bits_each)
+                yield rows_to_batch([(1, bucket, len(keys), taken(bits), bits.tobytes())], _MERGED)
+            else:
+                yield table(0, keys, counts)
+
+    return run
 
 
 @dataclass
@@ -146,45 +192,47 @@ class Shard:
 
     words: np.ndarray  # sorted hashes of frequent words
     counts: np.ndarray
-    starts: np.ndarray  # by bucket: first byte in bits, -1 if it is in another shard
-    sizes: np.ndarray  # by bucket: bits
+    sums: np.ndarray  # T of the frequent words
+    starts: np.ndarray  # by bucket: its first 64-bit word, -1 if it is in another shard
+    sizes: np.ndarray  # by bucket: 64-bit words
     bits: np.ndarray
     others: float  # known words beside the frequent ones; without any, what is not among these is unknown
-    docs: float  # training documents, the count of the start
+    start: float  # T of the start
+    hot: np.ndarray
     divisor: float
-    first: bool  # takes the tokens that need no bucket
+    noise: float  # f (V + 1)
 
     def count(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes; 0 for what is absent, 1 for what was seen once."""
+        """q of pairs by repeated probes; 0 for what is absent."""
         level = np.zeros(len(keys), dtype=np.int64)
         left = np.arange(len(keys))
         for j in range(1, LEVELS):
-            at = _probe_bits(keys[left], j, self.sizes[bucket[left]]).astype(np.int64)
-            byte = self.bits[self.starts[bucket[left]] + (at >> 3)]
-            left = left[((byte >> (at & 7)) & 1).all(axis=0)]
+            at, mask = _probe(keys[left], j, self.sizes[bucket[left]])
+            left = left[self.bits[self.starts[bucket[left]] + at] & mask == mask]
             if not len(left):
                 break
             level[left] = j
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level)
+        return np.where(level > 0, 2.0 ** (level - 1), 0.0)
 
-    def exact(self, words: np.ndarray) -> np.ndarray:
-        """Counts of frequent words, 0 for others."""
+    def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and T of frequent words, 0 for others."""
         if not len(self.words):
-            return np.zeros(len(words))
+            return np.zeros(len(words)), np.zeros(len(words))
         at = np.searchsorted(self.words, words)
         at[at == len(self.words)] = 0
-        return np.where(self.words[at] == words, self.counts[at], 0).astype(float)
+        there = self.words[at] == words
+        return np.where(there, self.counts[at], 0).astype(float), np.where(there, self.sums[at], 0).astype(float)
 
 
-#: What a pass hands on: a text's other words, and of each token left open the places there (-1: none) and counts of context and word, and the count of the pair.
+#: What a pass hands on: a text's other words, and of each token left open the places there (-1: none), T of the context, the count of the word and q of the pair.
 _PASSED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double, words array<long>, before array<int>, token array<int>, n_before array<double>, n_token array<double>, n_pair array<double>"
 _SCORED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double"
 
 
-def log_p(before: np.ndarray, token: np.ndarray, pair: np.ndarray, divisor: float) -> np.ndarray:
-    """log10 P(w | v) from the counts of v, w and the pair."""
-    lam = WEIGHT * before / (before + DAMP)
-    return np.log10(lam * np.minimum(1.0, pair / np.maximum(before, 1.0)) + (1 - lam) * (token + 0.5) / divisor)
+def log_p(before: np.ndarray, token: np.ndarray, pair: np.ndarray, divisor: float, noise: float) -> np.ndarray:
+    """log10 P(w | v) from T(v), c(w) and q(v, w)."""
+    lam = before / (before + noise + DAMP)
+    return np.log10(lam * np.minimum(before, pair) / np.maximum(before + noise, 1.0) + (1 - lam) * (token + 0.5) / divisor)
 
 
 def _score(shard, part: int):
@@ -202,10 +250,10 @@ def _score(shard, part: int):
             flat = np.concatenate(seqs)
             starts = np.concatenate(([0], np.cumsum(n)[:-1]))
             words, inverse = np.unique(flat, return_inverse=True)
-            c = s.exact(words)[inverse]
-            before = np.concatenate(([0.0], c[:-1]))
-            before[starts] = s.docs
-            keys = np.concatenate([pair_keys(x) for x in seqs])
+            c, t = (x[inverse] for x in s.exact(words))
+            before = np.concatenate(([0.0], t[:-1]))
+            before[starts] = s.start
+            keys = pair_keys(contexts(seqs), flat, s.hot)
             bucket = bucket_of(keys, len(s.starts))
             here = s.starts[bucket] >= 0
             token_open = (c <= 0) & (s.others > 0)
@@ -215,7 +263,7 @@ def _score(shard, part: int):
             pair = np.zeros(len(flat))
             pair[at] = s.count(keys[at], bucket[at])
             still = token_open | before_open
-            score = np.bincount(doc, np.where(here & ~still, log_p(before, c, pair, s.divisor), 0.0), minlength=len(seqs))
+            score = np.bincount(doc, np.where(here & ~still, log_p(before, c, pair, s.divisor, s.noise), 0.0), minlength=len(seqs))
             shut = here & ~token_open
             base = np.bincount(doc, np.where(shut, np.log10(c + 0.5), 0.0), minlength=len(seqs))
             known = np.bincount(doc, shut & (c > 0), minlength=len(seqs)).astype(np.int64)
@@ -238,20 +286,21 @@ def _score(shard, part: int):
     return run
 
 
-def _finish(divisor: float):
-    """Passed rows with (place, n) of the words that the join found -> rows whose tokens are all scored."""
+def _finish(divisor: float, noise: float):
+    """Passed rows with (place, n, t) of the words that the join found -> rows whose tokens are all scored."""
     schema = pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
         for b in batches:
             out = []
             for rid, part, d, n, known, base, score, size, before, token, n_before, n_token, n_pair, got in zip(*([*c] for c in b.columns), strict=True):
-                counts = np.zeros(size.as_py() + 1)  # the last is for places of -1
+                counts, sums = np.zeros(size.as_py() + 1), np.zeros(size.as_py() + 1)  # the last is for places of -1
                 if got.is_valid:
-                    counts[got.values.field("k").to_numpy()] = got.values.field("n").to_numpy()
+                    k = got.values.field("k").to_numpy()
+                    counts[k], sums[k] = got.values.field("n").to_numpy(), got.values.field("t").to_numpy()
                 at, of = token.values.to_numpy(), before.values.to_numpy()
-                c, v = n_token.values.to_numpy() + counts[at], n_before.values.to_numpy() + counts[of]
-                more, c_open = log_p(v, c, n_pair.values.to_numpy(), divisor).sum(), c[at >= 0]
+                c, v = n_token.values.to_numpy() + counts[at], n_before.values.to_numpy() + sums[of]
+                more, c_open = log_p(v, c, n_pair.values.to_numpy(), divisor, noise).sum(), c[at >= 0]
                 out.append((rid.as_py(), part.as_py(), d.as_py(), n.as_py(), known.as_py() + int((c_open > 0).sum()), base.as_py() + float(np.log10(c_open + 0.5).sum()), score.as_py() + float(more)))
             yield rows_to_batch(out, schema)
 
@@ -260,29 +309,51 @@ def _finish(divisor: float):
 
 @dataclass
 class LanguageModel:
-    vocabulary: DataFrame  # word (hash), n
-    filters: DataFrame  # bucket, bytes, bits
+    vocabulary: DataFrame  # word (hash), n, t
+    filters: DataFrame  # bucket, words64, taken, bits
     buckets: int
+    hot: np.ndarray
     train_tokens: int
     types: int
     least_common: int  # words of at least this count are frequent
-    docs: int
+    start: int
+    taken: float
 
     @property
     def divisor(self) -> float:
         return self.train_tokens + 0.5 * (self.types + 1)
 
+    @property
+    def noise(self) -> float:
+        return self.taken * (self.types + 1)
+
+
+def hot_words(texts: DataFrame, n_docs: int) -> np.ndarray:
+    """START and the commonest words of about HOT_DOCS documents, sorted."""
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(min(1.0, HOT_DOCS / max(1, n_docs)) * (1 << 53)))
+
+    def run(batches):
+        for b in batches:
+            words, counts = np.unique(np.concatenate([tokens(t) for t in bytes_of(b.column(0))] or [np.array([], np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], names=["word", "n"])
+
+    top = sample.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HOT).collect()
+    return np.unique(np.array([START, *(np.int64(r.word).astype(np.uint64) for r in top)], dtype=np.uint64))
+
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_each: int = BITS) -> LanguageModel:
     """Counts over all rows of docs."""
     small_batches(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col)
     chars, n_docs = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(16, ceil(chars / CHARS_A_BUCKET))
-    blocks = texts.select("text").mapInArrow(_fold(buckets), "kind int, bucket int, keys binary, counts binary")
-    merged = stash(blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merge, "kind int, key long, n long, bits binary"), "ngrams", by=["kind"])
-    vocabulary = merged.where("kind = 0").select(F.col("key").alias("word"), "n")
-    filters = merged.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), F.length("bits").alias("bytes"), "bits")
+    hot = hot_words(texts, n_docs)
+    blocks = texts.select("text").mapInArrow(_fold(buckets, hot), "kind int, bucket int, keys binary, counts binary, contexts binary")
+    merged = stash(blocks.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merge(bits_each), _MERGED_SQL), "ngrams", by=["kind"])
+    both = merged.where("kind <> 1").groupBy(F.col("key").alias("word")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((0, "n"), (2, "t"))])
+    both = stash(both, "words")
+    vocabulary = both.where("n > 0")
+    filters = merged.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), (F.length("bits") / 8).cast("long").alias("words64"), "taken", "bits")
     # a histogram of log-spaced counts settles from which count on words are frequent
     step = F.floor(F.log2("n") * 16).cast("int")
     by_count = sorted((r.step, r.low, r.types, r.tokens) for r in vocabulary.groupBy(step.alias("step")).agg(F.min("n").alias("low"), F.count("*").alias("types"), F.sum("n").alias("tokens")).collect())
@@ -292,36 +363,37 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> La
             break
         room -= k
         least = low
-    return LanguageModel(vocabulary, filters, buckets, int(total), int(types), int(least), int(n_docs))
+    start = both.where(F.col("word") == int(START.astype(np.int64))).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+    rate = filters.agg(F.coalesce(F.sum(F.col("taken") * F.col("words64")) / F.sum("words64"), F.lit(0.0))).first()[0]
+    return LanguageModel(vocabulary, filters, buckets, hot, int(total), int(types), int(least), int(start), float(rate))
 
 
 def _shards(model: LanguageModel) -> Iterator[Shard]:
     """One shard after the other; each is collected by itself and bounded by SHARD_BYTES."""
-    got = model.vocabulary.where(F.col("n") >= model.least_common).toArrow()
-    words, counts = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    got = model.vocabulary.where(F.col("n") >= model.least_common).select("word", "n", "t").toArrow()
+    words, counts, sums = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy(), got.column("t").to_numpy()
     order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    sizes = dict(model.filters.select("bucket", "bytes").collect())
-    others = model.types - len(words)
+    words, counts, sums = words[order], counts[order], sums[order]
+    sizes = dict(model.filters.select("bucket", "words64").collect())
     plan: list[list[int]] = [[]]
     load = 0
     for b in sorted(sizes):
-        if load + sizes[b] > SHARD_BYTES and plan[-1]:
+        if load + 8 * sizes[b] > SHARD_BYTES and plan[-1]:
             plan.append([])
             load = 0
         plan[-1].append(b)
-        load += sizes[b]
+        load += 8 * sizes[b]
     for k, some in enumerate(plan):
-        starts, bits_of = np.full(model.buckets, -1, dtype=np.int64), np.full(model.buckets, 64, dtype=np.int64)
+        starts, words64 = np.full(model.buckets, -1, dtype=np.int64), np.full(model.buckets, 1, dtype=np.int64)
         low, high = (some[0], some[-1]) if some else (0, -1)
         bits = bytearray()
         for r in model.filters.where(F.col("bucket").between(low, high)).select("bucket", "bits").toLocalIterator():
-            starts[r.bucket], bits_of[r.bucket] = len(bits), 8 * len(r.bits)
+            starts[r.bucket], words64[r.bucket] = len(bits) // 8, len(r.bits) // 8
             bits += r.bits
         if k == len(plan) - 1:  # buckets without any pair: a shared empty one, in the last shard
-            starts[[b for b in range(model.buckets) if b not in sizes]] = len(bits)
+            starts[[b for b in range(model.buckets) if b not in sizes]] = len(bits) // 8
             bits += bytes(8)
-        yield Shard(words, counts, starts, bits_of, np.frombuffer(bytes(bits), np.uint8), float(others), float(model.docs), max(model.divisor, 1.0), k == 0)
+        yield Shard(words, counts, sums, starts, words64, np.frombuffer(bytes(bits), np.uint64), float(model.types - len(words)), float(model.start), model.hot, model.divisor, model.noise)
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,14 +409,14 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         parts = part if parts is None else parts.unionByName(part)
     if model.least_common > 1:  # some words are not among the frequent ones
         others = parts.select("rid", "part", F.posexplode("words").alias("k", "word")).join(model.vocabulary.where(F.col("n") < model.least_common), "word")
-        others = others.groupBy("rid", "part").agg(F.collect_list(F.struct("k", "n")).alias("got"))
+        others = others.groupBy("rid", "part").agg(F.collect_list(F.struct("k", "n", "t")).alias("got"))
         cols = [F.col(c) if c != "words" else F.size("words").alias("size") for c in parts.columns]
-        done = parts.join(others, ["rid", "part"], "left").select(*cols, "got").mapInArrow(_finish(max(model.divisor, 1.0)), _SCORED)
+        done = parts.join(others, ["rid", "part"], "left").select(*cols, "got").mapInArrow(_finish(model.divisor, model.noise), _SCORED)
     else:
         done = parts.select("rid", "part", "doc_id", "n_tokens", "n_known", "base_log", "score")
     if k:
         done = done.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base_log", "score")])
-    base = F.col("base_log") - F.col("n_tokens") * log10(max(model.divisor, 1e-300))
+    base = F.col("base_log") - F.col("n_tokens") * log10(model.divisor)
     return done.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), "score")
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from tarnwood.llm import lm
-from tarnwood.llm.lm import bucket_filter, bucket_of, op9_lm_bloom, score, train
+from tarnwood.llm.lm import bucket_filter, bucket_of, op9_lm_bloom, score, taken, train
 
 
 def toks(t):
@@ -59,29 +60,102 @@ def test_shards_add_up(docs, monkeypatch):
     assert [x[0] for x in a] == [x[0] for x in b] and [x[1] for x in a] == pytest.approx([x[1] for x in b])
 
 
+def shard_of(bits):
+    z, none = np.zeros(1, np.int64), np.array([], np.uint64)
+    return lm.Shard(none, np.array([]), np.array([]), z, np.array([len(bits)]), bits, 1.0, 1.0, none, 1.0, 0.0)
+
+
 def test_counts_are_never_too_low():
     rng = np.random.RandomState(1)
     keys = np.unique(rng.randint(0, 2**63, 4000, dtype=np.int64).astype(np.uint64) << np.uint64(1))
-    counts = rng.randint(2, 3000, len(keys))
+    counts = rng.randint(1, 3000, len(keys))
     bits = bucket_filter(keys, counts)
-    z = np.zeros(1, np.int64)
-    s = lm.Shard(np.array([], np.uint64), np.array([]), z, np.array([8 * len(bits)]), bits, 1.0, 1.0, 1.0, True)
+    s = shard_of(bits)
     got = s.count(keys, np.zeros(len(keys), np.int64))
-    assert (got >= counts / 1.5).all() and np.median(got / counts) < 1.6
+    q = 2 ** np.floor(np.log2(counts))
+    assert (got >= q).all() and (got == q).mean() > 0.97
     absent = s.count(keys + np.uint64(1), np.zeros(len(keys), np.int64))
-    assert (absent > 0).mean() < 0.03
+    assert (absent > 0).mean() == pytest.approx(taken(bits), abs=0.01) and taken(bits) < 0.02
     assert bucket_of(keys, 7).max() < 7
 
 
+def pair(model, v, w):
+    v, w = (np.array([lm.START if x is None else lm.tokens(x)[0]]) for x in (v, w))
+    return lm.pair_keys(v, w, model.hot)
+
+
 def test_pairs_seen_once_are_held(docs):
     model = train(docs("b c", *["a b", "c d"] * 3))
     (s,) = lm._shards(model)
-    keys = lm.pair_keys(lm.tokens(b"b c"))[1:2]
+    keys = pair(model, b"b", b"c")
     assert s.count(keys, bucket_of(keys, model.buckets)).tolist() == [1.0]
     got = {r.doc_id: r.score for r in score(docs("b c", "b a"), model).collect()}
     assert got[0] > got[1] + 0.1
 
 
+TEXTS = ["the cat sat on the mat", "the cat sat", "the dog sat on the cat", "a dog", "", "the the the cat"] * 3 + [f"the u{i} sat" for i in range(30)]
+
+
+def model_by_hand(texts):
+    """(c, N, V, T, q) by counting; q as counts are quantised."""
+    c, pairs = Counter(), Counter()
+    for t in texts:
+        seq = toks(t)
+        c.update(seq)
+        pairs.update(zip([None, *seq[:-1]], seq, strict=True))
+    q = {p: 2 ** (n.bit_length() - 1) for p, n in pairs.items()}
+    sums = Counter()
+    for (v, _), x in q.items():
+        sums[v] += x
+    return c, sum(c.values()), len(c), sums, q
+
+
+def p_by_hand(model, v, w, noise, q_of=None):
+    c, n, types, sums, q = model
+    t = sums[v]
+    lam = t / (t + noise + lm.DAMP)
+    x = q.get((v, w), 0) if q_of is None else q_of(v, w)
+    return lam * min(t, x) / max(t + noise, 1.0) + (1 - lam) * (c[w] + 0.5) / (n + 0.5 * (types + 1))
+
+
+@pytest.mark.parametrize(("hot", "common", "shard_bytes"), [(512, 500_000, 64_000_000), (1, 3, 64), (1, 500_000, 64)])
+def test_scores_against_a_model_by_hand(docs, monkeypatch, hot, common, shard_bytes):
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "COMMON", common)
+    monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+    model, hand = train(docs(*TEXTS), bits_each=40_000), model_by_hand(TEXTS)  # so roomy that no absent pair is taken for present
+    assert model.start == hand[3][None] and model.taken < 1e-6
+    new = [*TEXTS, "the zebra sat on a u7", "u1 u2 zz", None]
+    for r in score(docs(*new), model).collect():
+        seq = toks(new[r.doc_id])
+        want = sum(log10(p_by_hand(hand, v, w, model.noise)) for v, w in zip([None, *seq[:-1]], seq, strict=True))
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
+def test_probabilities_add_up_to_one(docs):
+    """Over all words, the end and an unknown one, after every context: as counted, and with the filter's own answers on average."""
+    hand = model_by_hand(TEXTS)
+    words = [*hand[0], b"never seen"]
+    for v in [None, *(w for w in hand[0] if w != "end"), b"never seen"]:
+        assert sum(p_by_hand(hand, v, w, 0.0) for w in words) == pytest.approx(1)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 700}" for _ in range(60)) for _ in range(150)]
+    hand = model_by_hand(texts)
+    tokens = np.array([lm.END if w == "end" else lm.tokens(w)[0] for w in hand[0]])
+    for bits_each in (6, 4000):  # at 6, many absent pairs are taken for present, so a context's sum is one only on average
+        model = train(docs(*texts), bits_each=bits_each)
+        (s,) = lm._shards(model)
+        sums = []
+        for v, w in [(None, lm.START), *((w, lm.tokens(w)[0]) for w in hand[0] if w != "end")]:
+            keys = lm.pair_keys(np.full(len(tokens), w), tokens, model.hot)
+            q = dict(zip(hand[0], s.count(keys, bucket_of(keys, model.buckets)), strict=True))
+            sums.append(sum(p_by_hand(hand, v, w, model.noise, lambda _, w, q=q: q[w]) for w in hand[0]) + p_by_hand(hand, v, "never seen", model.noise, lambda *_: 0))
+        if bits_each == 6:
+            assert model.taken > 0.01 and np.mean(sums) == pytest.approx(1, abs=0.02)
+        else:
+            assert sums == pytest.approx([1] * len(sums), abs=1e-3)
+
+
 def test_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
     df = docs(None, "", *(f"the cat{i % 5} sat on mat{i % 3} u{i}" for i in range(50)))
     new = docs("u1 the", "zz u2 u3 zz", "cat1 sat on u7 mat2", "", ids=[1, 1, None, 3])
