@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds at most. A batch of very long documents stays far below a worker's memory.
 BATCH_ROWS = 256
+#: Bytes beyond which a batch takes no further row.
+BATCH_BYTES = 16_000_000
 #: Entries of a worker's word cache; when it is full it starts anew.
 CACHE_WORDS = 150_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows: documents differ in length by four orders of magnitude."""
+    """Bound Arrow batches by rows and bytes: documents differ in length by four orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

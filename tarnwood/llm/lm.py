@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import M2, ascii_words, bytes_of, id_and_text, in_chunks, mix, rows_to_batch, small_batches, stash, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-#: Tokens that a counting task folds at once; characters of input for each bucket of keys.
-CHUNK, CHARS_A_BUCKET = 2_000_000, 8_000_000
+#: Tokens that a counting task folds at once; characters of input for each bucket of keys; keys in a row that is dealt.
+CHUNK, CHARS_A_BUCKET, ROW = 2_000_000, 8_000_000, 8_192
 COMMON, SHARD_BYTES = 500_000, 64_000_000
 #: Words whose pairs are spread over all buckets; documents that they are taken from.
 HOT, HOT_DOCS = 512, 2_000
@@ -76,7 +76,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)).astype(np.int64) * buckets) >> 24
 
 
-_BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("contexts", pa.binary())])
+_BLOCK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary())])
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -94,13 +94,17 @@ def _fold(buckets: int, hot: np.ndarray):
             for kind in (0, 1):
                 if kind:
                     keys, first, counts = np.unique(pair_keys(before, flat, hot), return_index=True, return_counts=True)
+                    other = before[first]
                 else:
-                    keys, counts = np.unique(flat, return_counts=True)
+                    other, counts = np.unique(flat, return_counts=True)
+                    keys = mix(other)  # a word goes where pairs go whose context it is
+                    order = np.argsort(keys)
+                    keys, other, counts = keys[order], other[order], counts[order]
                 cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
                 for i in range(buckets):
-                    k = slice(cut[i], cut[i + 1])
-                    if cut[i] < cut[i + 1]:
-                        yield kind, i, keys[k].tobytes(), _packed(counts[k]), before[first[k]].tobytes() if kind else b""
+                    for low in range(cut[i], cut[i + 1], ROW):
+                        k = slice(low, min(low + ROW, cut[i + 1]))
+                        yield i, kind, keys[k].tobytes(), _packed(counts[k]), other[k].tobytes()
 
         def rows():
             held, n = [], 0
@@ -149,39 +153,52 @@ def taken(bits: np.ndarray) -> float:
     return float(((np.bitwise_count(bits) / 64) ** PROBES).mean())
 
 
-_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("taken", pa.float64()), ("bits", pa.binary())])
-_MERGED_SQL = "kind int, key long, n long, taken double, bits binary"
+_MERGED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("t", pa.int64()), ("taken", pa.float64()), ("bits", pa.binary())])
+_MERGED_SQL = "kind int, key long, n long, t long, taken double, bits binary"
 
 
-def _merge(bits_each: int):
-    """Blocks in order of (kind, bucket) -> 0: counts of words; 1: a filter for each bucket of pairs; 2: sums of q by context, in parts."""
+def _merge(hot: np.ndarray, bits_each: int):
+    """Blocks in order of (bucket, kind) -> 0: words with their counts and T; 1: the filter of each bucket; 2: the same as 0 for hot words, in parts."""
 
     def run(batches):
         def groups():
-            at, held = None, []
+            at, held = None, ([], [])
             for b in batches:
-                for kind, bucket, keys, counts, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (kind, bucket) != at and held:
+                for bucket, kind, keys, counts, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if bucket != at and at is not None:
                         yield at, held
-                        held = []
-                    at = (kind, bucket)
-                    held.append((k := np.frombuffer(keys, np.uint64), _counts(counts, len(k)), np.frombuffer(before, np.uint64)))
-            if held:
+                        held = ([], [])
+                    at = bucket
+                    held[kind].append((k := np.frombuffer(keys, np.uint64), _counts(counts, len(k)), np.frombuffer(words, np.uint64)))
+            if at is not None:
                 yield at, held
 
-        def table(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.float64()), pa.nulls(len(keys), pa.binary())], schema=_MERGED)
-
-        for (kind, bucket), held in groups():
-            keys, first, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([c for _, c, _ in held]), minlength=len(keys)).astype(np.int64)
-            if kind:
-                before, of = np.unique(np.concatenate([v for _, _, v in held])[first], return_inverse=True)
-                yield table(2, before, np.bincount(of, weights=2.0 ** (levels_of(counts) - 1)))
+        def folded(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Keys, counts, words."""
+            if not held:
+                return np.array([], np.uint64), np.array([], np.int64), np.array([], np.uint64)
+            keys, counts, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[first], np.add.reduceat(counts[order].astype(np.int64), first), words[order[first]]
+
+        def table(kind: int, words: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), kind, np.int32)), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64)), pa.nulls(len(words), pa.float64()), pa.nulls(len(words), pa.binary())], schema=_MERGED)
+
+        for bucket, (of_words, of_pairs) in groups():
+            _, n, words = folded(of_words)
+            keys, counts, before = folded(of_pairs)
+            every, of = np.unique(np.concatenate((words, before)), return_inverse=True)
+            n = np.bincount(of[: len(words)], weights=n, minlength=len(every))
+            t = np.bincount(of[len(words) :], weights=2.0 ** (levels_of(counts) - 1), minlength=len(every))
+            spread = np.isin(every, hot)
+            yield table(0, every[~spread], n[~spread], t[~spread])
+            yield table(2, every[spread], n[spread], t[spread])
+            if len(keys):
                 bits = bucket_filter(keys, counts, bits_each)
-                yield rows_to_batch([(1, bucket, len(keys), taken(bits), bits.tobytes())], _MERGED)
-            else:
-                yield table(0, keys, counts)
+                yield rows_to_batch([(1, bucket, len(keys), None, taken(bits), bits.tobytes())], _MERGED)
 
     return run
 
@@ -348,11 +365,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_
     chars, n_docs = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(16, ceil(chars / CHARS_A_BUCKET))
     hot = hot_words(texts, n_docs)
-    blocks = texts.select("text").mapInArrow(_fold(buckets, hot), "kind int, bucket int, keys binary, counts binary, contexts binary")
-    merged = stash(blocks.repartition(buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_merge(bits_each), _MERGED_SQL), "ngrams", by=["kind"])
-    both = merged.where("kind <> 1").groupBy(F.col("key").alias("word")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((0, "n"), (2, "t"))])
-    both = stash(both, "words")
-    vocabulary = both.where("n > 0")
+    blocks = texts.select("text").mapInArrow(_fold(buckets, hot), "bucket int, kind int, keys binary, counts binary, words binary")
+    merged = stash(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_merge(hot, bits_each), _MERGED_SQL), "ngrams", by=["kind"])
+    parts = merged.where("kind = 2").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()  # HOT words and START
+    spread = docs.sparkSession.createDataFrame([(r.word, r.n, r.t) for r in parts if r.n], "word long, n long, t long")
+    start = sum(r.t for r in parts if not r.n)
+    vocabulary = merged.where("kind = 0").select(F.col("key").alias("word"), "n", "t").unionByName(spread)
     filters = merged.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), (F.length("bits") / 8).cast("long").alias("words64"), "taken", "bits")
     # a histogram of log-spaced counts settles from which count on words are frequent
     step = F.floor(F.log2("n") * 16).cast("int")
@@ -363,7 +381,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_
             break
         room -= k
         least = low
-    start = both.where(F.col("word") == int(START.astype(np.int64))).agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
     rate = filters.agg(F.coalesce(F.sum(F.col("taken") * F.col("words64")) / F.sum("words64"), F.lit(0.0))).first()[0]
     return LanguageModel(vocabulary, filters, buckets, hot, int(total), int(types), int(least), int(start), float(rate))
 
