@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_and_text, pass_rows, rows_to_batch, small_batches, stash
 
-SAMPLE, RANK, OVERSAMPLE, POWERS = 3_000, 160, 16, 2
+SAMPLE, RANK, OVERSAMPLE, POWERS = 3_000, 96, 16, 2
 COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 0.15, 0.7, 0.5, 0.8, 8
 ITEMS, LEAST_WINDOW, STEP = 2_000, 32, 8
 #: Words that are searched at once; items whose cosines are taken at once.
@@ -60,10 +60,9 @@ def lcs(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
     """Length of the longest common subsequence with an item of n words, bit-parallel; masks: word -> its positions."""
     full = (1 << n) - 1
     v = full
-    for w in words:
-        if m := masks.get(w):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+    for m in filter(None, map(masks.get, words)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
@@ -115,15 +114,17 @@ class Scale:
 
     words: int
     which: np.ndarray  # numbers of the items
-    holds: np.ndarray  # vocabulary and none x (body words of each item, answer words of each item): 1 for words that tell
+    column: int  # of the first item's body words in the table of words that tell; those of the items' answers come after all bodies
     needs: np.ndarray  # 3 x items: of the body for a paraphrase, of the answer for it, of the body for a copy
 
 
-def scales_of(items: list[Item], vocabulary: dict[bytes, int], df: dict[bytes, int]) -> list[Scale]:
-    out = []
+def scales_of(items: list[Item], vocabulary: dict[bytes, int], df: dict[bytes, int]) -> tuple[list[Scale], np.ndarray]:
+    """By window size the items, and a table of vocabulary and none x (body words, answer words): 1 for words that tell."""
+    out, width = [], 2 * sum(len(x.words) >= SHORT for x in items)
+    holds = np.zeros((len(vocabulary) + 1, width), np.uint8 if 2 * max((x.scale for x in items), default=0) < 250 else np.uint32)
+    column = 0
     for scale in sorted({x.scale for x in items if len(x.words) >= SHORT}):
         which = [i for i, x in enumerate(items) if x.scale == scale and len(x.words) >= SHORT]
-        holds = np.zeros((len(vocabulary) + 1, 2 * len(which)), np.uint8 if 2 * scale < 250 else np.uint32)
         needs = np.zeros((3, len(which)), np.int64)
         for k, i in enumerate(which):
             x = items[i]
@@ -131,26 +132,38 @@ def scales_of(items: list[Item], vocabulary: dict[bytes, int], df: dict[bytes, i
             common = sorted(x.masks, key=lambda w: (-df[w], w))
             body, left = beside_common([(w, x.masks[w].bit_count()) for w in common], half := least(PARAPHRASE, n), max(1, n // 8))
             answer, said = beside_common([(w, 1) for w in common if w in x.answer], least(ANSWER, a), max(1, a // 3))
-            holds[[vocabulary[w] for w in body], k] = 1
-            holds[[vocabulary[w] for w in answer], len(which) + k] = 1
+            holds[[vocabulary[w] for w in body], column + k] = 1
+            holds[[vocabulary[w] for w in answer], column + len(which) + k] = 1
             needs[:, k] = left, said, left + least(COPY, n) - half
-        out.append(Scale(scale, np.array(which), holds, needs))
+        out.append(Scale(scale, np.array(which), column, needs))
+        column += 2 * len(which)
+    return out, holds
+
+
+def block_sums(table: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of a table's rows over blocks of STEP word numbers; what is no word has the last row."""
+    places = np.ascontiguousarray(np.where(n < 0, len(table) - 1, n).astype(np.intp).reshape(-1, STEP).T)
+    out, row = table.take(places[0], axis=0, mode="clip"), np.empty((places.shape[1], table.shape[1]), table.dtype)
+    for at in places[1:]:
+        out += table.take(at, axis=0, out=row, mode="clip")
     return out
 
 
 class Sums:
-    """Sums of rows of a table over runs of blocks of STEP words, each within its piece, by doubling."""
+    """Sums of blocks over runs of them, each within its piece, by doubling."""
 
-    def __init__(self, table: np.ndarray, n: np.ndarray, of: np.ndarray):
+    def __init__(self, blocks: np.ndarray, of: np.ndarray):
         self.of = of
-        self.known = {1: table[n].reshape(-1, STEP, table.shape[1]).sum(axis=1, dtype=table.dtype)}
+        self.known = {1: blocks}
 
     def over(self, size: int) -> np.ndarray:
         if size not in self.known:
             half = 1 << (size - 1).bit_length() - 1
             a, b = self.over(half), self.over(size - half)
             both = a.copy()
-            both[:-half] += b[half:] * (self.of[half:] == self.of[:-half])[:, None].astype(b.dtype)
+            both[:-half] += b[half:]
+            over = np.flatnonzero(self.of[half:] != self.of[:-half])
+            both[over] = a[over]
             self.known[size] = both
         return self.known[size]
 
@@ -163,6 +176,7 @@ class Index:
     queries: np.ndarray = field(default=None)  # items x rank, of length 1
     rarest: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # number of a word -> short items of which it is the rarest, its place there
     scales: list[Scale] = field(default_factory=list)
+    holds: np.ndarray = field(default=None)
 
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, float, float]]]:
         """By text: item number -> (share of the longest common subsequence, share of the answer, cosine) of what is contaminated."""
@@ -194,7 +208,8 @@ class Index:
         of = np.repeat(np.arange(len(pieces)), blocks)
         if self.rarest:
             self._short(n, of, first, pieces, out)
-        latent = Sums(self.vectors, n, of)
+        latent = Sums(block_sums(self.vectors, n), of)
+        holds = block_sums(self.holds, n)
         for s in self.scales:
             stride, margin = max(1, s.words // 4 // STEP), -(-s.words // 4 // STEP)
             starts = np.arange(0, len(of), stride)
@@ -205,7 +220,7 @@ class Index:
                 k = slice(a, a + ITEM_SLAB)
                 cosine = x @ self.queries[s.which[k]].T
                 chosen = (cosine >= COSINE * length[:, None]) & (length > 1e-6)[:, None]
-                i, j = np.nonzero(chosen & self._may(s, k, n, of, near, s.words // STEP + 2 * margin))
+                i, j = np.nonzero(chosen & self._may(s, k, holds, of, near, s.words // STEP + 2 * margin))
                 for b, item, c in zip(starts[i].tolist(), s.which[a + j].tolist(), (cosine[i, j] / length[i]).tolist(), strict=True):
                     d, low, words, _ = pieces[of[b]]
                     if out[d].get(item, (0,))[0] == 1.0:
@@ -214,10 +229,9 @@ class Index:
                     if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
                         out[d][item] = max(out[d].get(item, (0.0, 0.0, 0.0)), (share, answer, c))
 
-    def _may(self, s: Scale, k: slice, n: np.ndarray, of: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
+    def _may(self, s: Scale, k: slice, holds: np.ndarray, of: np.ndarray, near: np.ndarray, size: int) -> np.ndarray:
         """windows x items: whether a window's surroundings hold the words that a match holds at least."""
-        body = Sums(np.ascontiguousarray(s.holds[:, : len(s.which)][:, k]), n, of).over(size)[near]
-        answer = Sums(np.ascontiguousarray(s.holds[:, len(s.which) :][:, k]), n, of).over(size)[near]
+        body, answer = (Sums(np.ascontiguousarray(holds[:, c : c + len(s.which)][:, k]), of).over(size)[near] for c in (s.column, s.column + len(s.which)))
         needs = s.needs[:, k].astype(body.dtype)
         return (body >= needs[0]) & (answer >= needs[1]) | (body >= needs[2])
 
@@ -236,7 +250,8 @@ class Index:
     def compare(self, item: Item, words: list[bytes], start: int) -> tuple[float, float]:
         margin = item.scale // 4
         words = words[max(0, start - margin) : start + item.scale + margin]
-        return lcs(item.masks, len(item.words), words) / len(item.words), len(item.answer.intersection(words)) / len(item.answer)
+        share = lcs(item.masks, len(item.words), words) / len(item.words)
+        return share, len(item.answer.intersection(words)) / len(item.answer) if share >= PARAPHRASE else 0.0
 
 
 def _frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -305,7 +320,7 @@ def build(texts: DataFrame, items: list[Item], df: dict[bytes, int], n_docs: int
     index.vectors = np.concatenate((weight[:, None] * v, np.zeros((1, rank)))).astype(np.float32)
     queries = np.array([index.vectors[[index.vocabulary[w] for w in x.words]].sum(axis=0) for x in items])
     index.queries = (queries / (np.sqrt((queries**2).sum(axis=1, keepdims=True)) + 1e-9)).astype(np.float32)
-    index.scales = scales_of(items, index.vocabulary, df)
+    index.scales, index.holds = scales_of(items, index.vocabulary, df)
     for i, x in enumerate(items):
         if len(x.words) < SHORT:
             rarest = min(x.words, key=lambda w: (df[w], w))

@@ -81,7 +81,7 @@ def index_of(items, df):
     """An index whose latent space is of one direction that every window has, so that the cosine chooses all."""
     vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     index = Index(items, vocabulary, np.ones((len(vocabulary) + 1, 1), np.float32), np.ones((len(items), 1), np.float32))
-    index.scales = scales_of(items, vocabulary, df)
+    index.scales, index.holds = scales_of(items, vocabulary, df)
     return index
 
 
