@@ -87,6 +87,42 @@ def language(path: Column) -> Column:
     return one_of(extension(path), LANGUAGES)
 
 
+#: Interpreters, and what the first lines of a file without extension begin with, in order.
+INTERPRETERS = {"python": "python", "node": "javascript", "nodejs": "javascript", "deno": "javascript", "bun": "javascript", "ts": "typescript", "tsx": "typescript", "ruby": "ruby", "php": "php"}
+OPENINGS = (
+    (r"<\?php", "php"), (r"package main", "go"), (r"package .*;\s*$", "java"), (r"import java\.|public class ", "java"), (r"from __future__|from typing |def .*:", "python"),
+    (r"fn main|use std::", "rust"), (r"func .*\(", "go"), (r"require |require_relative ", "ruby"), (r"function |const |import \{|export ", "javascript"),
+)
+HEAD_CHARS, HEAD_LINES = 200, 20
+
+
+def interpreter(head: Column) -> Column:
+    """The language of a #! line: the first word's last part, or with env the first word that is no option."""
+    words = F.split(F.trim(F.regexp_extract(head, r"^#!([^\n]*)", 1)), r"\s+")
+    first = F.substring_index(words[0], "/", -1)
+    other = F.element_at(F.filter(F.slice(words, 2, 100), lambda w: ~w.startswith("-")), 1)
+    return one_of(F.regexp_extract(F.when(first == "env", other).otherwise(first), "^([A-Za-z]*)", 1), INTERPRETERS)
+
+
+def opening(head: Column) -> Column:
+    """The language of the first line among the first that begins as one does."""
+    lines = F.slice(F.split(F.regexp_replace(F.substring(head, 1, HEAD_CHARS), r"^#![^\n]*\n?", ""), "\n"), 1, HEAD_LINES)
+
+    def of(line: Column) -> Column:
+        out = None
+        for pattern, lang in OPENINGS:
+            hit = line.rlike(r"^\s*(" + pattern + ")")
+            out = F.when(hit, lang) if out is None else out.when(hit, lang)
+        return out
+
+    return F.try_element_at(F.array_compact(F.transform(lines, of)), F.lit(1))
+
+
+def language_of(path: Column, head: Column) -> Column:
+    """By extension, else by interpreter, else by content."""
+    return F.coalesce(language(path), interpreter(head), opening(head))
+
+
 def fingerprint(*parts: Column) -> Column:
     """SHA-256 over parts joined by NUL: stays when a finding moves."""
     return F.sha2(F.concat_ws("\u0000", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

@@ -1,4 +1,4 @@
-"""Abstract values as columns: intervals, known bits, strings, tri-states, sets. NULL is the top of each lattice."""
+"""Abstract values as columns: intervals, known bits, strings, tri-states, sets. NULL is the top of each lattice; bottom is named by each."""
 
 from __future__ import annotations
 
@@ -12,57 +12,144 @@ def _both(a: Column, b: Column, value: Column) -> Column:
 
 
 def interval(lo: Column, hi: Column) -> Column:
+    """[lo, hi]; a null bound is open, lo above hi is bottom, the value of what is never reached."""
     return F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
 
 
-def join(a: Column, b: Column) -> Column:
-    return interval(_both(a.lo, b.lo, F.least(a.lo, b.lo)), _both(a.hi, b.hi, F.greatest(a.hi, b.hi)))
-
-
-def meet(a: Column, b: Column) -> Column:
-    return interval(F.greatest(a.lo, b.lo), F.least(a.hi, b.hi))
+def bottom() -> Column:
+    return interval(F.lit(1), F.lit(0))
 
 
 def is_bottom(a: Column) -> Column:
     return F.coalesce(a.lo > a.hi, F.lit(False))
 
 
+def _strict(a: Column, b: Column, value: Column) -> Column:
+    """Bottom if either is."""
+    return F.when(is_bottom(a) | is_bottom(b), bottom()).otherwise(value)
+
+
+def _other(a: Column, b: Column, value: Column) -> Column:
+    """The other one if one is bottom."""
+    return F.when(is_bottom(a), b).when(is_bottom(b), a).otherwise(value)
+
+
+def join(a: Column, b: Column) -> Column:
+    return _other(a, b, interval(_both(a.lo, b.lo, F.least(a.lo, b.lo)), _both(a.hi, b.hi, F.greatest(a.hi, b.hi))))
+
+
+def meet(a: Column, b: Column) -> Column:
+    both = interval(F.greatest(a.lo, b.lo), F.least(a.hi, b.hi))
+    return _strict(a, b, F.when(is_bottom(both), bottom()).otherwise(both))
+
+
 def widen(old: Column, new: Column) -> Column:
     """A bound that moved is given up."""
-    return interval(F.when(old.lo.eqNullSafe(new.lo), old.lo), F.when(old.hi.eqNullSafe(new.hi), old.hi))
+    return _other(old, new, interval(F.when(old.lo.eqNullSafe(new.lo), old.lo), F.when(old.hi.eqNullSafe(new.hi), old.hi)))
 
 
 def leq(a: Column, b: Column) -> Column:
-    return (b.lo.isNull() | F.coalesce(a.lo >= b.lo, F.lit(False))) & (b.hi.isNull() | F.coalesce(a.hi <= b.hi, F.lit(False)))
+    inside = (b.lo.isNull() | F.coalesce(a.lo >= b.lo, F.lit(False))) & (b.hi.isNull() | F.coalesce(a.hi <= b.hi, F.lit(False)))
+    return is_bottom(a) | (~is_bottom(b) & inside)
 
 
 def add(a: Column, b: Column) -> Column:
-    return interval(F.try_add(a.lo, b.lo), F.try_add(a.hi, b.hi))
+    return _strict(a, b, interval(F.try_add(a.lo, b.lo), F.try_add(a.hi, b.hi)))
 
 
 def sub(a: Column, b: Column) -> Column:
-    return interval(F.try_subtract(a.lo, b.hi), F.try_subtract(a.hi, b.lo))
+    return _strict(a, b, interval(F.try_subtract(a.lo, b.hi), F.try_subtract(a.hi, b.lo)))
+
+
+def _known(*xs: Column) -> Column:
+    out = F.lit(True)
+    for x in xs:
+        out = out & x.isNotNull()
+    return out
 
 
 def mul(a: Column, b: Column) -> Column:
-    """Bounds of the four products; one that is unknown or overflows leaves none."""
-    p = [F.try_multiply(x, y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
-    known = p[0].isNotNull() & p[1].isNotNull() & p[2].isNotNull() & p[3].isNotNull()
-    return interval(F.when(known, F.least(*p)), F.when(known, F.greatest(*p)))
+    """Bounds of the four products, in decimals; one that leaves the range is open, an unknown one opens both."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    p = [wide(x) * wide(y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
+    in_range = lambda x: F.when(x.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")), x.cast("long"))
+    known = _known(a.lo, a.hi, b.lo, b.hi)
+    return _strict(a, b, interval(F.when(known, in_range(F.least(*p))), F.when(known, in_range(F.greatest(*p)))))
+
+
+def _no_zero(b: Column) -> Column:
+    return F.coalesce((b.lo > 0) | (b.hi < 0), F.lit(False))
 
 
 def div(a: Column, b: Column) -> Column:
     """Whole quotients, cut towards zero; a divisor that may be zero leaves no bounds."""
     q = [F.when(y != 0, (x - x % y) / y).cast("long") for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
-    known = a.lo.isNotNull() & a.hi.isNotNull() & F.coalesce((b.lo > 0) | (b.hi < 0), F.lit(False)) & b.lo.isNotNull() & b.hi.isNotNull()
-    return interval(F.when(known, F.least(*q)), F.when(known, F.greatest(*q)))
+    known = _known(a.lo, a.hi, b.lo, b.hi) & _no_zero(b)
+    return _strict(a, b, interval(F.when(known, F.least(*q)), F.when(known, F.greatest(*q))))
 
 
 def modulo(a: Column, m: Column) -> Column:
-    """Remainders by a known positive modulus."""
-    ok = F.coalesce((m.lo == m.hi) & (m.lo > 0), F.lit(False))
-    low = F.when(F.coalesce(a.lo >= 0, F.lit(False)), 0).otherwise(-(m.lo - 1))
-    return interval(F.when(ok, low), F.when(ok, m.hi - 1))
+    """Remainders stay below the modulus of the largest size, and are not negative if the dividend isn't; a modulus that may be zero or is open leaves no bounds."""
+    top = F.greatest(F.abs(m.lo), F.abs(m.hi)) - 1
+    known = _known(m.lo, m.hi) & _no_zero(m)
+    low = F.when(F.coalesce(a.lo >= 0, F.lit(False)), 0).otherwise(-top)
+    return _strict(a, m, interval(F.when(known, low), F.when(known, top)))
+
+
+def _single(a: Column, value: int | None = None) -> Column:
+    one = F.coalesce(a.lo == a.hi, F.lit(False))
+    return one if value is None else one & (a.lo == value)
+
+
+def _natural(a: Column) -> Column:
+    return F.coalesce(a.lo >= 0, F.lit(False))
+
+
+def _ones_over(n: Column) -> Column:
+    """The least 2^k - 1 that is n or more."""
+    bits = F.length(F.bin(n))
+    return F.when(n <= 0, F.lit(0).cast("long")).when(bits >= 63, F.lit(2**63 - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+
+
+def bit_and(a: Column, b: Column) -> Column:
+    """Exact for known numbers; a known mask that isn't negative bounds any number, two natural numbers bound each other."""
+    mask = lambda m, rest: F.when(_single(m) & _natural(m), interval(F.lit(0), m.hi)).otherwise(rest)
+    both = F.when(_natural(a) & _natural(b), interval(F.lit(0), F.least(a.hi, b.hi))).otherwise(interval(F.lit(None), F.lit(None)))
+    exact = a.lo.bitwiseAND(b.lo)
+    zero = F.when(_single(a, 0) | _single(b, 0), interval(F.lit(0), F.lit(0))).otherwise(mask(b, mask(a, both)))
+    return _strict(a, b, F.when(_single(a) & _single(b), interval(exact, exact)).otherwise(zero))
+
+
+def _or_like(a: Column, b: Column, exact: Column, low: Column) -> Column:
+    bounded = _natural(a) & _natural(b) & a.hi.isNotNull() & b.hi.isNotNull()
+    some = F.when(bounded, interval(low, _ones_over(F.greatest(a.hi, b.hi)))).otherwise(interval(F.lit(None), F.lit(None)))
+    return _strict(a, b, F.when(_single(a) & _single(b), interval(exact, exact)).when(_single(b, 0), a).when(_single(a, 0), b).otherwise(some))
+
+
+def bit_or(a: Column, b: Column) -> Column:
+    return _or_like(a, b, a.lo.bitwiseOR(b.lo), F.greatest(a.lo, b.lo))
+
+
+def bit_xor(a: Column, b: Column) -> Column:
+    return _or_like(a, b, a.lo.bitwiseXOR(b.lo), F.lit(0))
+
+
+def _shifts(a: Column, s: Column) -> Column:
+    return _known(a.lo, a.hi, s.lo, s.hi) & _natural(a) & F.coalesce((s.lo >= 0) & (s.hi <= 63), F.lit(False))
+
+
+def shift_left(a: Column, s: Column) -> Column:
+    """Of natural numbers; no bounds where a bit may be lost."""
+    by = lambda x, n: F.when(n <= 62, F.try_multiply(x, F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))))
+    lo, hi = by(a.lo, s.lo), by(a.hi, s.hi)
+    ok = _shifts(a, s) & lo.isNotNull() & hi.isNotNull()
+    return _strict(a, s, interval(F.when(ok, lo), F.when(ok, hi)))
+
+
+def shift_right(a: Column, s: Column) -> Column:
+    by = lambda x, n: F.call_function("shiftright", x, n.cast("int"))
+    ok = _shifts(a, s)
+    return _strict(a, s, interval(F.when(ok, by(a.lo, s.hi)), F.when(ok, by(a.hi, s.lo))))
 
 
 def bits_join(a: Column, b: Column) -> Column:

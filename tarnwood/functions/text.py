@@ -40,34 +40,6 @@ def _any(text: Column, *parts: str) -> Column:
     return out
 
 
-def condition_kind(text: Column) -> Column:
-    """What a branch condition tests; the first kind that fits counts."""
-    t = F.lower(text)
-    return (
-        F.when(F.length(text) == 0, "Unknown")
-        .when(_any(t, "is_err", "is_ok", "err != nil", "err == nil", "error != nil", "error == nil"), "ErrorCheck")
-        .when(_any(t, "is_none", "is_some", "== none", "!= none", "is none", "is not none", "== null", "!= null", "=== null", "!== null", "== nil", "!= nil"), "NullCheck")
-        .when(_any(t, "is_empty", ".len() == 0", ".len() != 0", ".length == 0", ".length === 0", ".length != 0", ".length !== 0", '== ""', "== ''"), "EmptyCheck")
-        .when(t.rlike(r"(startswith|starts_with)\([\"']/[\"']\)"), "RelativeUrlValidated")
-        .when(_any(t, ".includes(", ".contains(", ".has(", " in ", "in_array("), "AllowlistCheck")
-        .when(_any(t, "typeof", "instanceof", "isinstance"), "TypeCheck")
-        .when(_any(t, "re.match", ".test(", "is_match", "preg_match", "matches("), "RegexCheck")
-        .when(_any(t, "valid", "sanitiz", "check_"), "ValidationCall")
-        .when(t.rlike("[<>]|[=!]="), "Comparison")
-        .otherwise("Unknown")
-    )
-
-
-def source_kind(callee: Column) -> Column:
-    """The kind of source behind a callee's name; auth material first, then user input, environment, files, stores."""
-    t = F.lower(callee)
-    return (
-        F.when(_any(t, "cookie", "session"), "Cookie").when(_any(t, "header"), "Header")
-        .when(_any(t, "argv", "stdin", "fgets", "scanf", "gets", "recv", "request", "form", "query", "param", "input", "body", "location", "document.url", "document.referrer"), "UserInput")
-        .when(_any(t, "env", "config", "getenv"), "EnvironmentConfig").when(_any(t, "read", "open", "file"), "FileSystem").when(_any(t, "fetch", "cursor", "execute", "find", "select"), "Database").otherwise("Unknown")
-    )
-
-
 def snake(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
 

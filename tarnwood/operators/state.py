@@ -27,3 +27,18 @@ def unchecked(events: DataFrame, use: str, check: str) -> DataFrame:
     """events (subject, seq, event_type): uses with no check at or before them. Only the first check of a subject matters."""
     first = events.where(F.col("event_type") == check).groupBy("subject").agg(F.min("seq").alias("first"))
     return events.where(F.col("event_type") == use).join(first, "subject", "left").where("first IS NULL OR first > seq").select("subject", "seq")
+
+
+def convergence_class(deltas: DataFrame) -> DataFrame:
+    """deltas (subject, seq, delta) in rounds that hit a cap -> subject, class.
+
+    oscillation: the last four are a, b, a, b; plateau: the last two are the same and not 0; shrinking: no round changed more than the one before;
+    unknown: anything else, or less than two rounds. One window and a partial aggregate: a subject's rounds are never collected.
+    """
+    w = Window.partitionBy("subject").orderBy("seq")
+    d = deltas.select("subject", "seq", "delta", *[F.lag("delta", k).over(w).alias(f"d{k}") for k in (1, 2, 3)])
+    last = F.max_by(F.struct("delta", "d1", "d2", "d3"), "seq").alias("last")
+    g = d.groupBy("subject").agg(last, F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("delta") > F.col("d1"), F.lit(False))).alias("grew")).select("subject", "n", "grew", "last.*")
+    swings = (F.col("n") >= 4) & (F.col("delta") == F.col("d2")) & (F.col("d1") == F.col("d3")) & (F.col("delta") != F.col("d1"))
+    kind = F.when(F.col("n") < 2, "unknown").when(swings, "oscillation").when((F.col("delta") == F.col("d1")) & (F.col("delta") > 0), "plateau").when(~F.col("grew"), "shrinking").otherwise("unknown")
+    return g.select("subject", kind.alias("class"))

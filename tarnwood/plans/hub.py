@@ -59,7 +59,7 @@ FROM {orders}
 #: Decisions on findings, and rules that suppress by rule, rule in a file or file.
 TRIAGE = """
 SELECT (((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS pos, CASE l_partkey % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'fixed' WHEN 2 THEN 'accepted_risk' ELSE 'investigating' END AS state, 'note ' || CAST(l_partkey AS STRING) AS note
-FROM {lineitem} WHERE l_orderkey % 9 = 1
+FROM {lineitem} WHERE l_linestatus = 'O'
 """
 RULES = """
 SELECT s_suppkey AS rule_no, CASE s_suppkey % 3 WHEN 0 THEN 'rule' WHEN 1 THEN 'rule_in_file' ELSE 'file' END AS suppress_by,
@@ -67,7 +67,7 @@ SELECT s_suppkey AS rule_no, CASE s_suppkey % 3 WHEN 0 THEN 'rule' WHEN 1 THEN '
     WHEN 1 THEN 'cfg-unguarded-sink:src/' || CAST(s_suppkey % 7 AS STRING) || '/f' || CAST(s_suppkey % 50 AS STRING) || '.php'
     ELSE 'src/' || CAST(s_suppkey % 7 AS STRING) || '/f' || CAST(s_suppkey % 50 AS STRING) || '.py' END AS match_value,
   CASE WHEN s_suppkey % 2 = 0 THEN 'suppressed' ELSE 'false_positive' END AS state, s_suppkey * 37 % 101 AS created_at
-FROM {supplier} WHERE s_suppkey <= 60
+FROM {supplier}
 """
 
 #: Functions and call sites; names repeat, so some calls are ambiguous and some unresolved.
@@ -80,12 +80,12 @@ FROM {part}
 CALL_SITES = """
 SELECT (((l_orderkey * 10 + l_linenumber) * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS site, l_partkey AS caller, 'm' || CAST((l_partkey * 7 + l_linenumber) % 730 AS STRING) AS name, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(l_suppkey % 4 AS INT) END AS arity,
   CASE WHEN l_suppkey % 5 = 0 THEN 'C' || CAST(l_suppkey % 25 AS STRING) ELSE NULL END AS container_hint
-FROM {lineitem} WHERE l_orderkey % 16 = 1
+FROM {lineitem}
 """
 HIERARCHY = "SELECT DISTINCT 'C' || CAST(s_nationkey AS STRING) AS super_type, 'C' || CAST(s_suppkey % 25 AS STRING) AS sub_type FROM {supplier} WHERE s_nationkey <> s_suppkey % 25"
 
 #: A call graph with cycles.
-EDGES = "SELECT DISTINCT ps.p_partkey AS src, (ps.p_partkey * 3 + ps.p_size) % 600 + 1 AS dst FROM {part} ps WHERE ps.p_partkey <= 600 AND ps.p_size % 3 > 0"
+EDGES = "SELECT DISTINCT ps.p_partkey AS src, (ps.p_partkey * 3 + ps.p_size) % (SELECT count(*) FROM {part}) + 1 AS dst FROM {part} ps WHERE ps.p_size % 3 > 0"
 
 #: Attack surface: routes, and what they reach.
 ENTRIES = "SELECT n_nationkey AS idx, '/r/' || CAST(n_nationkey AS STRING) AS route, CASE n_nationkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END AS method, n_nationkey % 3 = 0 AS auth_required, 'src/' || CAST(n_nationkey % 7 AS STRING) || '/f' || CAST(n_nationkey % 50 AS STRING) || '.py' AS file FROM {nation}"
@@ -99,6 +99,9 @@ FROM {supplier}
 #: Lifecycle events of one handle each.
 LIFECYCLE = "SELECT user_id AS subject, event_id AS seq, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'use' WHEN 'error' THEN 'close' ELSE 'other' END AS op FROM {events}"
 
+#: Sizes of change sets by round: steady, falling, in turns and of no order.
+DELTAS = "SELECT user_id AS subject, event_id AS seq, CASE user_id % 5 WHEN 0 THEN 3 WHEN 1 THEN event_id % 7 WHEN 2 THEN 1000000000 - event_id WHEN 3 THEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 2 ELSE 0 END AS delta FROM {events}"
+
 #: Lines of text with markers of directives, secrets and conditions put in by rule.
 LINES = """
 SELECT doc_id, lang, source, n_chars,
@@ -110,7 +113,7 @@ FROM {documents}
 
 TABLES = {
     "findings": FINDINGS, "findings_b": FINDINGS_B, "scans": SCANS, "scan_findings": SCAN_FINDINGS, "triage": TRIAGE, "rules": RULES, "functions": FUNCTIONS, "call_sites": CALL_SITES,
-    "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "text_lines": LINES,
+    "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "text_lines": LINES,
 }
 BASE = ("lineitem", "orders", "customer", "supplier", "part", "nation", "events", "documents")
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import lattice as la
 from .registry import query
 
-#: Pairs of intervals with open ends, as both engines derive them from parts.
-PAIRS = """SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 50 - 20 END AS alo, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 50 - 20 + p_size END AS ahi,
- CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 31 - 15 END AS blo, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 31 - 15 + p_size % 9 END AS bhi,
+#: Pairs of intervals with open ends and bottoms, as both engines derive them from parts.
+PAIRS = """SELECT p_partkey AS k, CASE WHEN p_partkey % 17 = 0 THEN 5 WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 50 - 20 END AS alo, CASE WHEN p_partkey % 17 = 0 THEN 1 WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN p_partkey % 50 - 20 ELSE p_partkey % 50 - 20 + p_size END AS ahi,
+ CASE WHEN p_partkey % 19 = 0 THEN 3 WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 31 - 15 END AS blo, CASE WHEN p_partkey % 19 = 0 THEN -2 WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 31 - 15 + p_size % 9 END AS bhi,
  p_partkey * 37 % 1024 AS az, p_partkey * 11 % 1024 AS bz, p_name AS a_name, p_type AS b_name FROM {part}"""
-DUCK = f"({PAIRS.format(part='part')})"
+DUCK = f"(SELECT *, coalesce(alo > ahi, false) AS abot, coalesce(blo > bhi, false) AS bbot, coalesce(alo = ahi, false) AS aone, coalesce(blo = bhi, false) AS bone, coalesce(alo >= 0, false) AS anat, coalesce(blo >= 0, false) AS bnat FROM ({PAIRS.format(part='part')}))"
 
 
 def pairs(h):
@@ -19,7 +19,18 @@ def pairs(h):
     return df.withColumn("a", la.interval(F.col("alo"), F.col("ahi"))).withColumn("b", la.interval(F.col("blo"), F.col("bhi")))
 
 
-def _interval(name, lo, hi, f):
+def _strict(lo, hi):
+    """Bounds of an operation that is bottom if an operand is."""
+    return f"CASE WHEN abot OR bbot THEN 1 ELSE ({lo}) END", f"CASE WHEN abot OR bbot THEN 0 ELSE ({hi}) END"
+
+
+def _other(lo, hi):
+    return f"CASE WHEN abot THEN blo WHEN bbot THEN alo ELSE ({lo}) END", f"CASE WHEN abot THEN bhi WHEN bbot THEN ahi ELSE ({hi}) END"
+
+
+def _interval(name, bounds, f):
+    lo, hi = bounds
+
     @query(name, f"SELECT k, ({lo})::BIGINT AS lo, ({hi})::BIGINT AS hi FROM {DUCK}")
     def _(h):
         return pairs(h).select("k", f(F.col("a"), F.col("b")).alias("v")).select("k", "v.lo", "v.hi")
@@ -31,31 +42,43 @@ def _known(*xs):
 
 FOUR = "[alo * blo, alo * bhi, ahi * blo, ahi * bhi]"
 QUOT = "[alo / blo, alo / bhi, ahi / blo, ahi / bhi]"
-_interval("x01_interval_join", f"CASE WHEN {_known('alo', 'blo')} THEN least(alo, blo) END", f"CASE WHEN {_known('ahi', 'bhi')} THEN greatest(ahi, bhi) END", la.join)
-_interval("x02_interval_meet", "greatest(alo, blo)", "least(ahi, bhi)", la.meet)
-_interval("x03_interval_widen", "CASE WHEN alo IS NOT DISTINCT FROM blo THEN alo END", "CASE WHEN ahi IS NOT DISTINCT FROM bhi THEN ahi END", la.widen)
-_interval("x05_interval_add", "alo + blo", "ahi + bhi", la.add)
-_interval("x06_interval_sub", "alo - bhi", "ahi - blo", la.sub)
-_interval("x07_interval_mul", f"CASE WHEN {_known('alo', 'ahi', 'blo', 'bhi')} THEN list_min({FOUR}) END", f"CASE WHEN {_known('alo', 'ahi', 'blo', 'bhi')} THEN list_max({FOUR}) END", la.mul)
+_interval("x01_interval_join", _other(f"CASE WHEN {_known('alo', 'blo')} THEN least(alo, blo) END", f"CASE WHEN {_known('ahi', 'bhi')} THEN greatest(ahi, bhi) END"), la.join)
+_MET = "coalesce(greatest(alo, blo) > least(ahi, bhi), false)"
+_interval("x02_interval_meet", _strict(f"CASE WHEN {_MET} THEN 1 ELSE greatest(alo, blo) END", f"CASE WHEN {_MET} THEN 0 ELSE least(ahi, bhi) END"), la.meet)
+_interval("x03_interval_widen", _other("CASE WHEN alo IS NOT DISTINCT FROM blo THEN alo END", "CASE WHEN ahi IS NOT DISTINCT FROM bhi THEN ahi END"), la.widen)
+_interval("x05_interval_add", _strict("alo + blo", "ahi + bhi"), la.add)
+_interval("x06_interval_sub", _strict("alo - bhi", "ahi - blo"), la.sub)
+_interval("x07_interval_mul", _strict(f"CASE WHEN {_known('alo', 'ahi', 'blo', 'bhi')} THEN list_min({FOUR}) END", f"CASE WHEN {_known('alo', 'ahi', 'blo', 'bhi')} THEN list_max({FOUR}) END"), la.mul)
 _D = f"CASE WHEN {_known('alo', 'ahi', 'blo', 'bhi')} AND (blo > 0 OR bhi < 0) THEN"
-_interval("x08_interval_div", f"{_D} list_min(list_transform({QUOT}, lambda x: trunc(x))) END", f"{_D} list_max(list_transform({QUOT}, lambda x: trunc(x))) END", la.div)
+_interval("x08_interval_div", _strict(f"{_D} list_min(list_transform({QUOT}, lambda x: trunc(x))) END", f"{_D} list_max(list_transform({QUOT}, lambda x: trunc(x))) END"), la.div)
+_M = f"CASE WHEN {_known('blo', 'bhi')} AND NOT (blo <= 0 AND bhi >= 0) THEN"
+_interval("x09_interval_modulo", _strict(f"{_M} CASE WHEN anat THEN 0 ELSE 1 - greatest(abs(blo), abs(bhi)) END END", f"{_M} greatest(abs(blo), abs(bhi)) - 1 END"), la.modulo)
 
 
-@query("x04_interval_leq", f"SELECT k, (blo IS NULL OR coalesce(alo >= blo, false)) AND (bhi IS NULL OR coalesce(ahi <= bhi, false)) AS leq, coalesce(greatest(alo, blo) > least(ahi, bhi), false) AS disjoint FROM {DUCK}")
+@query("x04_interval_leq", f"SELECT k, abot OR (NOT bbot AND (blo IS NULL OR coalesce(alo >= blo, false)) AND (bhi IS NULL OR coalesce(ahi <= bhi, false))) AS leq, abot OR bbot OR {_MET} AS disjoint FROM {DUCK}")
 def _(h):
     return pairs(h).select("k", la.leq(F.col("a"), F.col("b")).alias("leq"), la.is_bottom(la.meet(F.col("a"), F.col("b"))).alias("disjoint"))
 
 
-@query("x09_interval_modulo", f"SELECT k, CASE WHEN coalesce(alo >= 0, false) THEN 0 ELSE -(k % 9) END AS lo, k % 9 AS hi FROM {DUCK}")
-def _(h):
-    m = la.interval(F.col("k") % 9 + 1, F.col("k") % 9 + 1)
-    return pairs(h).select("k", la.modulo(F.col("a"), m).alias("v")).select("k", "v.lo", "v.hi")
+_ONES = "CASE WHEN greatest(ahi, bhi) <= 0 THEN 0 ELSE list_min(list_filter([1, 3, 7, 15, 31, 63, 127, 255], lambda x: x >= greatest(ahi, bhi))) END"
+_BITS = {
+    "both": ("CASE WHEN aone AND bone THEN alo & blo WHEN aone AND alo = 0 OR bone AND blo = 0 THEN 0 WHEN bone AND bnat OR aone AND anat OR anat AND bnat THEN 0 END",
+             "CASE WHEN aone AND bone THEN alo & blo WHEN aone AND alo = 0 OR bone AND blo = 0 THEN 0 WHEN bone AND bnat THEN bhi WHEN aone AND anat THEN ahi WHEN anat AND bnat THEN least(ahi, bhi) END"),
+    "any_of": ("CASE WHEN aone AND bone THEN alo | blo WHEN bone AND blo = 0 THEN alo WHEN aone AND alo = 0 THEN blo WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN greatest(alo, blo) END",
+               f"CASE WHEN aone AND bone THEN alo | blo WHEN bone AND blo = 0 THEN ahi WHEN aone AND alo = 0 THEN bhi WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN {_ONES} END"),
+    "one_of": ("CASE WHEN aone AND bone THEN xor(alo, blo) WHEN bone AND blo = 0 THEN alo WHEN aone AND alo = 0 THEN blo WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN 0 END",
+               f"CASE WHEN aone AND bone THEN xor(alo, blo) WHEN bone AND blo = 0 THEN ahi WHEN aone AND alo = 0 THEN bhi WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN {_ONES} END"),
+    "up": ("CASE WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN alo * pow(2, blo) END", "CASE WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN ahi * pow(2, bhi) END"),
+    "down": ("CASE WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN floor(alo / pow(2, bhi)) END", "CASE WHEN anat AND bnat AND ahi IS NOT NULL AND bhi IS NOT NULL THEN floor(ahi / pow(2, blo)) END"),
+}
+_BIT_COLUMNS = ", ".join(f"({x})::BIGINT AS {name}_{end}" for name, (lo, hi) in _BITS.items() for end, x in zip(("lo", "hi"), _strict(lo, hi), strict=True))
 
 
-@query("x10_bit_operations", f"SELECT k, az & bz AS both, az | bz AS any_of, xor(az, bz) AS one_of, (az << 3)::BIGINT AS left_3, (az >> 2)::BIGINT AS right_2 FROM {DUCK}")
+@query("x10_bit_operations", f"SELECT k, {_BIT_COLUMNS} FROM {DUCK}")
 def _(h):
-    a, b = F.col("az"), F.col("bz")
-    return pairs(h).select("k", a.bitwiseAND(b).alias("both"), a.bitwiseOR(b).alias("any_of"), a.bitwiseXOR(b).alias("one_of"), F.shiftleft("az", 3).alias("left_3"), F.shiftright("az", 2).alias("right_2"))
+    a, b = F.col("a"), F.col("b")
+    done = pairs(h).select("k", la.bit_and(a, b).alias("both"), la.bit_or(a, b).alias("any_of"), la.bit_xor(a, b).alias("one_of"), la.shift_left(a, b).alias("up"), la.shift_right(a, b).alias("down"))
+    return done.select("k", *[F.col(f"{name}.{end}").alias(f"{name}_{end}") for name in _BITS for end in ("lo", "hi")])
 
 
 @query("x11_bit_facts", f"SELECT k, (az & 240) & (bz & 240) AS join_zeros, (az & 15) & (bz & 15) AS join_ones, (az & 240) | (bz & 240) AS and_zeros, (az & 15) | (bz & 15) AS or_ones FROM {DUCK}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import conditions as co
+from ..functions import findings as fn
 from ..functions import text as tx
 from ..operators import state as st
 from .registry import query
@@ -29,9 +31,21 @@ def _(h):
     return h.base("documents").select("doc_id", tx.contains_secret(F.col("text")).alias("secret"))
 
 
-@query("f21_condition_kind", "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'ErrorCheck' WHEN 1 THEN 'NullCheck' WHEN 2 THEN 'EmptyCheck' WHEN 3 THEN 'AllowlistCheck' WHEN 4 THEN 'RegexCheck' WHEN 5 THEN 'TypeCheck' WHEN 6 THEN 'Comparison' WHEN 7 THEN 'Unknown' ELSE 'ValidationCall' END AS kind FROM text_lines")
+#: Conditions on a name, with what each tests.
+_CONDITIONS = [
+    ("", "Unknown"), ("{}", "Unknown"), ("err != nil", "ErrorCheck"), ("if error == nil {{", "ErrorCheck"), ("{}.is_err()", "ErrorCheck"), ("if {} is None:", "NullCheck"), ("{} === null", "NullCheck"), ("{} != nil", "NullCheck"), ("{}.is_some()", "NullCheck"),
+    ("{}.is_empty()", "EmptyCheck"), ("{}.len() == 0", "EmptyCheck"), ("if ({}.length === 0)", "EmptyCheck"), ("{} == ''", "EmptyCheck"), ('{}.contains(";")', "ShellMetaValidated"), ("if '|' in {}:", "ShellMetaValidated"), ("{}[0] == '-'", "ShellMetaValidated"),
+    ("{}.startswith('/')", "RelativeUrlValidated"), ('{}.starts_with("/")', "RelativeUrlValidated"), ("new URL({}).host === ALLOWED", "HostAllowlistValidated"), ("urlparse({}).netloc == ALLOWED", "HostAllowlistValidated"), ('{}.includes("..")', "Unknown"), ("ALLOWED.indexOf({}) === -1", "Unknown"), ("ALLOWED.indexOf({}) < 0", "Unknown"),
+    ("ALLOWED.indexOf({}) !== -1", "AllowlistCheck"), ("ALLOWED.includes({})", "AllowlistCheck"), ("if {} in ALLOWED:", "AllowlistCheck"), ("in_array($x, {})", "AllowlistCheck"), ("allowed.has({})", "AllowlistCheck"), ("isinstance({}, int)", "TypeCheck"), ("typeof {} === 'string'", "TypeCheck"), ("{} instanceof Date", "TypeCheck"),
+    ("is_numeric({})", "TypeCheck"), ("if validate_name({})", "ValidationCall"), ("isValidId({})", "ValidationCall"), ("!checkToken({})", "ValidationCall"), ("isSafePath({})", "ValidationCall"), ("ID_REGEX.test({})", "ValidationCall"), ("sanitize({})", "SanitizerCall"), ("escapeHtml({})", "SanitizerCall"), ("{} == 3", "Comparison"), ("{} >= limit", "Comparison"), ("load({})", "Unknown"),
+]
+
+@query("f21_condition_kind", "SELECT doc_id, CASE doc_id % " + str(len(_CONDITIONS)) + " " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_CONDITIONS)) + " END AS kind FROM documents")
 def _(h):
-    return h.text_lines.select("doc_id", tx.condition_kind(F.col("condition")).alias("kind"))
+    v = h.spark.createDataFrame([(i, *t.replace("{{", "{").split("{}")) if "{}" in t else (i, t.replace("{{", "{"), None) for i, (t, _) in enumerate(_CONDITIONS)], "k long, before string, after string")
+    name = F.concat(F.lit("arg"), "doc_id")
+    c = h.base("documents").select("doc_id", (F.col("doc_id") % len(_CONDITIONS)).alias("k")).join(F.broadcast(v), "k").select("doc_id", F.when(F.col("after").isNull(), F.col("before")).otherwise(F.concat("before", name, "after")).alias("condition"))
+    return c.select("doc_id", co.condition_kind(F.col("condition")).alias("kind"))
 
 
 @query("f22_condition_target", "SELECT doc_id, nullif(regexp_extract(condition, 'validate_[a-z]+[(]([a-z_]+)[)]', 1), '') AS target FROM text_lines")
@@ -39,9 +53,18 @@ def _(h):
     return h.text_lines.select("doc_id", F.nullif(F.regexp_extract("condition", "validate_[a-z]+[(]([a-z_]+)[)]", 1), F.lit("")).alias("target"))
 
 
-@query("x45_source_kind", "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Cookie' WHEN 1 THEN 'Header' WHEN 2 THEN 'EnvironmentConfig' WHEN 3 THEN 'FileSystem' WHEN 4 THEN 'Database' WHEN 5 THEN 'UserInput' WHEN 6 THEN 'Unknown' ELSE 'UserInput' END AS kind FROM text_lines")
+#: What reads from outside, by framework, with the kind of what it reads.
+_CALLEES = [
+    ("req.cookies.get", "Cookie"), ("session['user']", "Cookie"), ("r.Header.Get", "Header"), ("request.getHeader", "Header"), ("req.headers", "Header"), ("sys.argv", "UserInput"), ("sys.stdin.readline", "UserInput"), ("request.args.get", "UserInput"), ("req.query.id", "UserInput"), ("req.params.id", "UserInput"),
+    ("r.FormValue", "UserInput"), ("request.getParameter", "UserInput"), ("ctx.body", "UserInput"), ("window.location.href", "UserInput"), ("document.referrer", "UserInput"), ("$_GET", "UserInput"), ("socket.recv", "UserInput"), ("os.getenv", "EnvironmentConfig"), ("process.env.HOME", "EnvironmentConfig"), ("os.environ", "EnvironmentConfig"),
+    ("config.get", "EnvironmentConfig"), ("fs.readFile", "FileSystem"), ("open", "FileSystem"), ("fopen", "FileSystem"), ("cursor.fetchone", "Database"), ("stmt.execute", "Database"), ("compute", "Unknown"), ("math.floor", "Unknown"),
+]
+
+
+@query("x45_source_kind", "SELECT doc_id, CASE doc_id % " + str(len(_CALLEES)) + " " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_CALLEES)) + " END AS kind FROM documents")
 def _(h):
-    return h.text_lines.select("doc_id", tx.source_kind(F.col("callee")).alias("kind"))
+    v = h.spark.createDataFrame([(i, c) for i, (c, _) in enumerate(_CALLEES)], "k long, callee string")
+    return h.base("documents").select("doc_id", (F.col("doc_id") % len(_CALLEES)).alias("k")).join(F.broadcast(v), "k").select("doc_id", co.source_kind(F.col("callee"), F.lit(True)).alias("kind"))
 
 
 RULES = [("=open", "source"), ("cookies.get", "source"), ("req.headers", "source"), ("getenv", "source"), ("fetchone", "source"), ("arg_", "other"), ("args", "source")]
@@ -89,9 +112,20 @@ def _(h):
     return h.base("pages").select("page_id", F.explode(F.split("html", "<")).alias("tag")).where(F.col("tag").startswith("script>")).groupBy("page_id").agg(F.count("*").alias("scripts"))
 
 
-@query("s05_language_detection", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+#: Files by the way they are known: by extension whatever the head says, by interpreter, by content, not at all.
+_HEADS = [
+    (".py", "", "python"), (".rs", "#!/usr/bin/env python", "rust"), (".TS", "package main", "typescript"), (".cpp", "", "cpp"), (".md", "#!/bin/sh", None), ("", "#!/usr/bin/env python3", "python"), ("", "#!/usr/bin/env -S node", "javascript"),
+    ("", "#!/usr/local/bin/ruby -w", "ruby"), ("", "#! /usr/bin/php8", "php"), ("", "#!/opt/deno", "javascript"), ("", "#!/bin/bash\ndef f(x):", "python"), ("", "\n  <?php echo 1", "php"), ("", "package main\nfunc main() {", "go"),
+    ("", "package a.b;\n", "java"), ("", "// x\nimport java.util.List;", "java"), ("", "use std::io;", "rust"), ("", "func run(a int) {", "go"), ("", "require_relative 'x'", "ruby"), ("", "export default 1", "javascript"), ("", "const a = 1", "javascript"), ("", "plain words", None), ("", "", None),
+]
+_HEAD_ROWS = ", ".join("({}, '{}', '{}', {})".format(i, e, t.replace("'", "''"), f"'{x}'" if x else "NULL") for i, (e, t, x) in enumerate(_HEADS))
+
+
+@query("s05_language_detection", f"SELECT d.doc_id, v.lang FROM documents d JOIN (VALUES {_HEAD_ROWS}) v(k, ext, head, lang) ON v.k = d.doc_id % {len(_HEADS)}")
 def _(h):
-    return h.base("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    v = h.spark.createDataFrame([(i, e, t) for i, (e, t, _) in enumerate(_HEADS)], "k long, ext string, head string")
+    files = h.base("documents").select("doc_id", (F.col("doc_id") % len(_HEADS)).alias("k")).join(F.broadcast(v), "k").select("doc_id", F.concat(F.lit("bin/tool"), "doc_id", "ext").alias("path"), "head")
+    return files.select("doc_id", fn.language_of(F.col("path"), F.col("head")).alias("lang"))
 
 
 @query("r03_lifecycle", """SELECT subject, seq, CASE WHEN op = 'use' AND before = 'close' THEN 'use-after-close' WHEN op = 'close' AND before = 'close' THEN 'double-close' WHEN op = 'open' AND before = 'open' THEN 'reopened' END AS issue
@@ -147,9 +181,7 @@ def _(h):
     return h.base("events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
 
 
-@query("a40_convergence_class", "SELECT user_id, CASE WHEN list_slice(d, -4, -1) = list_reverse(list_sort(list_slice(d, -4, -1))) THEN 'shrinking' WHEN len(list_distinct(list_slice(d, -4, -1))) = 1 THEN 'plateau' ELSE 'oscillation' END AS class FROM (SELECT user_id, list(event_id * 31 % 7 ORDER BY event_id) AS d FROM events WHERE event_id < 3000 GROUP BY 1)")
+@query("a40_convergence_class", """SELECT subject, CASE WHEN len(d) < 2 THEN 'unknown' WHEN len(d) >= 4 AND d[-4] = d[-2] AND d[-3] = d[-1] AND d[-4] <> d[-3] THEN 'oscillation' WHEN d[-1] = d[-2] AND d[-1] > 0 THEN 'plateau'
+ WHEN len(list_filter(range(1, len(d)), lambda i: d[i + 1] > d[i])) = 0 THEN 'shrinking' ELSE 'unknown' END AS class FROM (SELECT subject, list(delta ORDER BY seq) AS d FROM deltas GROUP BY 1)""")
 def _(h):
-    w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    last = h.base("events").where("event_id < 3000").withColumn("k", F.row_number().over(w)).where("k <= 4")
-    d = last.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), (F.col("event_id") * 31 % 7).alias("d")))).alias("x")).select("user_id", F.transform("x", lambda v: v.d).alias("d"))
-    return d.select("user_id", F.when(F.col("d") == F.sort_array("d", False), "shrinking").when(F.size(F.array_distinct("d")) == 1, "plateau").otherwise("oscillation").alias("class"))
+    return st.convergence_class(h.deltas)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.findings import language
+from ..functions.findings import language_of
 
 #: What a scan leaves out by default.
 EXCLUDED_EXTENSIONS = ("jpg", "png", "gif", "mp4", "avi", "mkv", "zip", "tar", "gz", "exe", "dll", "so")
@@ -21,7 +21,7 @@ def source_files(spark: SparkSession, root: str, include: str | None = None, max
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", include) if include else reader).load(root).where(F.col("length") <= max_bytes)
     files = files.where(~F.col("path").rlike(r"/(" + "|".join(d.replace(".", r"\.") for d in EXCLUDED_DIRS) + ")/") & ~F.lower("path").rlike(r"\.(" + "|".join(EXCLUDED_EXTENSIONS) + ")$"))
-    lang = F.coalesce(language(F.col("path")), shebang(F.substring("content", 1, 128)))
+    lang = language_of(F.col("path"), F.decode(F.substring("content", 1, 256), "ISO-8859-1"))
     return files.select("path", "modificationTime", "length", "content", F.sha2("content", 256).alias("hash"), lang.alias("lang")).where(~is_binary(F.col("content")))
 
 
@@ -31,11 +31,6 @@ def is_binary(content) -> Column:
     return F.floor(nul * 100 / F.greatest(F.length(content), F.lit(1))) > 1
 
 
-def shebang(head) -> Column:
-    first = F.regexp_extract(F.decode(head, "ISO-8859-1"), r"^#!\s*(\S+(?:\s+\S+)?)", 1)
-    return F.when(first.rlike("python"), "python").when(first.rlike("node"), "javascript").when(first.rlike("ruby"), "ruby").when(first.rlike("php"), "php")
-
-
 def changed(files: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """What the index does not hold as it is now: path with hash, or path with time."""
     return files.join(index.select(*keys), keys, "left_anti")
@@ -43,7 +38,7 @@ def changed(files: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
     """Rows of a JSON-lines log; broken rows, and rows of another schema version, are left out."""
-    df = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).cache().where("_broken IS NULL").drop("_broken")
+    df = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path).where("_broken IS NULL").drop("_broken")
     return df.where(F.col("schema_version") == version) if version is not None else df
 
 
