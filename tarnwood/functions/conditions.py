@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .findings import one_of
+
 #: Characters that a shell acts on, and names that tell a test by themselves.
 SHELL_MARKS = (";", "|", "&", "`", "$", ">", "<")
 ERROR_CALLS, NULL_CALLS, EMPTY_CALLS = ("is_err", "is_ok"), ("is_none", "is_some"), ("is_empty", "isempty")
@@ -63,6 +65,25 @@ def condition_kind(condition: Column) -> Column:
     )
 
 
+def lowered(condition: Column) -> Column:
+    """kind (Comparison, NullCheck, TypeCheck, BoolTest, Unknown), lhs, op, rhs, positive of a condition's atom."""
+    p = parts(condition)
+    null = p.right.isin(*NULLS) & (p.op != "")
+    kind = F.when(null, "NullCheck").when(~p.op.isin("", "is", "is not"), "Comparison").when(p.leaf.isin("isinstance", "is_a?", "kind_of?") | p.text.rlike(r"\stypeof\s|\sinstanceof\s"), "TypeCheck").when(F.length(F.trim(p.text)) > 0, "BoolTest").otherwise("Unknown")
+    two = kind.isin("Comparison", "NullCheck")
+    return F.struct(kind.alias("kind"), F.when(two, F.trim(p.left)).alias("lhs"), F.when(two, p.op).alias("op"), F.when(two, p.right).alias("rhs"), F.lit(True).alias("positive"))
+
+
+#: Each operator and its contrary.
+CONTRARY = {"==": "!=", "!=": "==", "===": "!==", "!==": "===", "<": ">=", ">=": "<", ">": "<=", "<=": ">", "is": "is not", "is not": "is"}
+
+
+def negated(atom: Column) -> Column:
+    """The contrary of a lowered atom; a bare test keeps its form, as its branch tells its sense."""
+    positive = F.when(atom.kind == "TypeCheck", ~atom.positive).otherwise(atom.positive)
+    return F.struct(atom.kind.alias("kind"), atom.lhs.alias("lhs"), one_of(atom.op, CONTRARY).alias("op"), atom.rhs.alias("rhs"), positive.alias("positive"))
+
+
 #: Words of names, as frameworks' documentation has them (Flask, Django, Express, Koa, net/http, servlets, Rack, PHP, the DOM, C, DB-API).
 SOURCE_WORDS = {
     "Cookie": ("cookie", "cookies", "session", "sessions"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -208,3 +208,37 @@ def path_safe(dotdot: Column, absolute: Column, locked: Column) -> Column:
 
 def tri_join(a: Column, b: Column) -> Column:
     return F.when(a.eqNullSafe(b), a)
+
+
+def types_meet(a: Column, b: Column) -> Column:
+    """Sets of types as bits: those of both; 0 is bottom."""
+    return a.bitwiseAND(b)
+
+
+def types_join(a: Column, b: Column) -> Column:
+    return a.bitwiseOR(b)
+
+
+def types_others(a: Column, kinds: int) -> Column:
+    """All of the `kinds` types but these."""
+    return F.lit((1 << kinds) - 1).cast("long").bitwiseXOR(a)
+
+
+def taint_join(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States (keys, caps, validated) of the paths that meet: capabilities of any, validated on all; partial and final aggregates."""
+    return states.groupBy(*keys).agg(F.bit_or("caps").alias("caps"), F.bool_and("validated").alias("validated"))
+
+
+def fold(op: Column, x: Column, y: Column) -> Column:
+    """x op y of known integers; NULL where it overflows or divides by zero, so that it stays symbolic."""
+    return (
+        F.when(op == "+", F.try_add(x, y)).when(op == "-", F.try_subtract(x, y)).when(op == "*", F.try_multiply(x, y))
+        .when((op == "//") & (y != 0), _whole(x, y))
+        .when((op == "%") & (y != 0), x % y)
+    )
+
+
+def _whole(x: Column, y: Column) -> Column:
+    """Quotient cut towards zero, exact at 64 bits."""
+    y = F.nullif(y, F.lit(0))
+    return ((x - x % y).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("long")

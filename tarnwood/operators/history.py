@@ -69,3 +69,37 @@ def trend_slope(points: DataFrame, at: str, total: str, n: int = 5) -> DataFrame
     last = points.orderBy(F.desc(at)).limit(n)
     a = last.agg(F.min_by(total, at).alias("oldest"), F.max_by(total, at).alias("newest"), F.max(total).alias("top"), F.count("*").alias("k"))
     return a.select(F.when(F.col("k") >= 3, (F.col("oldest") - F.col("newest")) / F.greatest(F.col("top"), F.lit(1))).alias("slope"), "k")
+
+
+def import_triage(f: DataFrame, decisions: DataFrame) -> DataFrame:
+    """f (pos, portable), decisions (portable, state, note) -> pos, state, note of findings that a decision of another checkout is about."""
+    newest = decisions.groupBy("portable").agg(F.max(F.struct("state", "note")).alias("d"))
+    return f.select("pos", "portable").join(newest, "portable").select("pos", "d.state", "d.note")
+
+
+def apply_triage(f: DataFrame, decisions: DataFrame, rules: DataFrame) -> DataFrame:
+    """f (pos, portable, path, id) -> with triage_state, triage_note and source: a decision of the file, else the first of its rules that matches.
+
+    rules (rule_no, suppress_by, match_value, state, note) match a fingerprint, a rule, a rule in a file or a file; of a key only the first stays, then each level is an equi-join."""
+    own = decisions.groupBy("portable").agg(F.max(F.struct("state", "note")).alias("_d"))
+    first = rules.groupBy("suppress_by", "match_value").agg(F.min(F.struct("rule_no", "state", "note")).alias("r"))
+    rule, out, hits = canonical_rule(F.col("id")), f.join(own, "portable", "left"), []
+    for level, key in (("fingerprint", F.col("portable")), ("rule", rule), ("rule_in_file", F.concat_ws(":", rule, F.col("path"))), ("file", F.col("path"))):
+        of = first.where(F.col("suppress_by") == level).select(F.col("match_value").alias("_key"), F.col("r").alias(f"_{level}"))
+        out = out.withColumn("_key", key.cast("string")).join(of, "_key", "left").drop("_key")
+        hits.append(F.col(f"_{level}"))
+    best = F.array_min(F.array_compact(F.array(*hits)))
+    source = F.when(F.col("_d").isNotNull(), "decision").when(best.isNotNull(), "rule")
+    state = F.coalesce(F.col("_d.state"), best.state, F.lit("open"))
+    return out.select(*f.columns, state.alias("triage_state"), F.coalesce(F.col("_d.note"), best.note).alias("triage_note"), source.alias("source"))
+
+
+def triage_summary(applied: DataFrame) -> DataFrame:
+    """decisions_applied, rules_applied, inactive: one row."""
+    return applied.agg(F.count_if(F.col("source") == "decision").alias("decisions_applied"), F.count_if(F.col("source") == "rule").alias("rules_applied"), F.count_if(F.col("triage_state").isin(*TERMINAL)).alias("inactive"))
+
+
+def baseline_drift(base: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """baseline_total, drift_new, drift_fixed: one row."""
+    both = base.select(key).distinct().withColumn("a", F.lit(1)).join(now.select(key).distinct().withColumn("b", F.lit(1)), key, "full_outer")
+    return both.agg(F.count("a").alias("baseline_total"), F.count_if(F.col("a").isNull()).alias("drift_new"), F.count_if(F.col("b").isNull()).alias("drift_fixed"))

@@ -71,10 +71,10 @@ def _(h):
     return h.edges.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("callers"))
 
 
-@query("g54_transitive_callers", f"{CLOSURE} SELECT dst AS start, src AS node FROM r WHERE dst IN (SELECT DISTINCT dst FROM edges WHERE dst % 50 = 1) AND dst <> src")
+@query("g54_transitive_callers", f"{CLOSURE} SELECT dst AS start, src AS node FROM r WHERE dst <> src")
 def _(h):
     back = h.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    starts = h.edges.where("dst % 50 = 1").select(F.col("dst").alias("start"))
+    starts = h.edges.select(F.col("dst").alias("start")).distinct()
     return g.reach(back, starts).where("start <> node").select("start", "node")
 
 
@@ -89,19 +89,24 @@ def _(h):
     return pairs.join(ns.withColumnRenamed("fid", "node").withColumnRenamed("namespace", "file"), "node").join(ns.withColumnRenamed("fid", "start").withColumnRenamed("namespace", "caller"), "start").select("file", "caller").distinct()
 
 
-@query("g56_surface_bfs", "WITH RECURSIVE r AS (SELECT src AS start, src AS node, 0 AS depth FROM edges WHERE src % 40 = 3 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 8) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
+@query("g56_surface_bfs", "WITH RECURSIVE r AS (SELECT src AS start, src AS node, 0 AS depth FROM edges UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 8) SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY 1, 2")
 def _(h):
-    return g.reach(h.edges, h.edges.where("src % 40 = 3").select(F.col("src").alias("start")), g.SURFACE_DEPTH)
+    return g.reach(h.edges, h.edges.select(F.col("src").alias("start")).distinct(), g.SURFACE_DEPTH)
 
 
-@query("g64_shortest_distance", "WITH RECURSIVE r AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src % 97 = 1 UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 30) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1")
+def _roots(h):
+    """Nodes that nothing calls."""
+    return h.edges.select(F.col("src").alias("start")).distinct().join(h.edges.select(F.col("dst").alias("start")), "start", "left_anti")
+
+
+@query("g64_shortest_distance", "WITH RECURSIVE r AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.depth < 30) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1")
 def _(h):
-    return g.distances(h.edges, h.edges.where("src % 97 = 1").select(F.col("src").alias("start")), 30)
+    return g.distances(h.edges, _roots(h), 30)
 
 
-@query("g63_reachable", "WITH RECURSIVE r AS (SELECT DISTINCT src AS node FROM edges WHERE src % 97 = 1 UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r")
+@query("g63_reachable", "WITH RECURSIVE r AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.node) SELECT node FROM r")
 def _(h):
-    return g.distances(h.edges, h.edges.where("src % 97 = 1").select(F.col("src").alias("start"))).select("node")
+    return g.distances(h.edges, _roots(h)).select("node")
 
 
 @query("g57_summary_fixpoint", f"{CLOSURE} SELECT n.node, bit_or(coalesce(f.sink_caps, 0)) AS caps, true AS converged FROM {NODES} n LEFT JOIN (SELECT src, dst FROM r UNION SELECT node, node FROM {NODES}) x ON x.src = n.node LEFT JOIN functions f ON f.fid = x.dst GROUP BY 1")
@@ -146,9 +151,9 @@ def _(h):
     return a.join(b, "fid", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("fid")
 
 
-@query("e12_caller_files", "SELECT DISTINCT namespace FROM functions WHERE fid IN (SELECT src FROM edges WHERE dst % 30 = 1) OR fid % 30 = 1 AND fid IN (SELECT dst FROM edges)")
+@query("e12_caller_files", "SELECT DISTINCT namespace FROM functions WHERE fid IN (SELECT e.src FROM edges e JOIN functions c ON c.fid = e.dst WHERE c.sink_caps <> 0) OR sink_caps <> 0 AND fid IN (SELECT dst FROM edges)")
 def _(h):
-    changed = h.edges.where("dst % 30 = 1")
+    changed = h.edges.join(h.functions.where("sink_caps <> 0").select(F.col("fid").alias("dst")), "dst").select("src", "dst")
     ids = changed.select(F.col("src").alias("fid")).union(changed.select("dst")).distinct()
     return h.functions.join(ids, "fid", "left_semi").select("namespace").distinct()
 
@@ -178,6 +183,13 @@ def _(h):
     return analyse(bodies(h)).select("body", "node", "reachable", "idom")
 
 
+@query("g05_frontier_sizes", DOMINATORS.split("SELECT n.body, n.node")[0] + """SELECT n.body, n.node, (SELECT count(DISTINCT e.dst) FROM dom d JOIN e ON e.body = d.body AND e.src = d.v WHERE d.body = n.body AND d.d = n.node AND NOT EXISTS (SELECT 1 FROM dom x WHERE x.body = e.body AND x.d = d.d AND x.v = e.dst AND x.d <> x.v)) AS frontier FROM n""")
+def _(h):
+    from ..operators.bodies import analyse
+
+    return analyse(bodies(h)).select("body", "node", "frontier")
+
+
 @query("g43_loops_and_frontiers")
 def _(h):
     from ..operators.bodies import analyse

@@ -99,6 +99,22 @@ FROM {supplier}
 #: Lifecycle events of one handle each.
 LIFECYCLE = "SELECT user_id AS subject, event_id AS seq, CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'use' WHEN 'error' THEN 'close' ELSE 'other' END AS op FROM {events}"
 
+#: An authorization model: routes, what units do and check, line by line, and tokens they look up.
+AUTH_ROUTES = """
+SELECT o_orderkey AS unit, CASE o_custkey % 4 WHEN 0 THEN '/admin/users' WHEN 1 THEN '/api/admin' WHEN 2 THEN '/administrivia' ELSE '/api/items' END AS path,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'require_login' WHEN '2-HIGH' THEN 'require_login,is_admin' WHEN '3-MEDIUM' THEN 'log,login_required' WHEN '4-NOT SPECIFIED' THEN 'log' ELSE '' END AS guards
+FROM {orders}
+"""
+AUTH_OPS = """
+SELECT l_orderkey AS unit, l_linenumber * 10 + l_partkey % 10 AS line, ((l_linenumber * 20011 + l_partkey) * 1009 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS op, CASE l_returnflag WHEN 'R' THEN 'mutation' ELSE 'read' END AS kind, 's' || CAST(l_partkey % 3 AS STRING) AS subject,
+  l_suppkey % 2 = 0 AS session_held, l_partkey % 5 < 2 AS batch, l_suppkey % 7 = 0 AS override FROM {lineitem} WHERE l_returnflag <> 'N'
+"""
+AUTH_CHECKS = """
+SELECT l_orderkey AS unit, l_linenumber * 10 + l_partkey % 10 AS line, CASE l_partkey % 4 WHEN 0 THEN 'ownership' WHEN 1 THEN 'membership' WHEN 2 THEN 'admin' ELSE 'login' END AS kind, 's' || CAST(l_partkey % 3 AS STRING) AS subject, l_suppkey % 2 = 0 AS element
+FROM {lineitem} WHERE l_returnflag = 'N'
+"""
+AUTH_LOOKUPS = "SELECT o_orderkey AS unit, o_custkey % 40 AS line, o_orderstatus = 'F' AS expiry_checked, o_custkey % 2 = 0 AS recipient_checked FROM {orders}"
+
 #: Sizes of change sets by round: steady, falling, in turns and of no order.
 DELTAS = "SELECT user_id AS subject, event_id AS seq, CASE user_id % 5 WHEN 0 THEN 3 WHEN 1 THEN event_id % 7 WHEN 2 THEN 1000000000 - event_id WHEN 3 THEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 2 ELSE 0 END AS delta FROM {events}"
 
@@ -113,7 +129,7 @@ FROM {documents}
 
 TABLES = {
     "findings": FINDINGS, "findings_b": FINDINGS_B, "scans": SCANS, "scan_findings": SCAN_FINDINGS, "triage": TRIAGE, "rules": RULES, "functions": FUNCTIONS, "call_sites": CALL_SITES,
-    "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "text_lines": LINES,
+    "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "auth_routes": AUTH_ROUTES, "auth_ops": AUTH_OPS, "auth_checks": AUTH_CHECKS, "auth_lookups": AUTH_LOOKUPS, "text_lines": LINES,
 }
 BASE = ("lineitem", "orders", "customer", "supplier", "part", "nation", "events", "documents")
 

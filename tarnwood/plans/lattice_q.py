@@ -107,11 +107,6 @@ def _(h):
     return names(h).select("a", "b", la.common_suffix(F.col("a"), F.col("b")).alias("suffix"))
 
 
-@query("x14_string_leq", f"SELECT a, b, starts_with(b, 'item B') AND ends_with(b, a[6:]) AS leq FROM {NAMES}")
-def _(h):
-    return names(h).select("a", "b", (F.col("b").startswith("item B") & F.endswith("b", F.substring("a", F.lit(6), F.length("a")))).alias("leq"))
-
-
 SETS = "(SELECT p_size AS s, list_sort(list(DISTINCT p_partkey % 23)) AS a, list_sort(list(DISTINCT p_partkey % 41)) AS b FROM part GROUP BY 1)"
 
 
@@ -119,11 +114,6 @@ def sets(h):
     return h.base("part").groupBy(F.col("p_size").alias("s")).agg(F.array_sort(F.collect_set(F.col("p_partkey") % 23)).alias("a"), F.array_sort(F.collect_set(F.col("p_partkey") % 41)).alias("b"))
 
 
-@query("x12_domain_join", f"SELECT s, CASE WHEN len(list_distinct(a || b)) <= 30 THEN list_sort(list_distinct(a || b)) END AS domain FROM {SETS}")
-def _(h):
-    return sets(h).select("s", la.domain_join(F.col("a"), F.col("b"), 30).alias("domain"))
-
-
 @query("e06_bounded_union", f"SELECT s, list_slice(list_sort(list_distinct(a || b)), 1, 32) AS members, greatest(len(list_distinct(a || b)) - 32, 0)::INT AS dropped FROM {SETS}")
 def _(h):
     return sets(h).select("s", la.bounded_union(F.col("a"), F.col("b")).alias("u")).select("s", "u.members", "u.dropped")

@@ -145,17 +145,6 @@ def _(h):
     return h.lifecycle.groupBy("subject").agg(F.min(F.when(F.col("op") == "open", 0).when(F.col("op") == "use", 1).otherwise(2)).alias("level"))
 
 
-@query("d10_stale_authorization", """SELECT u.event_id FROM events u WHERE u.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = u.user_id AND c.event_type = 'click' AND c.event_id <= u.event_id)""")
-def _(h):
-    e = h.base("events").select(F.col("user_id").alias("subject"), F.col("event_id").alias("seq"), "event_type")
-    return st.unchecked(e, "error", "click").select(F.col("seq").alias("event_id"))
-
-
-@query("d11_token_override", "SELECT user_id, max(event_id) AS last_change FROM events WHERE event_type = 'view' AND event_id >= 100 GROUP BY 1")
-def _(h):
-    return h.base("events").where("event_type = 'view' AND event_id >= 100").groupBy("user_id").agg(F.max("event_id").alias("last_change"))
-
-
 @query("r09_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(h):
     g = h.base("events").groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

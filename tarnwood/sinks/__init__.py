@@ -41,6 +41,15 @@ def write_baseline(f: DataFrame, path: str) -> None:
     f.select("stable_hash", "verdict", "severity", "path", F.col("id").alias("rule_id")).write.mode("overwrite").json(path)
 
 
+def write_triage(decisions: DataFrame, path: str) -> None:
+    """Decisions in the order of their fingerprints, null fields left out, so that equal decisions make equal files."""
+    decisions.select("portable", "state", "note").distinct().orderBy("portable", "state", "note").write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def read_triage(spark, path: str) -> DataFrame:
+    return spark.read.schema("portable string, state string, note string").json(path).where("portable IS NOT NULL AND state IS NOT NULL")
+
+
 def read_baseline(spark, path: str) -> DataFrame:
     """Stripped entries, or full findings of which the same columns are taken."""
     return spark.read.schema("stable_hash string, verdict string, severity string, path string, rule_id string, id string").json(path).select("stable_hash", "verdict", "severity", "path", F.coalesce("rule_id", "id").alias("rule_id"))

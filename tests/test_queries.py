@@ -92,3 +92,31 @@ def test_lattice_laws(spark):
     }
     bad = df.agg(*[F.count_if(~v).alias(k) for k, v in laws.items()]).first().asDict()
     assert not any(bad.values()), bad
+
+
+def test_facts_are_lattices(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwood.functions import facts as fa
+
+    text = [None, "ab", "abc", "b"]
+    some = [(p, s, d) for p in text[:3] for s in (None, "c", "bc") for d in (None, ["x"], ["x", "y"])]
+    rows = [(*a, i % 9 == 0, *b, False) for i, a in enumerate(some) for b in some]
+    df = spark.createDataFrame(rows, "p string, s string, d array<string>, z boolean, q string, t string, e array<string>, y boolean")
+    fact = lambda p, s, d, bot: F.when(F.col(bot), fa.string_bottom()).otherwise(fa.string_fact(F.col(p), F.col(s), F.col(d)))
+    df = df.select(fact(*"psdz").alias("a"), fact(*"qtey").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    laws = {
+        "commutes": fa.string_join(a, b).eqNullSafe(fa.string_join(b, a)), "upper": fa.string_leq(a, fa.string_join(a, b)), "lower": fa.string_leq(fa.string_meet(a, b), a), "widens": fa.string_leq(a, fa.string_widen(a, fa.string_join(a, b))),
+        "bottom": ~a.bottom | (fa.string_leq(a, b) & fa.string_concat(a, b).bottom),
+    }
+    bad = df.agg(*[F.count_if(~v).alias(k) for k, v in laws.items()]).first().asDict()
+    assert not any(bad.values()), bad
+
+
+def test_triage_files(spark, tmp_path):
+    from tarnwood import sinks
+
+    d = spark.createDataFrame([("b", "fixed", None), ("a", "open", "n"), ("a", "open", "n")], "portable string, state string, note string")
+    sinks.write_triage(d, str(tmp_path / "t"))
+    assert sorted(map(tuple, sinks.read_triage(spark, str(tmp_path / "t")).collect()), key=str) == [("a", "open", "n"), ("b", "fixed", None)]
