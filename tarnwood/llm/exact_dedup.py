@@ -3,11 +3,11 @@
 Every partition first folds its own copies, so a text that a third of all rows share leaves each
 partition once. The folded groups are dealt out by content digest; a task then reads its bucket,
 and where the bucket exceeds the memory budget it is split to spill files by further digest bits,
-again and again, until each part fits an open-addressing table. The table compares complete
+again and again, until each part fits an open-addressing table, which holds one row of each text where only that row is wanted. The table compares complete
 contents: two texts of one digest stay apart.
 
 Defined cases. Null text: the empty text. Null ids: larger than any id; a group of null ids alone
-has keep_id null. Several rows of the smallest id: the first by (partition, position) stays. Empty
+has keep_id null. Ties, several rows of the smallest id: the first by (partition, position) stays. Very long texts: compared whole. Empty
 tables: no rows. Extra columns of any name are ignored by `assign` and returned untouched by
 `survivors`.
 """
@@ -46,7 +46,8 @@ def squash(text: bytes) -> bytes:
 class OpenTable:
     """Linear probing over content; slots hold entry numbers."""
 
-    def __init__(self, capacity: int = 64):
+    def __init__(self, capacity: int = 64, best=None):
+        self.best = best  # an order by which a content keeps its least tag only
         self.slots = np.full(capacity, -1, dtype=np.int64)
         self.digests: list[bytes] = []
         self.contents: list[bytes] = []
@@ -65,7 +66,10 @@ class OpenTable:
         while (i := self.slots[at]) >= 0:
             if self.digests[i] == digest:
                 if self.contents[i] == content:
-                    self.tags[i].append(tag)
+                    if self.best:
+                        self.tags[i][0] = min(self.tags[i][0], tag, key=self.best)
+                    else:
+                        self.tags[i].append(tag)
                     return
                 variant += 1
             at = (at + 1) & (len(self.slots) - 1)
@@ -82,26 +86,27 @@ class OpenTable:
         return zip(self.digests, self.variants, self.contents, self.tags, strict=True)
 
 
-def grace(records: Iterator[tuple], budget: int = TABLE_BYTES, depth: int = 0, weigh=lambda tag: 0) -> Iterator[tuple]:
-    """(digest, content, tag)s -> (digest, variant, content, [tags]) with one group for each content.
+def grace(records: Iterator[tuple], budget: int = TABLE_BYTES, depth: int = 0, weigh=lambda tag: 0, best=None) -> Iterator[tuple]:
+    """(digest, content, tag)s -> (digest, variant, content, [tags]) with one group for each content; with an order `best`, its least tag alone.
 
     Held in memory: one table of at most `budget` bytes of distinct contents, tags included. At the
     deepest split the table grows as needed, since what is left there differs in no digest bit.
     """
-    table, load, files, folder = OpenTable(), 0, None, None
+    table, load, files, folder = OpenTable(best=best), 0, None, None
     try:
         for digest, content, tag in records:
             if files is None:
                 before = len(table.contents)
                 table.add(digest, content, tag)
-                load += (len(content) + 200 if len(table.contents) > before else 64) + weigh(tag)
+                new = len(table.contents) > before
+                load += (len(content) + 200 if new else 64 * (best is None)) + (weigh(tag) if new or best is None else 0)
                 if load > budget and len(table.contents) > 1 and depth < DEEPEST:
                     folder = tempfile.TemporaryDirectory(prefix="grace-")
                     files = [(Path(folder.name) / str(i)).open("w+b") for i in range(FANOUT)]
                     for d, _, c, tags in table.groups():
                         for t in tags:
                             pickle.dump((d, c, t), files[_part(d, depth)], protocol=5)
-                    table = OpenTable()
+                    table = OpenTable(best=best)
             else:
                 pickle.dump((digest, content, tag), files[_part(digest, depth)], protocol=5)
         if files is None:
@@ -109,7 +114,7 @@ def grace(records: Iterator[tuple], budget: int = TABLE_BYTES, depth: int = 0, w
             return
         for f in files:
             f.seek(0)
-            yield from grace(_unpickled(f), budget, depth + 1, weigh)
+            yield from grace(_unpickled(f), budget, depth + 1, weigh, best)
             f.close()
     finally:
         if folder:
@@ -229,8 +234,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                     at += 1
 
         def rows():
-            for digest, _, _, tags in grace(records(), table_bytes, weigh=lambda t: 2 * len(t[2])):
-                doc_id, at, text, whole = min(tags, key=lambda t: _order(*t[:2]))
+            for digest, _, _, ((doc_id, at, text, whole),) in grace(records(), table_bytes, weigh=lambda t: 3 * len(t[2]) + 500, best=lambda t: _order(*t[:2])):
                 yield doc_id, digest, part, at, text.decode(), whole
 
         yield from in_chunks(rows(), mid_arrow, weight=lambda r: 2 * len(r[4]))
@@ -239,11 +243,11 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         def records():
             for b in batches:
                 for doc_id, digest, part, at, text, whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    yield digest, squash(text.encode()), (doc_id, part, at, whole)
+                    yield digest, squash(text.encode()), (doc_id, part, at, whole, len(text))
 
         def rows():
-            for _, _, _, tags in grace(records(), table_bytes, weigh=lambda t: 4000):
-                yield (min(tags, key=lambda t: (*_order(t[0], t[1]), t[2]))[3],)
+            for _, _, _, ((_, _, _, whole, _),) in grace(records(), table_bytes, weigh=lambda t: 3 * t[4] + 500, best=lambda t: (*_order(t[0], t[1]), t[2])):
+                yield (whole,)
 
         yield from in_chunks(rows(), pa.schema([mid_arrow.field("row")]), size=256)
 

@@ -59,3 +59,9 @@ def test_table_tells_contents_of_one_digest_apart():
     assert sorted((c, v, len(t)) for _, v, c, t in table.groups()) == sorted((b"%d" % i, i, 5) for i in range(10))
     got = list(grace(((d, b"%d" % (i % 10), i) for i in range(50)), budget=400))
     assert sorted(c for _, _, c, _ in got) == sorted(b"%d" % i for i in range(10))
+
+
+def test_only_the_best_row_of_a_text_is_held():
+    rows = [(b"%d" % (i % 3), b"c%d" % (i % 3), (i * 7 % 11, i)) for i in range(100)]
+    got = {c: tags for _, _, c, tags in grace(iter(rows), 50, best=lambda t: t)}
+    assert got == {b"c%d" % k: [min(t for _, c, t in rows if c == b"c%d" % k)] for k in range(3)}
