@@ -14,7 +14,7 @@
 With 32 bands of 5 rows two sets at similarity 0.8 share a bucket with probability 1 - 3e-6.
 
 Defined cases. Null or empty text and texts without words: an empty set, linked with nothing. Fewer
-words than a shingle has: the whole sequence is one shingle. Repeated rows and ties: of one class.
+words than a shingle has: the whole sequence is one shingle. Very long texts: their whole set. Repeated rows and ties: of one class.
 Null ids: in their set's class, of which they are never the representative. Other columns, clashing
 names included, are ignored by `classes` and returned untouched by `survivors`.
 """
@@ -42,6 +42,8 @@ BLOCK = 512
 LEADERS = 4
 #: Rows up to which ids are broadcast (24 bytes each, so 5 MB); beyond them they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: A key of more rows than HOT and than 1/SHARE of all is joined by broadcasting its row; there are SHARE such keys at most.
+HOT, SHARE = 10_000, 1024
 
 _rng = np.random.RandomState(20_11)
 _A = (_rng.randint(0, 2**31, BANDS * ROWS, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -251,6 +253,16 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return r.select(F.explode(blocks).alias("block"), "node", "label")
 
 
+def _spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Many rows of left to one of right by key. What a hot key joins with is broadcast, so its rows stay where they are; the rest is shuffled."""
+    n = left.count()
+    hot = stash(left.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > max(HOT, n // SHARE)).select(key), "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = stash(right.join(F.broadcast(hot), key), "few")
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key).unionByName(left.join(F.broadcast(few), key))
+
+
 def links(docs: DataFrame, sk: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, label) of every node that has a link; sk: the stashed sketches of docs."""
     reps = stash(sk.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
@@ -259,12 +271,16 @@ def links(docs: DataFrame, sk: DataFrame, words: int, percent: int) -> DataFrame
     bands = reps.select(F.posexplode(bucket).alias("band", "bucket"), "node")
     first_of = F.min_by("node", F.xxhash64("node", F.col("band") % LEADERS))  # a band's number is the same all over a bucket
     leaders = stash(bands.groupBy("bucket").agg(first_of.alias("leader"), F.count("*").alias("c")).where("c > 1"), "leaders")
-    inside = stash(bands.join(leaders, "bucket").where("node <> leader"), "inside")
+    total = reps.count()
+    crowded = F.col("c") > max(HOT, total // SHARE)  # at most BANDS * SHARE buckets, as a node is in one of each band
+    by_hand = bands.join(F.broadcast(leaders.where(crowded)), "bucket")
+    inside = stash(bands.join(leaders.where(~crowded), "bucket").unionByName(by_hand).where("node <> leader"), "inside")
     of = lambda node, *cols: reps.select(F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in cols])
-    pairs = inside.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    sized = pairs.join(of("a", "n", "sig"), "a").join(of("b", "n", "sig"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = stash(inside.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    sized = _spread_join(pairs, of("b", "n", "sig"), "b").join(of("a", "n", "sig"), "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     alive = stash(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(percent), "a binary, b binary"), "alive")
     found = _confirmed(docs, reps, alive, words, percent)
+    discard(pairs, alive)
     first = components(found)
     # nodes that have met their bucket's leader only, in buckets that still hold several classes
     rest = inside.where("c > 2").join(first.withColumnRenamed("label", "known"), "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
@@ -279,6 +295,7 @@ def links(docs: DataFrame, sk: DataFrame, words: int, percent: int) -> DataFrame
     sets = stash(_sets(docs, hits.select("node").distinct().join(reps.select("node", "doc_id"), "node"), words), "sets")
     close = blocks.join(hits, ["block", "node"]).join(reps.select("node", "n", "sig"), "node").join(sets, "node").select("block", "node", "label", "n", "sig", "shingles")
     more = stash(close.repartition("block").sortWithinPartitions("block").mapInArrow(_links(percent), "a binary, b binary"), "more")
+    discard(blocks, hits, sets, reps)
     return first if more.isEmpty() else components(found.unionByName(more))
 
 
@@ -302,6 +319,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     joined = linked.join(stash(least, "least"), "label").select("node", "component_id")
     known = stash(own.join(joined, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    discard(linked)
     out = sk.select("doc_id", "n_shingles", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
