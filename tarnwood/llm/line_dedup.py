@@ -8,10 +8,11 @@ found in LEAST_DOCS documents or more recurs, and its lines are dropped from all
 Tasks first fold equal masked lines, so a line that a third of all documents hold leaves each task once; leaves are dealt
 out by their path. Lines of a leaf come in sorted order, so templates don't depend on partitioning. A line is held against every template
 of its leaf that it can join, whatever their number: a template that shares m of n tokens shares one of any n - m + 1, so the places where the line's
-tokens are in fewest templates lead to all of them. Hashes of dropped lines are broadcast in shards of SHARD at most, one pass each.
+tokens are in fewest templates lead to all of them. Hashes of dropped lines are broadcast up to SHARD of them, beyond it they are joined with the texts' lines: one pass either way.
 
 Defined cases. Null text: empty. A text without line ends is one line; blank lines are never templates and stay. A
-line repeated in one document counts once for it. Repeated rows count as documents of their own. Empty tables: no rows.
+line repeated in one document counts once for it. Repeated rows count as documents of their own; null ids too, and are returned as null. Very long texts: all their lines.
+Ties between templates: the oldest. Empty tables: no rows. Columns of other names, clashing ones included, are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_chunks, rows_to_batch, small_batches, stash
+from .common import discard, id_and_text, in_chunks, rows_to_batch, small_batches, stash
 
 LEAST_DOCS, SIMILAR, LEADING, DEEPER = 3, 0.7, 3, 8
-#: Hashes in one broadcast (8 bytes each, 16 for counting); masked lines that a task folds at once, in characters.
+#: Hashes in a broadcast at most (8 bytes each, 16 for counting); masked lines that a task folds at once, in characters.
 SHARD, FOLD = 1_000_000, 24_000_000
 _FIELD = re.compile(r"\S*[0-9]\S*")
 _DIGIT = re.compile(r"[0-9]").search
@@ -132,19 +133,48 @@ def _tree(least: int):
     return run
 
 
-def _ranges(df: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of a hash that hold about SHARD rows each: hashes are even."""
-    k = max(1, -(-df.count() // SHARD))
-    cuts = [-(2**63) + (2**64 * i) // k for i in range(k + 1)]
-    return list(zip(cuts, [c - 1 for c in cuts[1:]], strict=False))
-
-
-def _held(df: DataFrame, by: str, low: int, high: int, *cols: str) -> list[np.ndarray]:
-    got = df.where(F.col(by).between(low, high)).select("hash", *cols).toArrow()
+def _held(df: DataFrame, *cols: str) -> list[np.ndarray]:
+    got = df.select("hash", *cols).toArrow()
     order = np.argsort(got.column("hash").to_numpy())
     return [got.column(c).to_numpy()[order] for c in ("hash", *cols)]
 
 
+def _line_rows(texts: DataFrame) -> DataFrame:
+    """key, hash: the distinct masked lines of each row of (key, text)."""
+    schema = pa.schema([("key", pa.int64()), ("hash", pa.int64())])
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for m in {m for line in text.split("\n") if (m := mask(line))}:
+                        yield key, line_hash(m)
+
+        yield from in_chunks(rows(), schema, size=65_536)
+
+    return texts.select("key", "text").mapInArrow(run, "key long, hash long")
+
+
+def _documents_of(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """t, docs: in how many rows of texts a template of several lines is; a row counts once, whatever number of its lines."""
+    if several.count() > SHARD:  # by a join: rows of one text hold the same lines, so they are counted together
+        lines = _line_rows(texts.withColumn("key", F.xxhash64("text"))).groupBy("key", "hash").agg(F.count("*").alias("n"))
+        return lines.join(several.select("hash", "t"), "hash").groupBy("key", "t").agg(F.max("n").alias("n")).groupBy("t").agg(F.sum("n").alias("docs"))
+    held = texts.sparkSession.sparkContext.broadcast(_held(several, "t"))
+
+    def run(batches):
+        hashes, ids = held.value
+        known = dict(zip(hashes.tolist(), ids.tolist(), strict=True))
+        out: dict[int, int] = {}
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for t in {t for line in text.split("\n") if (m := mask(line)) and (t := known.get(line_hash(m))) is not None}:
+                    out[t] = out.get(t, 0) + 1
+        yield rows_to_batch(list(out.items()), pa.schema([("t", pa.int64()), ("docs", pa.int64())]))
+
+    return texts.select("text").mapInArrow(run, "t long, docs long").groupBy("t").agg(F.sum("docs").alias("docs"))
+
+
 def recurring(docs: DataFrame, least: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """hash, template, n: the masked lines of recurring templates, and in how many documents a template is."""
     small_batches(docs.sparkSession)
@@ -156,49 +186,38 @@ def recurring(docs: DataFrame, least: int = LEAST_DOCS, id_col: str = "doc_id",
     if several.isEmpty():
         return one.select("hash", "template", "n")
     # a document may hold several lines of one template: count documents, not lines
-    counts = None
-    for low, high in _ranges(several):  # of templates, so that all lines of one are together
-        hashes, ids = _held(several, "t", low, high, "t")
-        held = docs.sparkSession.sparkContext.broadcast((hashes, ids))
-
-        def run(batches, held=held):
-            hashes, ids = held.value
-            known = dict(zip(hashes.tolist(), ids.tolist(), strict=True))
-            out: dict[int, int] = {}
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    for t in {t for line in text.split("\n") if (m := mask(line)) and (t := known.get(line_hash(m))) is not None}:
-                        out[t] = out.get(t, 0) + 1
-            yield rows_to_batch(list(out.items()), pa.schema([("t", pa.int64()), ("docs", pa.int64())]))
-
-        part = texts.mapInArrow(run, "t long, docs long")
-        counts = part if counts is None else counts.unionByName(part)
-    exact = counts.groupBy("t").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    return stash(one.select("hash", "template", "n").unionByName(several.join(exact, "t").select("hash", "template", F.col("docs").alias("n"))), "recurring")
+    exact = _documents_of(texts, several).where(F.col("docs") >= least)
+    out = stash(one.select("hash", "template", "n").unionByName(several.join(exact, "t").select("hash", "template", F.col("docs").alias("n"))), "recurring")
+    discard(found)
+    return out
 
 
 def clean(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text without the dropped lines, n_lines, n_dropped."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
-    out = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    for k, (low, high) in enumerate(_ranges(dropped)):
-        held = docs.sparkSession.sparkContext.broadcast(_held(dropped, "hash", low, high)[0])
+    texts = id_and_text(docs, id_col, text_col)
+    few = dropped.count() <= SHARD
+    if few:
+        texts = texts.withColumn("gone", F.lit(None).cast("array<long>"))
+        held = docs.sparkSession.sparkContext.broadcast(_held(dropped)[0])
+    else:  # each text with the hashes that it loses; texts of one key share them, and a line is dropped for its own hash only
+        texts, held = texts.withColumn("key", F.xxhash64("text")), None
+        of_text = _line_rows(texts).join(dropped.select("hash"), "hash", "left_semi").groupBy("key").agg(F.collect_set("hash").alias("gone"))
+        texts = texts.join(of_text, "key", "left").select("doc_id", "text", "gone")
 
-        def run(batches, held=held):
-            gone = set(held.value.tolist())
-            for b in batches:
-                rows = []
-                for doc_id, text, _, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    lines = text.split("\n")
-                    keep = [x for x in lines if not ((m := mask(x)) and line_hash(m) in gone)]
-                    rows.append((doc_id, "\n".join(keep), len(lines) + n, n + len(lines) - len(keep)))
-                yield from in_chunks(iter(rows), schema, weight=lambda r: len(r[1]))
-
-        out = out.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
-        if k:
-            out = stash(out, "lines")
-    return out
+    def run(batches):
+        every = set(held.value.tolist()) if held else None
+        for b in batches:
+            rows = []
+            for doc_id, text, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                gone = every if every is not None else set(own or ())
+                lines = text.split("\n")
+                keep = [x for x in lines if not ((m := mask(x)) and line_hash(m) in gone)]
+                rows.append((doc_id, "\n".join(keep), len(lines), len(lines) - len(keep)))
+            yield from in_chunks(iter(rows), schema, weight=lambda r: len(r[1]))
+
+    return texts.mapInArrow(run, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def op4_template_lines(spark, sf_dir: str) -> DataFrame:
