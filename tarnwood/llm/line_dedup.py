@@ -32,7 +32,7 @@ from .common import discard, id_and_text, in_chunks, rows_to_batch, small_batche
 
 LEAST_DOCS, SIMILAR, LEADING, DEEPER = 3, 0.7, 3, 8
 #: Hashes in a broadcast at most (8 bytes each, 16 for counting); masked lines that a task folds at once, in characters.
-SHARD, FOLD = 1_000_000, 24_000_000
+SHARD, FOLD = 1_000_000, 8_000_000
 _FIELD = re.compile(r"\S*[0-9]\S*")
 _DIGIT = re.compile(r"[0-9]").search
 WILD = "<*>"
