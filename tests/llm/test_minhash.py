@@ -102,13 +102,3 @@ def test_components_of_chains_and_stars(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
-def test_hot_buckets_and_leaders_are_spread(docs, monkeypatch):
-    """What a crowded bucket or leader joins with is broadcast; the classes are the same."""
-    base = [f"w{i}" for i in range(60)]
-    texts = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in range(60)] + [" ".join(f"o{j}x{i}" for i in range(12)) for j in range(20)]
-    plain = sorted(map(tuple, classes(docs(*texts), words=3).collect()))
-    monkeypatch.setattr(minhash, "HOT", 2)
-    monkeypatch.setattr(minhash, "SHARE", 1 << 40)
-    assert sorted(map(tuple, classes(docs(*texts), words=3).collect())) == plain
