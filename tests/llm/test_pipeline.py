@@ -62,3 +62,44 @@ def test_stages(spark):
     want = sorted((i, len(ids := truth.encode_ordinary(t)), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in after[3])
     assert sorted(tuple(r) for r in p.STAGES[-1][1](spark, docs, SF).collect()) == want
     assert len(after[3]) > 100
+
+
+def odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties and columns with the operators' own names; labels and benchmark beside them."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    base = " ".join(f"near{i}" for i in range(60))
+    texts = [None, "", " \n\t", "plain words that stand alone", "plain  words that\nstand alone", base + " one", base + " two", long, long, "Vile word, number here", "zero " + " ".join(f"bench{i}" for i in range(20)) + " end", "é ß İ 日本 😀"]
+    rows = [(i, t, None if i % 2 else "en", None if i % 3 else "s", len(t or "")) for i, t in enumerate(texts)] + [(None, "words of no id", None, None, None), (3, "plain words that stand alone", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "'x' AS digest", "1 AS kept", "CAST(NULL AS DOUBLE) AS score", "'row' AS row", "0 AS component_id", "'t' AS part")
+    more = spark.createDataFrame([(100 + i, f"vile word number w{i}" if i % 2 else f"kind word number w{i}", "en", "s", 1) for i in range(300)], schema)
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    spark.createDataFrame([(100 + i, i % 2) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(20))), (2, None), (3, ""), (None, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return docs
+
+
+def test_each_stage_on_odd_rows(spark, tmp_path):
+    docs, sf = odd_rows(spark, tmp_path).persist(), str(tmp_path)
+    text = {(r.doc_id, r.text) for r in docs.collect()}
+    lost = {"toxicity": {9, *range(101, 400, 2)}, "exact_dedup": {4, 8, 1, 2}, "near_dedup": {4, 6, 8}, "decontamination": {10}}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert set(got) <= text and (None, "words of no id") in got, name
+        gone = {i for i, _ in text} - {i for i, _ in got}
+        if name == "exact_dedup":
+            assert gone == {1, 4, 8}, gone  # null and the empty text are equal, white space alone is one space
+            assert got.count((3, "plain words that stand alone")) == 1
+        else:
+            assert gone == lost[name], (name, gone)
+    rows = p.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(rows) == docs.count() and {r.n_tokens for r in rows if r.doc_id in (0, 1)} == {0}
+    assert all(hashlib.sha256((t or "").encode()).hexdigest() in {r.decoded_sha256 for r in rows if r.doc_id == i} for i, t in text)
+
+
+def test_each_stage_on_an_empty_table(spark, tmp_path):
+    docs = odd_rows(spark, tmp_path).limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
