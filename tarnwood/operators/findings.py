@@ -150,8 +150,11 @@ def rollup(f: DataFrame, examples: int = 5, rules: tuple = ROLLUP_RULES) -> Data
     """Low quality findings of noisy rules, several in one file, as one row with a count and the first places."""
     rule = canonical_rule(F.col("id"))
     low = (F.col("severity") == "LOW") & (F.col("category") == "Quality") & rule.isin(*rules)
-    g = f.where(low).groupBy("path", rule.alias("rule")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", "col", "pos"))).alias("at"))
-    return g.select("path", "rule", "n", F.col("at")[0].line.alias("line"), F.col("at")[0].col.alias("col"), F.transform(F.slice("at", 1, examples), lambda x: F.concat_ws(":", x.line, x.col)).alias("places"))
+    some = f.where(low).select("path", rule.alias("rule"), "line", "col", "pos")
+    first = some.withColumn("_k", F.row_number().over(Window.partitionBy("path", "rule").orderBy("line", "col", "pos"))).where(F.col("_k") <= examples)
+    at = first.groupBy("path", "rule").agg(F.array_sort(F.collect_list(F.struct("line", "col", "pos"))).alias("at"))  # `examples` places at most
+    g = some.groupBy("path", "rule").agg(F.count("*").alias("n")).join(at, ["path", "rule"])
+    return g.select("path", "rule", "n", F.col("at")[0].line.alias("line"), F.col("at")[0].col.alias("col"), F.transform("at", lambda x: F.concat_ws(":", x.line, x.col)).alias("places"))
 
 
 def low_budget(f: DataFrame, per_file: int = 1, per_rule: int = 10, total: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.findings import one_of
 from ..operators import surface as s
+from ..operators.numbering import numbered
 from .registry import query
 
 POINTS = """CASE WHEN cap_bits & 1024 <> 0 THEN 40.0 WHEN cap_bits & 256 <> 0 THEN 35.0 WHEN cap_bits & 262144 <> 0 THEN 30.0 WHEN cap_bits & (524288 + 16384 + 32768) <> 0 THEN 22.0
@@ -26,7 +27,7 @@ def risk(h):
 
 @query("t10_entry_order", f"SELECT idx, row_number() OVER (ORDER BY score DESC, idx)::INT AS place FROM {RISK}")
 def _(h):
-    return risk(h).select("idx", F.row_number().over(Window.orderBy(F.desc("score"), "idx")).alias("place"))
+    return numbered(risk(h).select("idx", "score"), [F.desc("score"), F.col("idx")]).select("idx", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("x56_risk_tier", f"SELECT {TIER} AS tier, count(*) AS n FROM {RISK} GROUP BY 1")
@@ -105,7 +106,7 @@ def _(h):
 
 @query("w13_surface_canonical", "SELECT (dense_rank() OVER (ORDER BY node_kind, target) - 1)::INT AS id, entry, target FROM surface_edges")
 def _(h):
-    nodes = h.surface_edges.select("node_kind", "target").distinct().withColumn("id", (F.row_number().over(Window.orderBy("node_kind", "target")) - 1))
+    nodes = numbered(h.surface_edges.select("node_kind", "target").distinct(), [F.col("node_kind"), F.col("target")], "id").withColumn("id", F.col("id").cast("int"))
     return h.surface_edges.join(nodes, ["node_kind", "target"]).select("id", "entry", "target")
 
 

@@ -120,3 +120,25 @@ def test_triage_files(spark, tmp_path):
     d = spark.createDataFrame([("b", "fixed", None), ("a", "open", "n"), ("a", "open", "n")], "portable string, state string, note string")
     sinks.write_triage(d, str(tmp_path / "t"))
     assert sorted(map(tuple, sinks.read_triage(spark, str(tmp_path / "t")).collect()), key=str) == [("a", "open", "n"), ("b", "fixed", None)]
+
+
+def test_places_in_a_total_order(spark):
+    from pyspark.sql import functions as F
+
+    from tarnwood.operators.numbering import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x")).repartition(7)
+    got = {r.x: r.place for r in numbered(df, [F.desc("x")]).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got, reverse=True))} and len(got) == 1000
+    assert numbered(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_a_broken_module_is_told(tmp_path, monkeypatch):
+    import sys
+
+    (tmp_path / "broken_one.py").write_text("import no_such_module")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.raises(ModuleNotFoundError):
+        entry_module._optional("broken_one", "tarnwood.llm")
+    assert entry_module._optional("tarnwood.no_such_folder.registry", "tarnwood.no_such_folder") is None
+    assert "broken_one" not in sys.modules
