@@ -242,3 +242,31 @@ def _whole(x: Column, y: Column) -> Column:
     """Quotient cut towards zero, exact at 64 bits."""
     y = F.nullif(y, F.lit(0))
     return ((x - x % y).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("long")
+
+
+def value_fact(span: Column, is_null: Column, types: Column) -> Column:
+    """What is known of a value: its range, whether it is null, and its possible types as bits, 0 for none."""
+    return F.struct(span.alias("range"), is_null.cast("boolean").alias("is_null"), types.cast("long").alias("types"))
+
+
+def _value_bottom() -> Column:
+    return value_fact(bottom(), F.lit(None), F.lit(0))
+
+
+def value_meet(a: Column, b: Column) -> Column:
+    """Both at once; bottom where range, nullness or types contradict each other."""
+    span, types = meet(a["range"], b["range"]), types_meet(a.types, b.types)
+    none = is_bottom(span) | F.coalesce(a.is_null != b.is_null, F.lit(False)) | (types == 0)
+    return F.when(none, _value_bottom()).otherwise(value_fact(span, F.coalesce(a.is_null, b.is_null), types))
+
+
+def _of_either(a: Column, b: Column, value: Column) -> Column:
+    return F.when(a.types == 0, b).when(b.types == 0, a).otherwise(value)
+
+
+def value_join(a: Column, b: Column) -> Column:
+    return _of_either(a, b, value_fact(join(a["range"], b["range"]), tri_join(a.is_null, b.is_null), types_join(a.types, b.types)))
+
+
+def value_widen(old: Column, new: Column) -> Column:
+    return _of_either(old, new, value_fact(widen(old["range"], new["range"]), tri_join(old.is_null, new.is_null), types_join(old.types, new.types)))

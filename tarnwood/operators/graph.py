@@ -191,6 +191,12 @@ def merge_summaries(parts: DataFrame) -> DataFrame:
     return parts.groupBy("fid").agg(F.bit_or("source_caps").alias("source_caps"), F.bit_or("sink_caps").alias("sink_caps"), F.array_sort(F.collect_set("param")).alias("params"))
 
 
+def merge_merged(summaries: DataFrame) -> DataFrame:
+    """Summaries merged already, of several scans or workers: the same merge again, as it is associative and idempotent."""
+    parts = summaries.select("fid", "source_caps", "sink_caps", F.explode_outer("params").alias("param"))
+    return merge_summaries(parts)
+
+
 def alias_sets(edges: DataFrame) -> DataFrame:
     """edges (src, dst) as equalities -> node, label: the least member of its set. Least neighbours are taken, doubled and contracted."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
