@@ -136,11 +136,11 @@ def _(h):
     return _witnesses(h).select("doc_id", sy.decoded(F.col("kind"), sy.encoded(F.col("kind"), F.col("w"))).alias("decoded"))
 
 
-_VALUES = "(SELECT p_partkey AS k, p_partkey % 50 AS alo, p_partkey % 50 + p_size AS ahi, p_partkey % 31 AS blo, p_partkey % 31 + p_size % 9 AS bhi, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS an, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS bn, p_partkey * 37 % 1024 AS aty, p_partkey * 11 % 1024 AS bty FROM part)"
+_VALUES = "(SELECT p_partkey AS k, p_partkey % 50 AS alo, p_partkey % 50 + p_size AS ahi, p_partkey % 31 AS blo, p_partkey % 31 + p_size % 9 AS bhi, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS an, CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS bn, p_partkey * 37 % 1023 + 1 AS aty, p_partkey * 11 % 1023 + 1 AS bty FROM part)"
 
 
 def _values(h):
-    d = h.base("part").selectExpr("p_partkey AS k", "p_partkey % 50 AS alo", "p_partkey % 50 + p_size AS ahi", "p_partkey % 31 AS blo", "p_partkey % 31 + p_size % 9 AS bhi", "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS an", "CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS bn", "p_partkey * 37 % 1024 AS at", "p_partkey * 11 % 1024 AS bt")
+    d = h.base("part").selectExpr("p_partkey AS k", "p_partkey % 50 AS alo", "p_partkey % 50 + p_size AS ahi", "p_partkey % 31 AS blo", "p_partkey % 31 + p_size % 9 AS bhi", "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS an", "CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS bn", "p_partkey * 37 % 1023 + 1 AS at", "p_partkey * 11 % 1023 + 1 AS bt")
     return d.select("k", la.value_fact(la.interval(F.col("alo"), F.col("ahi")), F.col("an"), F.col("at")).alias("a"), la.value_fact(la.interval(F.col("blo"), F.col("bhi")), F.col("bn"), F.col("bt")).alias("b"))
 
 
