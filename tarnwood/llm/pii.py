@@ -81,8 +81,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ---- the semi-Markov field -------------------------------------------------------------------
 
 _TOKENS = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-_SPOTS = re.compile(r"[0-9(][0-9 ()./-]{5,60}[0-9]|@|[\[({] ?(?:at|AT) ?[\])}]| at [A-Za-z0-9-]{1,40} dot ")
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]| dot ) ?[A-Za-z0-9-]+)+", re.I)
+_SPOTS = re.compile(r"[0-9(][0-9 ()./-]{5,60}[0-9]|@|[\[({] ?(?:at|AT) ?[\])}]| (?:at|AT) [A-Za-z0-9-]{1,40} (?:dot|DOT) ")
+_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|punkt|punto|point) ?[\])}]| dot ) ?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"(?:\+|\()?[0-9][0-9 ().+/-]*[0-9]")
 _CUES = {
     "email": re.compile(r"(?:e-?mail|mailto|contact|write to|reach)\W*$", re.I),
@@ -182,12 +182,16 @@ def _examples(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
         return next(x + c for c in "0123456789" if luhn(x + c))
 
     def email() -> str:
-        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", " . ")])
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", " . "), (" AT ", " DOT "), (" (at) ", rng.choice([" (punkt) ", " (punto) ", " (point) "]))])
         return name() + at + rng.choice(["mail", "example", "host7", "site"]) + dot + rng.choice(["com", "org", "net", "de"])
 
     def phone() -> str:
         return rng.choice([f"({d(3)}) 555-{d(4)}", f"{d(3)}-555-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}"])
 
+    def national() -> str:
+        """Numbers that only what stands before them tells from others."""
+        return rng.choice([f"0{d(4)} {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(10)}", f"0{d(10)}", f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}"])
+
     def look_alike() -> str:
         return rng.choice([
             f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}/0{rng.randint(1, 9)}/20{d(2)}", f"{d(9)}", f"{d(11)}", f"{d(14)}", f"{d(16)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}.{d(5)}", f"{d(4)}-{d(4)}",
@@ -200,7 +204,8 @@ def _examples(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
         for _ in range(rng.randint(1, 2)):
             words = " ".join(rng.choice(_WORDS) for _ in range(rng.randint(1, 4)))
             kind = rng.choice(["email", "phone", "phone", "card", "ip", None, None, None])
-            cue = {"email": "email: ", "phone": rng.choice(["tel ", "call ", "phone: "]), "card": "card no ", "ip": "ip ", None: ""}[kind] if rng.random() < 0.4 else ""
+            told = kind == "phone" and rng.random() < 0.35
+            cue = {"email": "email: ", "phone": rng.choice(["tel ", "call ", "phone: ", "phone ", "ring ", "mobile "]), "card": "card no ", "ip": "ip ", None: ""}[kind] if told or rng.random() < 0.4 else ""
             if kind == "card":
                 c = card()
                 what = rng.choice([" . ".join([c[:4], c[4:8], c[8:12], c[12:]]).replace(" ", ""), "/".join([c[:4], c[4:8], c[8:12], c[12:]])])
@@ -208,7 +213,7 @@ def _examples(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
                 what = " . ".join(str(rng.randint(0, 255)) for _ in range(4)) if rng.random() < 0.5 else "(.)".join(str(rng.randint(0, 255)) for _ in range(4)).replace("(.)", " .")
                 cue = cue or "ip "
             else:
-                what = {"email": email, "phone": phone, None: look_alike}[kind]()
+                what = {"email": email, "phone": national if told else phone, None: lambda: national() if rng.random() < 0.3 else look_alike()}[kind]()
             lead = words + " " + cue
             parts += [lead, what, " "]
             if kind:

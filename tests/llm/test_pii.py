@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnwood.llm.pii import KINDS, _examples, base_spans, digest, find, luhn, op2_pii_semicrf, spans, trained
+from tarnwood.llm.pii import KINDS, _examples, base_spans, digest, find, luhn, op2_pii_semicrf, segments, spans, trained
 
 
 def brute(text):
@@ -41,6 +41,32 @@ def test_the_field_finds_held_out_formats_and_leaves_look_alikes():
     assert right > 150 and wrong < 0.1 * right and missed < 0.15 * right
 
 
+@pytest.mark.parametrize(("text", "what"), [("my tel 07700 900123 please", "07700 900123"), ("the phone 5551234567 is", "5551234567"), ("ring 555 1234 now", "555 1234"), ("to john AT mail DOT com", "john AT mail DOT com"), ("an anna (at) firma (punkt) de und", "anna (at) firma (punkt) de")])
+def test_numbers_that_a_word_tells_and_addresses_in_words(text, what):
+    assert [text[s:e] for s, e, _ in find(text, trained())[1]] == [what]
+
+
+def test_decoding_against_all_segmentations():
+    """The best score of any choice of segments that don't overlap."""
+    model, rng = trained(), random.Random(5)
+    for text, _ in [(t[:70], g) for t, g in _examples(60, rng)]:
+        closed = [rng.random() < 0.05 for _ in text]
+        borders, segs = segments(text, closed)
+        scored = [(i, j, model.score(text, borders[i], borders[j], k)) for i, j, k in segs]
+
+        def best(at, scored=scored, n=len(borders) - 1, known=None):
+            known = {} if known is None else known
+            if at >= n:
+                return 0.0
+            if at not in known:
+                known[at] = max([best(at + 1, known=known), *(s + best(j, known=known) for i, j, s in scored if i == at)])
+            return known[at]
+
+        where = {(borders[i], borders[j], k): s for (i, j, s), (_, _, k) in zip(scored, segs, strict=True)}
+        got = model.decode(text, closed)
+        assert sum(where[x] for x in got) == pytest.approx(best(0)) and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 @pytest.mark.parametrize("text", ["version 1.2.3 of 2024-05-06", "order 980791576 and 10992847249404", "7536784127813051 4845168114407328", "plain prose at the dot of it"])
 def test_clean_texts_stay_clean(text):
     assert find(text, trained())[1] == []
