@@ -151,3 +151,27 @@ def pass_rows(docs: DataFrame, text_col: str, decide) -> DataFrame:
 
     kept = packed.mapInArrow(run, "row " + row.simpleString())
     return kept.select(*[F.col("row").getField(f.name).alias(f.name) for f in row.fields])
+
+
+def frequent_join(left: DataFrame, right: DataFrame, keys: list[str], rows_col: str, most: int) -> DataFrame:
+    """left with the columns of right, which has one row for each key of left (nulls included) and in rows_col how many rows of left have it.
+
+    Keys that hold a share of 1 / most of the rows or more, `most` keys at the most, are broadcast; what then shuffles has no frequent key.
+    """
+    total = right.agg(F.sum(rows_col)).first()[0] or 0
+    values = [c for c in right.columns if c not in (*keys, rows_col)]
+    fields = F.struct(*values)
+    often = right.where(F.col(rows_col) * most >= total).select(*[F.col(k).alias("often_" + k) for k in keys], fields.alias("often_values"))
+    seldom = right.where(F.col(rows_col) * most < total).select(*[F.col(k).alias("seldom_" + k) for k in keys], fields.alias("seldom_values"))
+
+    def on(df, kind):
+        test = F.lit(True)
+        for k in keys:
+            test = test & df[k].eqNullSafe(F.col(f"{kind}_{k}"))
+        return test
+
+    first = left.join(F.broadcast(often), on(left, "often"), "left")
+    have = F.col("often_values").isNotNull()
+    rest = first.where(~have)
+    done = first.where(have).select(*left.columns, "often_values.*")
+    return done.unionByName(rest.join(seldom, on(rest, "seldom"), "inner").select(*left.columns, "seldom_values.*"))
