@@ -9,8 +9,10 @@ from .licenses import op10_license_scan
 from .line_dedup import op4_template_lines
 from .lm import op9_lm_bloom
 from .minhash import op7_minhash_bayes
+from .packing import op11_nnls_packing
 from .pii import op2_pii_semicrf
 from .toxicity import op8_toxicity_mil
+from .vector_codes import OP13_SQL, op13_vector_codes
 from .warc import OP6_SQL, op6_warc_revisits
 
 _QUERIES = (
@@ -24,6 +26,8 @@ _QUERIES = (
     op8_toxicity_mil,
     op9_lm_bloom,
     op10_license_scan,
+    op11_nnls_packing,
+    op13_vector_codes,
 )
 
 
@@ -32,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_grace_dedup": OP3_SQL, "op6_warc_revisits": OP6_SQL}
+    return {"op3_grace_dedup": OP3_SQL, "op6_warc_revisits": OP6_SQL, "op13_vector_codes": OP13_SQL}
