@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .bpe import op5_bpe_round_trip
 from .decontaminate import op1_lsa_decontamination
 from .exact_dedup import OP3_SQL, op3_grace_dedup
@@ -27,6 +28,7 @@ _QUERIES = (
     op9_lm_bloom,
     op10_license_scan,
     op11_nnls_packing,
+    op12_token_alignment,
     op13_vector_codes,
 )
 
