@@ -122,7 +122,8 @@ class Ids:
             known.clear()
         if len(pieces) > CACHED:
             pieces.clear()
-        new = set().union(*split).difference(known)
+        found = [list(map(known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         here, odd = [], []
         for w in new:
             text = w.decode()
@@ -138,7 +139,7 @@ class Ids:
             some = odd[i : i + 4096]
             for w, e in zip(some, self.encoder.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
         for w in odd:
             if len(w) > WORD_BYTES:
                 del known[w]
