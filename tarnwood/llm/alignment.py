@@ -4,8 +4,8 @@ Units. A space between two characters that are no white space parts what either
 one holds a space after another character (tested against whole texts). So a text is a sequence of units, and tokens, cuts and links of a text are those of its units. Distinct units are
 tokenized and aligned once, with the number of times they occur.
 
-Relations. Tokens are exploded with their positions; a windowed sum of byte lengths gives each its end; both sides are joined on unit and end.
-An end of both is a cut; running counts of cuts number the groups. Each end of either side closes a stretch of bytes that lies in one token of each side: the
+Relations. Tokens are exploded with their positions; a windowed sum of byte lengths gives each its end; both sides are joined on unit and end,
+by one grouping of all ends (a full equi-join whose result stays with its unit). An end of both is a cut; running counts of cuts number the groups. Each end of either side closes a stretch of bytes that lies in one token of each side: the
 next token of a side at or after it, taken by one window over a unit's ends. These stretches are the links, as many as ends, so no pairs within a group are formed.
 Counts of linked id pairs are sums of occurrences; a B id's highest is a maximum over its pairs.
 
@@ -31,7 +31,7 @@ from pyspark.taskcontext import TaskContext
 from .common import discard, frequent_join, id_and_text, small_batches, stash
 
 #: Units that are broadcast at most, and bytes of such a unit and of its group list; pairs of ids that are broadcast at most; counts that a task gathers.
-COMMON, UNIT_BYTES, GROUP_BYTES, PAIRS, GATHERED = 250_000, 64, 256, 50_000, 300_000
+COMMON, UNIT_BYTES, GROUP_BYTES, PAIRS, GATHERED = 500_000, 64, 256, 100_000, 300_000
 _ODD, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -134,16 +134,17 @@ def encoded_units(counts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return counts.mapInArrow(run, _ENCODED)
 
 
-def ends(encoded: DataFrame, side: str) -> DataFrame:
-    """(uid, end, side_pos, side_id): tokens of a side with the byte after their last."""
-    tokens = encoded.select("uid", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("pos", "t"))
-    end = F.sum("t.size").over(Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return tokens.select("uid", F.col("pos").alias(f"{side}_pos"), F.col("t.id").alias(f"{side}_id"), end.alias("end"))
+def ends(encoded: DataFrame) -> DataFrame:
+    """(uid, is_a, pos, id, end): tokens of both sides with the byte after their last."""
+    tokens = encoded.select("uid", F.expr("inline(concat(transform(a, (x, i) -> struct(true AS is_a, i AS pos, x AS id, a_size[i] AS size)), transform(b, (x, i) -> struct(false AS is_a, i AS pos, x AS id, b_size[i] AS size))))"))
+    end = F.sum("size").over(Window.partitionBy("uid", "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return tokens.select("uid", "is_a", "pos", "id", end.alias("end"))
 
 
 def links(encoded: DataFrame) -> DataFrame:
     """One row for each link: uid, end (of the shared stretch), group (counted from the last), a_pos, b_pos (where a token ends there), a_id, b_id."""
-    both = ends(encoded, "a").join(ends(encoded, "b"), ["uid", "end"], "full")
+    e = ends(encoded)
+    both = e.groupBy("uid", "end").agg(*[F.max(F.when(F.col("is_a") == (side == "a"), F.col(c))).alias(f"{side}_{c}") for side in "ab" for c in ("pos", "id")])
     back = Window.partitionBy("uid").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
     return both.select("uid", "end", F.sum(cut.cast("int")).over(back).alias("group"), "a_pos", "b_pos", cut.alias("cut"), F.last("a_id", True).over(back).alias("a_id"), F.last("b_id", True).over(back).alias("b_id"))
@@ -151,6 +152,7 @@ def links(encoded: DataFrame) -> DataFrame:
 
 def aligned(encoded: DataFrame) -> DataFrame:
     """Each unit with its counts, its group list and its links."""
+    encoded = encoded.repartition("uid")  # the only shuffle: all below is by unit
     by_unit = links(encoded).groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("cut").cast("long")).alias("n_groups"), F.collect_list(F.when(F.col("cut"), F.struct("a_pos", "b_pos"))).alias("cuts"), F.collect_list(F.struct("a_id", "b_id")).alias("links"))
     cuts = by_unit.withColumn("cuts", F.array_sort("cuts"))
     group = """transform(cuts, (c, i) -> concat(
@@ -171,20 +173,20 @@ _VALUES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def unit_table(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """unit, n, the counts of _VALUES and the group list, one row for each distinct unit of the texts."""
+    """unit, n, numbers (those of _VALUES) and the group list, one row for each distinct unit of the texts."""
     counts = stash(counted_units(docs), "units")
     encoded = stash(encoded_units(counts, a_path, b_path), "encoded")
     units_ = stash(aligned(encoded), "aligned")
     discard(counts, encoded)
     each = units_.select("uid", F.explode("links").alias("l")).select("uid", "l.*")
     sums = frequent_join(each, pair_counts(units_), ["a_id", "b_id"], "rows", PAIRS).groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    out = stash(units_.drop("links").join(sums, "uid").select("unit", "n", *_VALUES, "groups"), "unit-table")
+    out = stash(units_.drop("links").join(sums, "uid").select("unit", "n", F.concat_ws(",", *_VALUES).alias("numbers"), "groups"), "unit-table")
     discard(units_)
     return out
 
 
-def common_units(table: DataFrame, most: int = COMMON) -> list:
-    """The most frequent units, `most` at most, all that occur as often as the least frequent of them; of bounded length."""
+def common_units(table: DataFrame, most: int = COMMON) -> pa.Table:
+    """unit, numbers, groups of the most frequent units of bounded length: `most` at most, all that occur as often as the least frequent of them."""
     short = table.where((F.octet_length("unit") <= UNIT_BYTES) & (F.octet_length("groups") <= GROUP_BYTES))
     step = F.floor(F.log2("n") * 16).cast("int")
     level, held = None, 0
@@ -193,7 +195,30 @@ def common_units(table: DataFrame, most: int = COMMON) -> list:
         if held > most:
             break
         level = r["step"]
-    return [] if level is None else short.where(step >= level).select("unit", *_VALUES, "groups").collect()
+    return short.where(F.lit(False) if level is None else step >= level).select("unit", "numbers", "groups").toArrow()
+
+
+class Common:
+    """The common units in a worker: unit -> (groups, numbers). Broadcast as one buffer, read when first used."""
+
+    def __init__(self, table: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.data, self.units = sink.getvalue().to_pybytes(), None
+
+    def __getstate__(self):
+        return self.data
+
+    def __setstate__(self, data):
+        self.data, self.units = data, None
+
+    def read(self) -> dict[str, tuple[str, tuple[int, ...]]]:
+        if self.units is None:
+            t, shared = pa.ipc.open_stream(self.data).read_all(), {}
+            numbers = [shared.setdefault(n, tuple(map(int, n.split(",")))) for n in t.column("numbers").to_pylist()]
+            self.units = dict(zip(t.column("unit").to_pylist(), zip(t.column("groups").to_pylist(), numbers, strict=True), strict=True))
+        return self.units
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON) -> DataFrame:
@@ -202,11 +227,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     small_batches(spark)
     docs = id_and_text(docs, id_col, text_col)
     table = unit_table(docs, a_path, b_path)
-    known = spark.sparkContext.broadcast({r.unit: (r.groups, *r[1:-1]) for r in common_units(table, most)})
+    known = spark.sparkContext.broadcast(Common(common_units(table, most)))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
     def rare(batches):
-        often = known.value
+        often = known.value.read()
         for b in batches:
             keys, found = [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -218,21 +243,21 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     # texts whose keys are equal by chance share their lists: a text looks up its own units only
     wanted = keyed.select("key", "text").mapInArrow(rare, "key long, unit string")
-    lists = wanted.join(table, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "groups", F.array(*_VALUES).alias("v"))).alias("rare"))
+    lists = wanted.join(table, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "groups", "numbers")).alias("rare"))
     rows = keyed.join(lists, "key", "left").select("doc_id", "text", "rare")
 
     def run(batches):
-        often = known.value
+        often = known.value.read()
         for b in batches:
             out = []
             for doc_id, t, some in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not _readable(t):
                     out.append((doc_id, *[0] * len(_VALUES), ""))
                     continue
-                own = {r["unit"]: (r["groups"], *r["v"]) for r in some or ()}
+                own = {r["unit"]: (r["groups"], tuple(map(int, r["numbers"].split(",")))) for r in some or ()}
                 got = [often.get(u) or own[u] for u in units(t)]
-                groups, *numbers = zip(*got, strict=True)
-                out.append((doc_id, *map(sum, numbers), ";".join(groups)))
+                groups, numbers = zip(*got, strict=True)
+                out.append((doc_id, *map(sum, zip(*numbers, strict=True)), ";".join(groups)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * (1 + len(_VALUES)) + [pa.string()], strict=True)], names=["doc_id", *_VALUES, "groups"])
 
