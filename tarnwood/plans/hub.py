@@ -127,7 +127,39 @@ SELECT doc_id, lang, source, n_chars,
 FROM {documents}
 """
 
+#: A tree of packages, folders and files; manifests with what they export; path aliases of configurations; and imports of all kinds by file.
+MOD_FILES = """
+SELECT p_partkey AS fid, 'w/p' || CAST(p_partkey % 60 AS STRING) || '/src' || CASE WHEN p_partkey % 5 = 0 THEN '/sub' ELSE '' END || '/m' || CAST(p_partkey % 7 AS STRING) || '/f' || CAST(p_partkey % 30 AS STRING)
+  || CASE p_size % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '.js' WHEN 3 THEN '/index.ts' ELSE '.mjs' END AS path FROM {part}
+"""
+MOD_PACKAGES = """
+SELECT DISTINCT 'w/p' || CAST(s_suppkey % 60 AS STRING) AS root, CASE WHEN s_suppkey % 60 % 2 = 0 THEN '@org/p' ELSE 'p' END || CAST(s_suppkey % 60 % 50 AS STRING) AS name,
+  CASE WHEN s_suppkey % 60 % 3 = 0 THEN './src/m' || CAST(s_suppkey % 60 % 7 AS STRING) || '/f1' ELSE NULL END AS main, s_suppkey % 60 % 4 = 1 AS closed FROM {supplier}
+UNION ALL SELECT DISTINCT 'w/p' || CAST(s_suppkey % 60 AS STRING) || '/src/sub', 'inner' || CAST(s_suppkey % 60 AS STRING), NULL, FALSE FROM {supplier} WHERE s_suppkey % 60 % 3 = 0
+"""
+MOD_EXPORTS = """
+SELECT p.root, e.nth, e.key, CASE e.nth WHEN 0 THEN './src/m1/f1.ts' WHEN 1 THEN './src/m2/f2.js' WHEN 2 THEN './src/*' WHEN 3 THEN './src/m*' ELSE NULL END AS target
+FROM (SELECT DISTINCT 'w/p' || CAST(s_suppkey % 60 AS STRING) AS root FROM {supplier} WHERE s_suppkey % 60 % 4 = 1) p,
+  (SELECT 0 AS nth, '.' AS key UNION ALL SELECT 1, './two' UNION ALL SELECT 2, './lib/*' UNION ALL SELECT 3, './m*.js' UNION ALL SELECT 4, './lib/m3/f3') e
+"""
+MOD_ALIASES = """
+SELECT CAST(config AS STRING) AS config, base, nth, prefix, wildcard, first_target, second_target FROM (
+  SELECT 'w/tsconfig.json' AS config, 'w' AS base, 0 AS nth, '@/' AS prefix, TRUE AS wildcard, 'p1/src/*' AS first_target, 'p2/src/*' AS second_target
+  UNION ALL SELECT 'w/tsconfig.json', 'w', 1, '@lib', FALSE, 'p3/src/m3/f3', 'p4/src/m4/f4'
+  UNION ALL SELECT 'w/tsconfig.json', 'w', 2, '~', TRUE, '*', 'p5/src/m*'
+  UNION ALL SELECT DISTINCT 'w/p' || CAST(s_suppkey % 60 AS STRING) || '/jsconfig.json', 'w/p' || CAST(s_suppkey % 60 AS STRING) || '/src', 0, '@/', TRUE, '*', 'sub/*' FROM {supplier} WHERE s_suppkey % 60 % 6 < 2) a
+"""
+MOD_IMPORTS = """
+SELECT f.path AS file, l_linenumber AS nth, 'v' || CAST(l_suppkey % 4 AS STRING) AS local, CASE l_suppkey % 6 WHEN 0 THEN 'default' WHEN 1 THEN '*' ELSE 'fn' || CAST(l_suppkey % 9 AS STRING) END AS exported,
+  CASE l_suppkey % 12 WHEN 0 THEN './f' || CAST(l_orderkey % 30 AS STRING) WHEN 1 THEN '../m' || CAST(l_orderkey % 7 AS STRING) || '/f' || CAST(l_orderkey % 30 AS STRING) || '.js' WHEN 2 THEN '@/m' || CAST(l_orderkey % 7 AS STRING) || '/f' || CAST(l_orderkey % 30 AS STRING)
+    WHEN 3 THEN '@org/p' || CAST(l_orderkey % 60 AS STRING) || '/src/m' || CAST(l_orderkey % 7 AS STRING) || '/f' || CAST(l_orderkey % 30 AS STRING) WHEN 4 THEN 'p' || CAST(l_orderkey % 60 AS STRING) WHEN 5 THEN 'p' || CAST(l_orderkey % 60 AS STRING) || '/lib/m' || CAST(l_orderkey % 7 AS STRING) || '/f' || CAST(l_orderkey % 30 AS STRING)
+    WHEN 6 THEN CASE l_orderkey % 3 WHEN 0 THEN 'node:fs' WHEN 1 THEN 'fs/promises' ELSE 'path' END WHEN 7 THEN 'lodash/' || CAST(l_orderkey % 9 AS STRING) WHEN 8 THEN '@lib' WHEN 9 THEN '~p' || CAST(l_orderkey % 60 AS STRING) || '/src/m1/f1'
+    WHEN 10 THEN 'p' || CAST(l_orderkey % 60 AS STRING) || '/m' || CAST(l_orderkey % 7 AS STRING) || '/f2.js' ELSE '../../../../..' END AS spec
+FROM {lineitem} JOIN (SELECT p_partkey, path FROM {part} JOIN (""" + MOD_FILES + """) m ON m.fid = p_partkey) f ON f.p_partkey = l_partkey
+"""
+
 TABLES = {
+    "mod_files": MOD_FILES, "mod_packages": MOD_PACKAGES, "mod_exports": MOD_EXPORTS, "mod_aliases": MOD_ALIASES, "mod_imports": MOD_IMPORTS,
     "findings": FINDINGS, "findings_b": FINDINGS_B, "scans": SCANS, "scan_findings": SCAN_FINDINGS, "triage": TRIAGE, "rules": RULES, "functions": FUNCTIONS, "call_sites": CALL_SITES,
     "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "auth_routes": AUTH_ROUTES, "auth_ops": AUTH_OPS, "auth_checks": AUTH_CHECKS, "auth_lookups": AUTH_LOOKUPS, "text_lines": LINES,
 }
