@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of this machine's own only where none is named and the master is local."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="ckpt-")  # unset only in tests
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))  # unset only in tests
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
