@@ -81,14 +81,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 # ---- the semi-Markov field -------------------------------------------------------------------
 
 _TOKENS = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-_SPOTS = re.compile(r"[0-9(][0-9 ()./-]{5,60}[0-9]|@|[\[({] ?(?:at|AT) ?[\])}]| (?:at|AT) [A-Za-z0-9-]{1,40} (?:dot|DOT) ")
-_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[({] ?at ?[\])}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|punkt|punto|point) ?[\])}]| dot ) ?[A-Za-z0-9-]+)+", re.I)
-_NUMBER = re.compile(r"(?:\+|\()?[0-9][0-9 ().+/-]*[0-9]")
+_SPOTS = re.compile(r"[0-9(][0-9 ()./_-]{5,60}[0-9]|@|[\[({] ?(?:at|AT|ät|ÄT|arroba|arobase) ?[\])}]| (?:at|AT|arroba|arobase) [A-Za-z0-9-]{1,40} (?:dot|DOT|punto|point) ")
+_WRITTEN = re.compile(
+    r"[A-Za-z0-9._%+-]+(?: dot [A-Za-z0-9_%+-]+)* ?(?:@|[\[({] ?(?:at|ät|arroba|arobase) ?[\])}]| (?:at|arroba|arobase) ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|punkt|punto|point) ?[\])}]| (?:dot|punto|point) ) ?[A-Za-z0-9-]+)+", re.I
+)
+_NUMBER = re.compile(r"(?:\+|\()?[0-9][0-9 ().+/_-]*[0-9]")
+#: Four groups parted by dots: what only spaces part is no address of a host.
+_QUAD = re.compile(r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}")
 _CUES = {
-    "email": re.compile(r"(?:e-?mail|mailto|contact|write to|reach)\W*$", re.I),
-    "ip": re.compile(r"(?:\bip|host|server|addr(?:ess)?)\W*$", re.I),
-    "card": re.compile(r"(?:card|visa|master|amex|credit|cc)\W*(?:no|number|nr)?\W*$", re.I),
-    "phone": re.compile(r"(?:phone|tel|telephone|call|mobile|cell|fax|dial|ring)\W*(?:no|number|nr)?\W*$", re.I),
+    "email": re.compile(r"(?:e-?mail|mailto|contact|write to|reach|kontakt|schreib(?:en)? an|correo|escrib[ae] a|courriel|écrire à|contacto)\W*$", re.I),
+    "ip": re.compile(r"(?:\bip|host|server|addr(?:ess)?|adresse|servidor|serveur)\W*$", re.I),
+    "card": re.compile(r"(?:card|visa|master|amex|credit|cc|karte|tarjeta|carte)\W*(?:no|number|nr|nummer|n°|número|numéro)?\W*$", re.I),
+    "phone": re.compile(r"(?:phone|tel|telephone|call|mobile?|cell|fax|dial|ring|telefon|handy|rufnummer|telefono|teléfono|tfno|móvil|llam[ae]|tél|téléphone|portable|appele[rz]|mobil)\W*(?:no|number|nr|nummer|n°|me on|me at|us on|us at|unter|al|au)?\W*$", re.I),
 }
 #: Endings that mail hosts have.
 _ENDINGS = frozenset("com org net edu gov info io co de fr es it nl uk us".split())
@@ -104,7 +108,7 @@ def span_features(text: str, start: int, end: int, kind: str) -> list[str]:
     if kind == "email":
         out.append("email written")
         out.append(f"email dots={min(3, len(re.findall(r'[.]|dot', s, re.I)))}")
-        out.append(f"email bracket={bool(re.search(r'[\[({] ?(?:at|dot)|@', s, re.I))} tld={re.split('[^a-z]+', s.lower())[-1] in _ENDINGS}")
+        out.append(f"email bracket={bool(re.search(r'[\[({] ?(?:at|ät|arroba|arobase|dot)|@', s, re.I))} tld={re.split('[^a-z]+', s.lower())[-1] in _ENDINGS}")
     else:
         digits = "".join(c for c in s if c.isdigit())
         groups = [len(g) for g in re.findall(r"[0-9]+", s)]
@@ -144,7 +148,7 @@ def segments(text: str, closed: list[bool]) -> tuple[list[int], list[tuple[int,
                 d = sum(x.isdigit() for x in s)
                 out += [(i, j, "phone")] if 7 <= d <= 15 else []
                 out += [(i, j, "card")] if 12 <= d <= 19 else []
-                out += [(i, j, "ip")] if 4 <= d <= 12 else []
+                out += [(i, j, "ip")] if _QUAD.fullmatch(s) else []
             elif c.isalnum() and len(s) >= 6 and _WRITTEN.fullmatch(s):
                 out.append((i, j, "email"))
     return borders, out
@@ -182,15 +186,15 @@ def _examples(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
         return next(x + c for c in "0123456789" if luhn(x + c))
 
     def email() -> str:
-        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", " . "), (" AT ", " DOT "), (" (at) ", rng.choice([" (punkt) ", " (punto) ", " (point) "]))])
-        return name() + at + rng.choice(["mail", "example", "host7", "site"]) + dot + rng.choice(["com", "org", "net", "de"])
+        at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", " . "), (" AT ", " DOT "), (" (at) ", rng.choice([" (punkt) ", " (punto) ", " (point) "])), (" [ät] ", " [punkt] "), (" arroba ", " punto "), (" arobase ", " point ")])
+        return name() + (" dot " + name() if at == " at " and rng.random() < 0.4 else "") + at + rng.choice(["mail", "example", "host7", "site"]) + dot + rng.choice(["com", "org", "net", "de"])
 
     def phone() -> str:
         return rng.choice([f"({d(3)}) 555-{d(4)}", f"{d(3)}-555-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}"])
 
     def national() -> str:
         """Numbers that only what stands before them tells from others."""
-        return rng.choice([f"0{d(4)} {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(10)}", f"0{d(10)}", f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}"])
+        return rng.choice([f"0{d(4)} {d(6)}", f"0{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(4)} {d(4)}", f"{d(10)}", f"0{d(10)}", f"{d(3)} {d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(3)} {d(8)}", f"0{d(2)} {d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"9{d(1)} {d(3)} {d(2)} {d(2)}", f"6{d(2)} {d(3)} {d(3)}"])
 
     def look_alike() -> str:
         return rng.choice([
@@ -205,10 +209,10 @@ def _examples(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int
             words = " ".join(rng.choice(_WORDS) for _ in range(rng.randint(1, 4)))
             kind = rng.choice(["email", "phone", "phone", "card", "ip", None, None, None])
             told = kind == "phone" and rng.random() < 0.35
-            cue = {"email": "email: ", "phone": rng.choice(["tel ", "call ", "phone: ", "phone ", "ring ", "mobile "]), "card": "card no ", "ip": "ip ", None: ""}[kind] if told or rng.random() < 0.4 else ""
+            cue = {"email": "email: ", "phone": rng.choice(["tel ", "call ", "phone: ", "phone ", "ring ", "mobile ", "Telefon ", "Mobil: ", "call me on ", "teléfono ", "tél. ", "móvil: "]), "card": "card no ", "ip": "ip ", None: ""}[kind] if told or rng.random() < 0.4 else ""
             if kind == "card":
                 c = card()
-                what = rng.choice([" . ".join([c[:4], c[4:8], c[8:12], c[12:]]).replace(" ", ""), "/".join([c[:4], c[4:8], c[8:12], c[12:]])])
+                what = rng.choice([" . ".join([c[:4], c[4:8], c[8:12], c[12:]]).replace(" ", ""), *(m.join([c[:4], c[4:8], c[8:12], c[12:]]) for m in "/_")])
             elif kind == "ip":
                 what = " . ".join(str(rng.randint(0, 255)) for _ in range(4)) if rng.random() < 0.5 else "(.)".join(str(rng.randint(0, 255)) for _ in range(4)).replace("(.)", " .")
                 cue = cue or "ip "

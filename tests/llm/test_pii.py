@@ -99,3 +99,26 @@ def test_query_against_brute_force(spark):
     for r in op2_pii_semicrf(spark, sf).collect():
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == digest(want) and [r[f"n_{k}"] for k in KINDS] == [sum(s[2] == k for s in want) for k in KINDS]
+
+
+@pytest.mark.parametrize(
+    ("text", "what"),
+    [
+        ("Appelez 01 23 45 67 89 demain", "phone 01 23 45 67 89"),
+        ("su telefono 91 123 45 67 hoy", "phone 91 123 45 67"),
+        ("Mobil: 0176 12345678 ab", "phone 0176 12345678"),
+        ("please call me on 020 7946 0958 or", "phone 020 7946 0958"),
+        ("Telefon 030 1234567 im", "phone 030 1234567"),
+        ("an max [ät] web [punkt] de und", "email max [ät] web [punkt] de"),
+        ("card no 4111_1111_1111_1111 is", "card 4111_1111_1111_1111"),
+        ("to jane dot doe at example dot org now", "email jane dot doe at example dot org"),
+        ("correo: ana arroba correo punto es y", "email ana arroba correo punto es"),
+    ],
+)
+def test_formats_of_four_languages(text, what):
+    assert [f"{k} {text[s:e]}" for s, e, k in find(text, trained())[1]] == [what]
+
+
+@pytest.mark.parametrize("text", ["les totaux 12 34 56 78 sont", "10 20 30 40", "rows 100 200 150 250 of", "a 1 2 3 4 5 6 7"])
+def test_groups_that_spaces_part_are_no_host_address(text):
+    assert not any(k == "ip" for _, _, k in find(text, trained())[1])
