@@ -31,7 +31,7 @@ from pyspark.taskcontext import TaskContext
 from .common import discard, frequent_join, id_and_text, small_batches, stash
 
 #: Units that are broadcast at most, and bytes of such a unit and of its group list; pairs of ids that are broadcast at most; counts that a task gathers.
-COMMON, UNIT_BYTES, GROUP_BYTES, PAIRS, GATHERED = 500_000, 64, 256, 100_000, 300_000
+COMMON, UNIT_BYTES, GROUP_BYTES, PAIRS, GATHERED = 400_000, 64, 256, 100_000, 200_000
 _ODD, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -199,26 +199,42 @@ def common_units(table: DataFrame, most: int = COMMON) -> pa.Table:
 
 
 class Common:
-    """The common units in a worker: unit -> (groups, numbers). Broadcast as one buffer, read when first used."""
+    """The common units in a worker. Broadcast as one buffer; a worker holds a number for each unit, and group lists in one piece of memory."""
 
     def __init__(self, table: pa.Table):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        self.data, self.units = sink.getvalue().to_pybytes(), None
+        self.data = sink.getvalue().to_pybytes()
+        self.at: dict[str, int] | None = None
 
     def __getstate__(self):
         return self.data
 
     def __setstate__(self, data):
-        self.data, self.units = data, None
-
-    def read(self) -> dict[str, tuple[str, tuple[int, ...]]]:
-        if self.units is None:
-            t, shared = pa.ipc.open_stream(self.data).read_all(), {}
-            numbers = [shared.setdefault(n, tuple(map(int, n.split(",")))) for n in t.column("numbers").to_pylist()]
-            self.units = dict(zip(t.column("unit").to_pylist(), zip(t.column("groups").to_pylist(), numbers, strict=True), strict=True))
-        return self.units
+        self.data, self.at = data, None
+
+    def read(self) -> Common:
+        if self.at is None:
+            _PAIRS.clear()  # a worker that looks units up tokenizes no more
+            self.at, sizes, lists, numbers = {}, [], [], []
+            for b in pa.ipc.open_stream(self.data):
+                for start in range(0, len(b), 10_000):
+                    some = b.slice(start, 10_000)
+                    for u in some.column(0).to_pylist():
+                        self.at[u] = len(self.at)
+                    groups = [g.encode() for g in some.column(2).to_pylist()]
+                    sizes += map(len, groups)
+                    lists.append(b"".join(groups))
+                    numbers.append(np.array([n.split(",") for n in some.column(1).to_pylist()], dtype=np.int64))
+            self.ends = np.cumsum(np.array(sizes, dtype=np.int64)).tolist()
+            self.lists = b"".join(lists)
+            self.numbers = np.concatenate(numbers) if numbers else np.zeros((0, len(_VALUES)), dtype=np.int64)
+            self.data = b""
+        return self
+
+    def groups(self, i: int) -> bytes:
+        return self.lists[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON) -> DataFrame:
@@ -231,7 +247,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
     def rare(batches):
-        often = known.value.read()
+        often = known.value.read().at
         for b in batches:
             keys, found = [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -254,10 +270,16 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 if not _readable(t):
                     out.append((doc_id, *[0] * len(_VALUES), ""))
                     continue
-                own = {r["unit"]: (r["groups"], tuple(map(int, r["numbers"].split(",")))) for r in some or ()}
-                got = [often.get(u) or own[u] for u in units(t)]
-                groups, numbers = zip(*got, strict=True)
-                out.append((doc_id, *map(sum, zip(*numbers, strict=True)), ";".join(groups)))
+                own = {r["unit"]: (r["groups"].encode(), r["numbers"]) for r in some or ()}
+                us = units(t)
+                places = [often.at.get(u, -1) for u in us]
+                held = np.array(places, dtype=np.int64)
+                sums = often.numbers[held[held >= 0]].sum(0)
+                lists = [often.groups(i) if i >= 0 else own[u][0] for i, u in zip(places, us, strict=True)]
+                others = [own[u][1].split(",") for i, u in zip(places, us, strict=True) if i < 0]
+                if others:
+                    sums = sums + np.array(others, dtype=np.int64).sum(0)
+                out.append((doc_id, *sums.tolist(), b";".join(lists).decode()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * (1 + len(_VALUES)) + [pa.string()], strict=True)], names=["doc_id", *_VALUES, "groups"])
 
