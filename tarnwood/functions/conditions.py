@@ -84,30 +84,34 @@ def negated(atom: Column) -> Column:
     return F.struct(atom.kind.alias("kind"), atom.lhs.alias("lhs"), one_of(atom.op, CONTRARY).alias("op"), atom.rhs.alias("rhs"), positive.alias("positive"))
 
 
-#: Words of names, as frameworks' documentation has them (Flask, Django, Express, Koa, net/http, servlets, Rack, PHP, the DOM, C, DB-API).
-SOURCE_WORDS = {
-    "Cookie": ("cookie", "cookies", "session", "sessions"),
-    "Header": ("header", "headers"),
-    "UserInput": ("request", "requests", "args", "argv", "stdin", "form", "query", "param", "params", "parameter", "parameters", "input", "body", "location", "referrer", "get", "post", "files", "recv", "recvfrom", "fgets", "gets", "scanf", "formvalue", "querystring"),
-    "EnvironmentConfig": ("env", "getenv", "environ", "environment", "config", "configuration", "settings"),
-    "FileSystem": ("read", "readfile", "readline", "readlines", "open", "fopen"),
-    "Database": ("fetchone", "fetchall", "fetchmany", "execute", "fetchrow"),
-}
-#: Words that say something only as a whole name.
-ALONE = ("get", "post", "files", "args")
+#: What a program reads from outside: framework, the names under which its documentation gives the call or attribute, and what that is.
+READS = [
+    ("Flask", "Cookie", "request.cookies", "session"), ("Flask", "Header", "request.headers"), ("Flask", "UserInput", "request.args", "request.form", "request.values", "request.json", "request.get_json", "request.data", "request.files"),
+    ("Flask", "EnvironmentConfig", "app.config", "current_app.config"),
+    ("Django", "Cookie", "request.COOKIES", "request.session"), ("Django", "Header", "request.META"), ("Django", "UserInput", "request.GET", "request.POST", "request.FILES", "request.body"), ("Django", "EnvironmentConfig", "django.conf.settings"),
+    ("Express", "Cookie", "req.cookies", "req.signedCookies", "req.session"), ("Express", "Header", "req.headers", "req.header"), ("Express", "UserInput", "req.query", "req.params", "req.body", "req.files"),
+    ("Koa", "Cookie", "ctx.cookies"), ("Koa", "Header", "ctx.headers"), ("Koa", "UserInput", "ctx.query", "ctx.params", "ctx.body", "ctx.request.body"),
+    ("Go net/http", "Cookie", "r.Cookie", "r.Cookies"), ("Go net/http", "Header", "r.Header"), ("Go net/http", "UserInput", "r.FormValue", "r.PostFormValue", "r.URL.Query", "r.Body"),
+    ("Java servlets", "Cookie", "request.getCookies", "request.getSession"), ("Java servlets", "Header", "request.getHeader", "request.getHeaders"), ("Java servlets", "UserInput", "request.getParameter", "request.getParameterValues", "request.getQueryString", "request.getReader", "request.getInputStream"),
+    ("Rails", "Cookie", "cookies"), ("Rails", "UserInput", "params"),
+    ("PHP", "Cookie", "$_COOKIE", "$_SESSION"), ("PHP", "Header", "getallheaders"), ("PHP", "UserInput", "$_GET", "$_POST", "$_REQUEST", "$_FILES"), ("PHP", "EnvironmentConfig", "$_ENV"), ("PHP", "FileSystem", "file_get_contents"),
+    ("the DOM", "Cookie", "document.cookie"), ("the DOM", "UserInput", "window.location", "document.location", "document.referrer"),
+    ("Python", "UserInput", "sys.argv", "sys.stdin", "input", "socket.recv", "socket.recvfrom"), ("Python", "EnvironmentConfig", "os.environ", "os.getenv", "configparser.ConfigParser", "config.get"), ("Python", "FileSystem", "open"),
+    ("Node", "UserInput", "process.argv", "process.stdin"), ("Node", "EnvironmentConfig", "process.env"), ("Node", "FileSystem", "fs.readFile", "fs.readFileSync", "fs.createReadStream"),
+    ("C", "UserInput", "argv", "fgets", "gets", "scanf", "recv", "recvfrom"), ("C", "EnvironmentConfig", "getenv"), ("C", "FileSystem", "fopen", "fread"),
+    ("DB-API", "Database", "cursor.fetchone", "cursor.fetchmany", "cursor.fetchall", "fetchone", "fetchmany", "fetchall"), ("JDBC", "Database", "stmt.execute", "stmt.executeQuery", "resultSet.getString"),
+]
+#: Kinds in the order in which they are tried: what carries authority, then input, settings, files, stores.
+KINDS = ("Cookie", "Header", "UserInput", "EnvironmentConfig", "FileSystem", "Database")
 
 
 def source_kind(callee: Column, file_io: Column) -> Column:
-    """The kind of source behind a name: what carries authority first, then input, settings, files (if the call has that capability), stores."""
-    spaced = F.regexp_replace(callee, "([a-z0-9])([A-Z])", "$1 $2")
-    words = F.split(F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9]+", " ")), " ")
-    words = F.concat(words, F.array(F.lower(F.regexp_replace(callee, r"^.*[.:]", ""))))
-    bare = F.lower(callee).rlike(r"^\$?_(get|post|files)$") | F.lower(callee).rlike(r"^(request|req)\.")
+    """The kind of source behind a dotted name: one of READS whole, or with segments around it. Files count if the call has that capability."""
+    dotted = F.regexp_replace(F.regexp_replace(callee, r"::|->|\[", "."), r"[^A-Za-z0-9_$.]+", "")
+    name = F.concat(F.lit("."), dotted, F.lit("."))
     out = None
-    for kind, some in SOURCE_WORDS.items():
-        hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in some if w not in ALONE]))
-        if kind == "UserInput":
-            hit = hit | bare
+    for kind in KINDS:
+        hit = F.exists(F.array(*[F.lit(f".{n}.") for _, k, *names in READS if k == kind for n in names]), lambda n: F.contains(name, n))
         if kind == "FileSystem":
             hit = hit & file_io
         out = F.when(hit, kind) if out is None else out.when(hit, kind)

@@ -70,11 +70,24 @@ def _known(*xs: Column) -> Column:
 
 def mul(a: Column, b: Column) -> Column:
     """Bounds of the four products, in decimals; one that leaves the range is open, an unknown one opens both."""
-    wide = lambda x: x.cast("decimal(19,0)")
-    p = [wide(x) * wide(y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
-    in_range = lambda x: F.when(x.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")), x.cast("long"))
+    p = [_wide(x) * _wide(y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
     known = _known(a.lo, a.hi, b.lo, b.hi)
-    return _strict(a, b, interval(F.when(known, in_range(F.least(*p))), F.when(known, in_range(F.greatest(*p)))))
+    return _strict(a, b, interval(F.when(known, _in_range(F.least(*p))), F.when(known, _in_range(F.greatest(*p)))))
+
+
+def _wide(x: Column) -> Column:
+    return x.cast("decimal(19,0)")
+
+
+def _in_range(x: Column) -> Column:
+    """A decimal as a long; null beyond 64 bits."""
+    return F.when(x.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")), x.cast("long"))
+
+
+def _quotient(x: Column, y: Column) -> Column:
+    """x / y cut towards zero as a decimal, exact for all longs; null for y = 0. The remainder goes first: a division of decimals rounds."""
+    x, y = _wide(x), F.nullif(_wide(y), F.lit(0).cast("decimal(19,0)"))
+    return ((x - x % y) / y).cast("decimal(20,0)")
 
 
 def _no_zero(b: Column) -> Column:
@@ -82,18 +95,20 @@ def _no_zero(b: Column) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    """Whole quotients, cut towards zero; a divisor that may be zero leaves no bounds."""
-    q = [F.when(y != 0, (x - x % y) / y).cast("long") for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
+    """Whole quotients, cut towards zero; a divisor that may be zero leaves no bounds, a quotient beyond 64 bits opens its end."""
+    q = [_quotient(x, y) for x in (a.lo, a.hi) for y in (b.lo, b.hi)]
     known = _known(a.lo, a.hi, b.lo, b.hi) & _no_zero(b)
-    return _strict(a, b, interval(F.when(known, F.least(*q)), F.when(known, F.greatest(*q))))
+    return _strict(a, b, interval(F.when(known, _in_range(F.least(*q))), F.when(known, _in_range(F.greatest(*q)))))
 
 
 def modulo(a: Column, m: Column) -> Column:
     """Remainders stay below the modulus of the largest size, and are not negative if the dividend isn't; a modulus that may be zero or is open leaves no bounds."""
-    top = F.greatest(F.abs(m.lo), F.abs(m.hi)) - 1
+    # |x| - 1 for x > 0 is x - 1, for x < 0 it is -(x + 1): no size leaves 64 bits
+    size = lambda x: F.when(x > 0, x - 1).otherwise(-(x + 1))
     known = _known(m.lo, m.hi) & _no_zero(m)
+    top = F.when(known, F.greatest(size(m.lo), size(m.hi)))
     low = F.when(F.coalesce(a.lo >= 0, F.lit(False)), 0).otherwise(-top)
-    return _strict(a, m, interval(F.when(known, low), F.when(known, top)))
+    return _strict(a, m, interval(F.when(known, low), top))
 
 
 def _single(a: Column, value: int | None = None) -> Column:
@@ -233,17 +248,11 @@ def fold(op: Column, x: Column, y: Column) -> Column:
     """x op y of known integers; NULL where it overflows or divides by zero, so that it stays symbolic."""
     return (
         F.when(op == "+", F.try_add(x, y)).when(op == "-", F.try_subtract(x, y)).when(op == "*", F.try_multiply(x, y))
-        .when((op == "//") & (y != 0), _whole(x, y))
-        .when((op == "%") & (y != 0), x % y)
+        .when((op == "//") & (y != 0), _in_range(_quotient(x, y)))
+        .when((op == "%") & (y != 0), (_wide(x) % F.nullif(_wide(y), F.lit(0).cast("decimal(19,0)"))).cast("long"))
     )
 
 
-def _whole(x: Column, y: Column) -> Column:
-    """Quotient cut towards zero, exact at 64 bits."""
-    y = F.nullif(y, F.lit(0))
-    return ((x - x % y).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("long")
-
-
 def value_fact(span: Column, is_null: Column, types: Column) -> Column:
     """What is known of a value: its range, whether it is null, and its possible types as bits, 0 for none."""
     return F.struct(span.alias("range"), is_null.cast("boolean").alias("is_null"), types.cast("long").alias("types"))

@@ -56,7 +56,7 @@ def length(a: Column) -> Column:
 
 
 #: How each kind of text is escaped, mark by mark, in order.
-HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 SQL = (("'", "''"),)
 
 
@@ -74,6 +74,7 @@ def encoded(kind: Column, text: Column) -> Column:
 
 
 def decoded(kind: Column, text: Column) -> Column:
-    """url or base64; null for what doesn't decode."""
-    raw = F.replace(text, F.lit("+"), F.lit("%2B"))
-    return F.when(kind == "url", F.try_url_decode(raw)).when(kind == "base64", F.decode(F.try_to_binary(text, F.lit("base64")), "UTF-8"))
+    """url (a plus is a space) or base64 (with or without padding); null for what doesn't decode, and for html, sql and shell, whose escapes a witness never takes back."""
+    bare = F.regexp_replace(text, "=+$", "")
+    full = F.rpad(bare, (F.length(bare) + F.pmod(-F.length(bare), F.lit(4))).cast("int"), F.lit("="))
+    return F.when(kind == "url", F.try_url_decode(text)).when(kind == "base64", F.try_validate_utf8(F.try_to_binary(full, F.lit("base64")).cast("string")))

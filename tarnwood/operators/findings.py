@@ -20,6 +20,9 @@ def _starts(c: Column, *prefixes: str) -> Column:
     return out
 
 
+# The points, weights and bounds of taint_points, rank_parts and health_weight.
+
+
 def taint_points(f: DataFrame) -> Column:
     """Points of a taint finding: source, completeness, hops, guards, precision, verdicts."""
     source = one_of(f.source_kind, {"UserInput": 3, "EnvironmentConfig": 2, "FileSystem": 2, "Database": 1, "CaughtException": 1, "Unknown": 1}, 0)

@@ -71,17 +71,22 @@ def trend_slope(points: DataFrame, at: str, total: str, n: int = 5) -> DataFrame
     return a.select(F.when(F.col("k") >= 3, (F.col("oldest") - F.col("newest")) / F.greatest(F.col("top"), F.lit(1))).alias("slope"), "k")
 
 
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """portable, d (state, note): of several decisions on one fingerprint the last of the file counts, by its place `nth`; of equal places the greater state."""
+    return decisions.groupBy("portable").agg(F.max(F.struct("nth", "state", "note")).alias("d"))
+
+
 def import_triage(f: DataFrame, decisions: DataFrame) -> DataFrame:
-    """f (pos, portable), decisions (portable, state, note) -> pos, state, note of findings that a decision of another checkout is about."""
-    newest = decisions.groupBy("portable").agg(F.max(F.struct("state", "note")).alias("d"))
+    """f (pos, portable), decisions (nth, portable, state, note) -> pos, state, note of findings that a decision of another checkout is about."""
+    newest = last_decisions(decisions)
     return f.select("pos", "portable").join(newest, "portable").select("pos", "d.state", "d.note")
 
 
 def apply_triage(f: DataFrame, decisions: DataFrame, rules: DataFrame) -> DataFrame:
-    """f (pos, portable, path, id) -> with triage_state, triage_note and source: a decision of the file, else the first of its rules that matches.
+    """f (pos, portable, path, id), decisions (nth, portable, state, note) -> with triage_state, triage_note and source: a decision of the file, else the first of its rules that matches.
 
     rules (rule_no, suppress_by, match_value, state, note) match a fingerprint, a rule, a rule in a file or a file; of a key only the first stays, then each level is an equi-join."""
-    own = decisions.groupBy("portable").agg(F.max(F.struct("state", "note")).alias("_d"))
+    own = last_decisions(decisions).withColumnRenamed("d", "_d")
     first = rules.groupBy("suppress_by", "match_value").agg(F.min(F.struct("rule_no", "state", "note")).alias("r"))
     rule, out, hits = canonical_rule(F.col("id")), f.join(own, "portable", "left"), []
     for level, key in (("fingerprint", F.col("portable")), ("rule", rule), ("rule_in_file", F.concat_ws(":", rule, F.col("path"))), ("file", F.col("path"))):

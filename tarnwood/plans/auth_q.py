@@ -64,7 +64,7 @@ LEFT JOIN LATERAL (SELECT state FROM rules r WHERE (suppress_by = 'rule' AND mat
 
 
 def applied(h):
-    decisions = h.triage.select(F.concat(F.lit("fp"), F.col("pos")).alias("portable"), "state", "note")
+    decisions = h.triage.select(F.lit(0).alias("nth"), F.concat(F.lit("fp"), F.col("pos")).alias("portable"), "state", "note")
     return hi.apply_triage(portable(h), decisions, h.rules.withColumn("note", F.lit(None).cast("string")))
 
 
@@ -80,7 +80,14 @@ def _(h):
 
 @query("j07_triage_import", f"SELECT f.pos, d.state, d.note FROM findings f JOIN {_DECISIONS} d ON d.portable = 'fp' || f.pos")
 def _(h):
-    return hi.import_triage(portable(h), h.triage.select(F.concat(F.lit("fp"), F.col("pos")).alias("portable"), "state", "note"))
+    return hi.import_triage(portable(h), h.triage.select(F.lit(0).alias("nth"), F.concat(F.lit("fp"), F.col("pos")).alias("portable"), "state", "note"))
+
+
+@query("j07_last_decision", "SELECT f.pos, d.s[1] AS state, d.s[2] AS note FROM findings f JOIN (SELECT path, arg_max((t.state, t.note), t.pos) AS s FROM findings g JOIN triage t ON t.pos = g.pos GROUP BY path) d ON d.path = f.path")
+def _(h):
+    """Decisions on files, one after the other in the order of the triage file: the last one of a file holds for its findings."""
+    decisions = h.findings.select("pos", F.col("path").alias("portable")).join(h.triage, "pos").withColumnRenamed("pos", "nth")
+    return hi.import_triage(h.findings.select("pos", F.col("path").alias("portable")), decisions)
 
 
 _ENDS = "(SELECT min(scan_id) AS a, max(scan_id) AS b FROM scans WHERE status = 'completed')"

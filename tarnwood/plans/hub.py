@@ -87,6 +87,12 @@ HIERARCHY = "SELECT DISTINCT 'C' || CAST(s_nationkey AS STRING) AS super_type, '
 #: A call graph with cycles.
 EDGES = "SELECT DISTINCT ps.p_partkey AS src, (ps.p_partkey * 3 + ps.p_size) % (SELECT count(*) FROM {part}) + 1 AS dst FROM {part} ps WHERE ps.p_size % 3 > 0"
 
+#: A call graph that branches and meets: each function calls some of the tier below, nearly all call one of them, and pairs of a tier call each other.
+CALLS = """
+SELECT DISTINCT p AS src, CASE WHEN l_linenumber = 7 THEN CASE WHEN (p - p % 6) % 12 = 0 AND p + 6 < n THEN p + 6 ELSE p - 6 END WHEN l_linenumber = 1 THEN 0 ELSE (l_orderkey * 6 + p % 6 - 1) % (n - n % 6) END AS dst, l_linenumber AS line
+FROM (SELECT l_partkey AS p, l_orderkey, l_linenumber FROM {lineitem}) l CROSS JOIN (SELECT count(*) AS n FROM {part}) c WHERE p % 6 > 0 OR l_linenumber = 7
+"""
+
 #: Attack surface: routes, and what they reach.
 ENTRIES = "SELECT n_nationkey AS idx, '/r/' || CAST(n_nationkey AS STRING) AS route, CASE n_nationkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END AS method, n_nationkey % 3 = 0 AS auth_required, 'src/' || CAST(n_nationkey % 7 AS STRING) || '/f' || CAST(n_nationkey % 50 AS STRING) || '.py' AS file FROM {nation}"
 SURFACE_EDGES = """
@@ -161,7 +167,7 @@ FROM {lineitem} JOIN (SELECT p_partkey, path FROM {part} JOIN (""" + MOD_FILES +
 TABLES = {
     "mod_files": MOD_FILES, "mod_packages": MOD_PACKAGES, "mod_exports": MOD_EXPORTS, "mod_aliases": MOD_ALIASES, "mod_imports": MOD_IMPORTS,
     "findings": FINDINGS, "findings_b": FINDINGS_B, "scans": SCANS, "scan_findings": SCAN_FINDINGS, "triage": TRIAGE, "rules": RULES, "functions": FUNCTIONS, "call_sites": CALL_SITES,
-    "hierarchy": HIERARCHY, "edges": EDGES, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "auth_routes": AUTH_ROUTES, "auth_ops": AUTH_OPS, "auth_checks": AUTH_CHECKS, "auth_lookups": AUTH_LOOKUPS, "text_lines": LINES,
+    "hierarchy": HIERARCHY, "edges": EDGES, "branching": CALLS, "entries": ENTRIES, "surface_edges": SURFACE_EDGES, "lifecycle": LIFECYCLE, "deltas": DELTAS, "auth_routes": AUTH_ROUTES, "auth_ops": AUTH_OPS, "auth_checks": AUTH_CHECKS, "auth_lookups": AUTH_LOOKUPS, "text_lines": LINES,
 }
 BASE = ("lineitem", "orders", "customer", "supplier", "part", "nation", "events", "documents")
 

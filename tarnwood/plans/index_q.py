@@ -125,7 +125,7 @@ def _witnesses(h):
     return h.base("documents").select("doc_id", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("kind"), F.concat(F.lit("<a href=\"x\">O'Neil & "), "lang", F.lit(" é*+/"), "doc_id").alias("w"))
 
 
-@query("x39_encode", f"""SELECT doc_id, CASE k WHEN 0 THEN replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') WHEN 1 THEN url_encode(w)
+@query("x39_encode", f"""SELECT doc_id, CASE k WHEN 0 THEN replace(replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') WHEN 1 THEN url_encode(w)
  WHEN 2 THEN chr(39) || replace(w, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) WHEN 3 THEN replace(w, chr(39), chr(39) || chr(39)) ELSE base64(encode(w)) END AS encoded FROM {_W}""")
 def _(h):
     return _witnesses(h).select("doc_id", sy.encoded(F.col("kind"), F.col("w")).alias("encoded"))

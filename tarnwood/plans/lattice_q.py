@@ -40,6 +40,38 @@ def _known(*xs):
     return " AND ".join(f"{x} IS NOT NULL" for x in xs)
 
 
+#: Known intervals up to the ends of 64 bits, and divisors of both signs. Spark reads no literal of the least long.
+_MIN = "(-9223372036854775807 - 1)"
+EDGES = f"""SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN {_MIN} WHEN 1 THEN 9007199254740993 + p_size WHEN 2 THEN -9223372036854775807 + p_size WHEN 3 THEN 9223372036854775807 - p_size WHEN 4 THEN -p_size ELSE {_MIN} END AS alo,
+ CASE p_partkey % 6 WHEN 0 THEN {_MIN} WHEN 1 THEN 9007199254740993 + p_size * 3 WHEN 2 THEN 9223372036854775807 WHEN 3 THEN 9223372036854775807 WHEN 4 THEN p_size ELSE p_size END AS ahi,
+ CASE p_partkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN {_MIN} WHEN 3 THEN 3 ELSE -p_size - 2 END AS blo, CASE p_partkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 9223372036854775807 WHEN 2 THEN -7 WHEN 3 THEN p_size + 3 ELSE -2 END AS bhi FROM {{part}}"""
+
+
+def _edge(name, lo, hi, f):
+    """Operands and results as HUGEINT, cut to 64 bits."""
+    cut = lambda x: f"CASE WHEN {x} BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST({x} AS BIGINT) END"
+    wide = ", ".join(f"CAST({c} AS HUGEINT) AS {c}" for c in ("alo", "ahi", "blo", "bhi"))
+
+    @query(name, f"SELECT k, {cut('lo')} AS lo, {cut('hi')} AS hi FROM (SELECT k, {lo} AS lo, {hi} AS hi FROM (SELECT k, {wide} FROM ({EDGES.format(part='part')})))")
+    def _(h):
+        df = h.spark.sql(EDGES, part=h.base("part")).select("k", *[F.col(c).cast("long").alias(c) for c in ("alo", "ahi", "blo", "bhi")])
+        return df.select("k", f(la.interval(F.col("alo"), F.col("ahi")), la.interval(F.col("blo"), F.col("bhi"))).alias("v")).select("k", "v.lo", "v.hi")
+
+
+_Q = "[alo // blo, alo // bhi, ahi // blo, ahi // bhi]"
+_edge("x08_interval_div_64", f"list_min({_Q})", f"list_max({_Q})", la.div)
+_edge("x09_interval_modulo_64", "CASE WHEN alo >= 0 THEN 0 ELSE 1 - greatest(abs(blo), abs(bhi)) END", "greatest(abs(blo), abs(bhi)) - 1", la.modulo)
+_edge("x07_interval_mul_64", "list_min([alo * blo, alo * bhi, ahi * blo, ahi * bhi])", "list_max([alo * blo, alo * bhi, ahi * blo, ahi * bhi])", la.mul)
+
+
+@query("x32_binop_fold_64", f"""SELECT k, CASE WHEN v BETWEEN -9223372036854775808 AND 9223372036854775807 THEN CAST(v AS BIGINT) END AS value FROM
+  (SELECT k, CASE k % 7 WHEN 0 THEN x + y WHEN 1 THEN x - y WHEN 2 THEN x * y WHEN 3 THEN x % y ELSE x // y END AS v FROM (SELECT k, CAST(alo AS HUGEINT) AS x, CAST(blo AS HUGEINT) AS y FROM ({EDGES.format(part='part')})))""")
+def _(h):
+    df = h.spark.sql(EDGES, part=h.base("part"))
+    op = F.element_at(F.array(*map(F.lit, ("+", "-", "*", "%", "//", "//", "//"))), (F.col("k") % 7 + 1).cast("int"))
+    return df.select("k", la.fold(op, F.col("alo").cast("long"), F.col("blo").cast("long")).alias("value"))
+
+
 FOUR = "[alo * blo, alo * bhi, ahi * blo, ahi * bhi]"
 QUOT = "[alo / blo, alo / bhi, ahi / blo, ahi / bhi]"
 _interval("x01_interval_join", _other(f"CASE WHEN {_known('alo', 'blo')} THEN least(alo, blo) END", f"CASE WHEN {_known('ahi', 'bhi')} THEN greatest(ahi, bhi) END"), la.join)

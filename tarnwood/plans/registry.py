@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import auth_q, facts_q, findings_q, graph_q, history_q, imports_q, index_q, lattice_q, more_q, names_q, snapshots_q, source_q, ssa_q, surface_q, text_q  # noqa: F401
+    from . import auth_q, facts_q, findings_q, graph_q, history_q, imports_q, incremental_q, index_q, lattice_q, more_q, names_q, patterns_q, snapshots_q, source_q, ssa_q, surface_q, text_q  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
