@@ -61,7 +61,8 @@ def test_components_of_any_size(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 1, 16).astype(np.float32).tolist(), i % 3) for i in range(72)]
     rows[3] = (3, [np.float32(3e30).item(), *rows[3][1][1:]], 0)
-    rows[70] = (70, [np.float32(7e25).item(), *rows[70][1][1:]], 1)  # no seed: an entry moves far away
+    rows[70] = (70, [np.float32(7e25).item(), *rows[70][1][1:]], 1)
+    rows[71] = (71, [np.float32(1.4e26).item(), *rows[71][1][1:]], 1)  # no seeds: one entry moves far away and lies between them
     rows += [(90, [np.float32(-2e8).item()] * 16, 1), (91, [np.float32(1.5e6).item()] * 16, 2), (92, [1.0] * 16, 2)]
     got = sorted(map(tuple, compress(table(spark, rows)).collect()), key=str)
     want = sorted(brute(rows), key=str)
