@@ -11,8 +11,8 @@ window and the quarter after it hold, CONTAINED or more.
 All windows of all texts are hashed, in arrays over a batch of texts, and nothing is shuffled. Templates are few; their tables are broadcast, in
 blocks of TEMPLATES a pass.
 
-Defined cases. Null or empty text: no match. Texts shorter than a window are one window. Repeated rows: reported each. Overlapping
-matches of one license in a document are one match, placed where most shingles are (ties: the first). Empty tables: no rows.
+Defined cases. Null or empty text: no match. Texts stand end to end in a batch for retrieval; a match is verified within one text. Repeated rows: reported each; null ids: searched and reported as null. Very long texts: searched whole. Overlapping
+matches of one license in a document are one match, placed where most shingles are (ties: the first). Empty tables: no rows. Other columns, clashing names included, are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ With 32 bands of 5 rows two sets at similarity 0.8 share a bucket with probabili
 
 Defined cases. Null or empty text and texts without words: an empty set, linked with nothing. Fewer
 words than a shingle has: the whole sequence is one shingle. Very long texts: their whole set. Repeated rows and ties: of one class.
-Null ids: in their set's class, of which they are never the representative. Other columns, clashing
+Null ids: in their set's class, of which they are never the representative. Empty tables: no rows. Other columns, clashing
 names included, are ignored by `classes` and returned untouched by `survivors`.
 """
 

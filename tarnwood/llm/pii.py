@@ -11,7 +11,7 @@ look-alikes such as dates, versions and order numbers; decoding is a dynamic pro
 Tokens of base spans take no part, so the two never overlap.
 
 Defined cases. Null text: empty. Texts without a span: counts of 0, the digest of the empty string and
-an empty list. Repeated rows: alike. Empty tables: no rows. Offsets are code points, ends exclusive.
+an empty list. Repeated rows: alike; null ids: searched and returned as null. Ties of two segmentations: the one with fewer spans, then that of earlier ends. Empty tables: no rows. Other columns of any name are ignored. Offsets are code points, ends exclusive.
 Windows hold WINDOW characters at most, so time is linear in a text's length.
 """
 

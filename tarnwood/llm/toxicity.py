@@ -10,7 +10,7 @@ The model is fitted on at most TRAIN_DOCS labelled rows of at most TRAIN_CHARS c
 ids; that bound is what the driver holds. Everything else covers all rows and whole texts. The number of steps and the
 penalty were chosen by training on remainder 0 of the ids' hash and testing on remainder 2, and the other way round.
 
-Defined cases. Null, empty or wordless text: no sentence, score 0. Repeated rows: scored alike; null ids: scored and returned as null. Very long
+Defined cases. Null, empty or wordless text: no sentence, score 0. Repeated rows: scored alike; null ids: scored and returned as null, `held_out` null too. Very long
 texts: scored whole. Several labels of one id: the largest counts; null labels and ids: not trained on. No label or no
 positive one: every score is that of a bias alone. Ties: equal texts have equal scores. Empty tables: no rows. Labels, language, source
 and id are no inputs of a score. `score` and `locate` return the columns they name and ignore others, clashing names included; `survivors` returns all untouched.

@@ -9,7 +9,7 @@ One URL may hold a third of all records: a timeline is cut into spans of SPAN ti
 aggregate; a window over these few rows carries it forward, and the window over records runs within a span.
 
 Defined cases. Null url or ts: status no_original. Null headers: none. Header names are compared in lower case; of one name repeated in a
-record the last counts. Repeated rows: each is resolved. Empty tables: no rows. Other columns are ignored.
+record the last counts. Repeated rows: each is resolved. Responses of one ts: the larger record_id is the later. Very long fields: taken whole. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
