@@ -35,26 +35,34 @@ def evaluate(own: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame], be
     own (node, caps); before (component, caps) with dirty (component) for a run after an edit; without them every component is evaluated. Levels without dirty components cost nothing.
     """
     member, level, between = planned
-    base = cut(member.join(own.groupBy("node").agg(F.bit_or("caps").alias("caps")), "node", "left").groupBy("component").agg(F.coalesce(F.bit_or("caps"), F.lit(0)).alias("own")))
-    full = dirty is None
-    state = cut(before.join(level, "component", "left_semi").select("component", "caps")) if before is not None else own.sparkSession.createDataFrame([], _NONE)
-    open_ = cut(level.select("component", "level") if full else level.join(dirty.select("component").distinct(), "component", "left_semi"))
-    report = []
-    while (low := open_.agg(F.min("level")).first()[0]) is not None:
-        now = open_.where(F.col("level") == low).select("component")
+    base = cut(member.join(own.groupBy("node").agg(F.bit_or("caps").alias("caps")), "node", "left").groupBy("component").agg(F.coalesce(F.bit_or("caps"), F.lit(0)).alias("own")).join(level, "component"))
+    kept = before if before is not None else own.sparkSession.createDataFrame([], _NONE)
+    due = level.select("component", "level") if dirty is None else cut(level.join(dirty.select("component").distinct(), "component", "left_semi").select("component", "level"))
+    asked = {r.level for r in due.select("level").distinct().collect()}  # as many as the graph is deep
+    deepest = max((r.level for r in level.select("level").distinct().collect()), default=-1)
+    done, report, moved = None, [], False
+    for low in range(deepest + 1):
+        if low not in asked and not moved:
+            continue
+        now = due.where(F.col("level") == low).select("component").distinct()
+        state = kept if done is None else kept.join(done.select("component"), "component", "left_anti").unionByName(done.select("component", "caps"))
         callees = between.join(now.withColumnRenamed("component", "a"), "a", "left_semi").join(state.select(F.col("component").alias("b"), "caps"), "b")
-        got = now.join(base, "component").join(callees.groupBy(F.col("a").alias("component")).agg(F.bit_or("caps").alias("more")), "component", "left")
-        got = got.join(state.select("component", F.col("caps").alias("was")), "component", "left")
+        got = base.join(now, "component", "left_semi").join(callees.groupBy(F.col("a").alias("component")).agg(F.bit_or("caps").alias("more")), "component", "left")
+        got = got.join(kept.select("component", F.col("caps").alias("was")), "component", "left")
         got = cut(got.select("component", F.col("own").bitwiseOR(F.coalesce("more", F.lit(0))).alias("caps"), "was"))
-        changed = cut(got.where("was IS NULL OR was <> caps").select("component", "caps"))
-        report.append((low, got.count(), changed.count()))
-        state = cut(state.join(changed.select("component"), "component", "left_anti").unionByName(changed))
-        rest = open_.where(F.col("level") > low)
-        if not full:
+        changed = got.where("was IS NULL OR was <> caps")
+        n, k = got.agg(F.count(F.lit(1)), F.count_if(F.col("was").isNull() | (F.col("was") != F.col("caps")))).first()
+        if not n:
+            continue
+        report.append((low, n, k))
+        done = got if done is None else done.unionByName(got)
+        if dirty is not None and k:
+            moved = True
             up = between.join(changed.select(F.col("component").alias("b")), "b", "left_semi").select(F.col("a").alias("component")).distinct()
-            rest = rest.unionByName(level.join(up, "component", "left_semi")).distinct()
-        open_ = cut(rest)
-    return state, report
+            due = due.unionByName(cut(level.join(up, "component", "left_semi").select("component", "level")))
+    if done is None:
+        return kept.join(level, "component", "left_semi").select("component", "caps"), report
+    return cut(kept.join(level, "component", "left_semi").join(done.select("component"), "component", "left_anti").select("component", "caps").unionByName(done.select("component", "caps"))), report
 
 
 def dirty_components(own: DataFrame, own_before: DataFrame, edges: DataFrame, edges_before: DataFrame, member: DataFrame, member_before: DataFrame) -> DataFrame:
