@@ -24,7 +24,7 @@ ON_LINES = [
     ("unless_under", "MEDIUM", "REG AIR", "NONE|COD", "ancestor", "MAIL", "N", False, "ancestor", "SHIP", None),
     ("unless_next", "LOW", "SHIP", None, None, None, None, False, "sibling", "RAIL", None),
 ]
-_TREE = "SELECT l_orderkey AS file, {place} AS pre, {last} AS post, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 5 END AS parent, l_shipmode AS kind, l_shipinstruct AS text FROM {{lineitem}}".format(
+_TREE = "SELECT l_orderkey AS file, {place} AS pre, {last} AS post, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 5 END AS parent, CASE l_suppkey % 7 WHEN 0 THEN 'RAIL' WHEN 1 THEN 'AIR' WHEN 2 THEN 'MAIL' WHEN 3 THEN 'FOB' WHEN 4 THEN 'SHIP' WHEN 5 THEN 'TRUCK' ELSE 'REG AIR' END AS kind, CASE l_partkey % 4 WHEN 0 THEN 'DELIVER IN PERSON' WHEN 1 THEN 'COLLECT COD' WHEN 2 THEN 'NONE' ELSE 'TAKE BACK RETURN' END AS text FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) l".format(
     place="CASE l_linenumber WHEN 3 THEN 5 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE l_linenumber END", last="CASE l_linenumber WHEN 1 THEN 7 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 3 WHEN 5 THEN 4 ELSE l_linenumber END"
 )
 
