@@ -1,11 +1,10 @@
-"""Queries on summaries by batch, on runs after an edit, and on unification of fields."""
+"""Queries on summaries by batch and on runs after an edit."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import incremental as inc
-from ..operators import points_to as pt
 from .registry import query
 
 _OWN = "SELECT p_partkey AS node, CASE WHEN p_partkey % 9 = 0 THEN CAST(POWER(2, p_size % 21) AS BIGINT) ELSE 0 END AS caps FROM {part}"
@@ -56,31 +55,3 @@ def _(h):
     from ..operators.graph import scc
 
     return scc(h.branching)
-
-
-def _terms(h):
-    """Values of a body are lines of an order; a line has two fields, whose values have one each. Lines of one part and supplier are one value, whatever their order."""
-    li = h.base("lineitem").select((F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("v"), "l_partkey", "l_suppkey", "l_orderkey")
-    shared = -(F.col("l_partkey") * 100_000 + F.col("l_suppkey")) - 1
-    equal = li.select(F.col("v").alias("a"), shared.alias("b")).unionByName(li.where("l_suppkey % 10 = 3").select(F.col("v").alias("a"), F.lit(-1).cast("long").alias("b")))
-    name = F.concat(F.lit("f"), F.col("l_partkey") % 3)
-    fields = li.select(F.col("v").alias("base"), name.alias("field"), (F.col("v") * 4 + 2**40).alias("value"))
-    fields = fields.unionByName(li.select(F.col("v").alias("base"), F.lit(pt.ELEMENT).alias("field"), (F.col("v") * 4 + 2**40 + 1).alias("value")))
-    inner = fields.where("field <> 'f0'").select(F.col("value").alias("base"), F.lit("g").alias("field"), (F.col("value") + 2**44).alias("value"))
-    return equal, fields.unionByName(inner), li
-
-
-@query("g17_field_sensitive")
-def _(h):
-    """No SQL: the closure of merged fields needs classes in each round; held against union-find in the tests."""
-    equal, fields, _ = _terms(h)
-    return pt.unify(equal, fields)
-
-
-@query("g18_field_summary")
-def _(h):
-    equal, fields, li = _terms(h)
-    labels = pt.unify(equal, fields)
-    params = li.select(F.col("l_orderkey").alias("fid"), (F.col("v") % 64).alias("param"), F.col("v").alias("value"))
-    accesses = fields.where("base < 1099511627776 AND base > 0").select((F.floor(F.col("base") / 64)).cast("long").alias("fid"), "base", "field", (F.col("value") % 2 == 1).alias("is_write"))
-    return pt.field_summary(params, accesses, labels)
