@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is sorted and merged: sizes of checkpoints are guesses, and a large one that is taken for small would go through the driver."""
+    return df.hint("merge")

@@ -77,3 +77,18 @@ def test_a_hot_name_is_not_paired_with_its_functions(spark):
             else:
                 nodes += [node.children().apply(i) for i in range(node.children().size())]
         assert 0 < most <= 20_000
+
+
+def test_alias_sets_broadcast_nothing(spark, monkeypatch):
+    """Labels grow with the graph, so no join of a round may send them through the driver."""
+    plans, real = [], g.cut
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(g, "cut", told)
+    edges = spark.range(1, 20).selectExpr("id AS src", "id + 1 AS dst").union(spark.range(1).selectExpr("40L", "41L")).union(spark.range(1).selectExpr("7L", "7L"))
+    got = {tuple(r) for r in g.alias_sets(edges).collect()}
+    assert got == {(i, 1) for i in range(1, 21)} | {(40, 40), (41, 40)}
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
