@@ -13,8 +13,9 @@ P(w | v) = lambda(v) q(v, w) / Z(v) + (1 - lambda(v)) P(w), lambda(v) = T(v) / (
 adds up to one over all words and an unknown one, but for the chance of f. After contexts never seen it is P(w) alone. c, N, V and T are exact.
 An entry's PROBES bits lie in one 64-bit word, read at once.
 
-What is broadcast: the frequent words, COMMON at most (24 bytes each), and buckets of the filter in shards of
-SHARD_BYTES at most; scores of the shards add up, one pass over the texts for each shard. A pass scores the
+What is broadcast: the frequent words, COMMON at most (24 bytes each), and the filter if it has SMALL bytes at most. A larger filter stays
+where it is: texts are taken in chunks, the distinct pairs of a chunk are dealt to the buckets, and one byte for each pair, the level that
+its bucket's filter gave, comes back to the chunk. So texts are passed over twice, whatever their size. A pass scores the
 tokens whose word and context are both frequent. It hands on the others with the q of their pairs, and they are scored
 when a join with the table of words has brought the counts of the other words; the base score takes them from there too.
 
@@ -26,7 +27,7 @@ tokens are unknown. Columns of other names, clashing ones included, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil, log10
 
 import numpy as np
@@ -42,6 +43,10 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens that a counting task folds at once; characters of input for each bucket of keys; keys in a row that is dealt.
 CHUNK, CHARS_A_BUCKET, ROW = 2_000_000, 8_000_000, 8_192
 COMMON, SHARD_BYTES = 500_000, 64_000_000
+#: Bytes up to which the whole filter is broadcast.
+SMALL = 16_000_000
+#: Tokens of a chunk whose pairs are dealt to the buckets of a filter that is not broadcast.
+ASKED = 1_000_000
 #: Words whose pairs are spread over all buckets; documents that they are taken from.
 HOT, HOT_DOCS = 512, 2_000
 #: Bits for each entry of the filter, probes for each entry.
@@ -65,6 +70,27 @@ def contexts(seqs: list[np.ndarray]) -> np.ndarray:
     return flat
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each begins in the sorted ones, and what sorts them; numpy's own unique is slower by hashing."""
+    order = np.argsort(keys)
+    some = keys[order]
+    first = np.flatnonzero(np.append(True, some[1:] != some[:-1])[: len(some)])
+    return some[first], first, order
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    some = np.sort(keys)
+    return some[np.append(True, some[1:] != some[:-1])[: len(some)]]
+
+
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and of each key its place there."""
+    some, first, order = runs(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(some)), np.diff(np.append(first, len(keys))))
+    return some, place
+
+
 def pair_keys(before: np.ndarray, token: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Keys of pairs; their upper 24 bits, by which they are dealt, are those of the context, if it is not among the hot ones."""
     key = mix(before * M2 + token)
@@ -93,10 +119,11 @@ def _fold(buckets: int, hot: np.ndarray):
             flat, before = np.concatenate(held), contexts(held)
             for kind in (0, 1):
                 if kind:
-                    keys, first, counts = np.unique(pair_keys(before, flat, hot), return_index=True, return_counts=True)
-                    other = before[first]
+                    keys, first, order = runs(pair_keys(before, flat, hot))
+                    other, counts = before[order[first]], np.diff(np.append(first, len(flat)))
                 else:
-                    other, counts = np.unique(flat, return_counts=True)
+                    other, first, _ = runs(flat)
+                    counts = np.diff(np.append(first, len(flat)))
                     keys = mix(other)  # a word goes where pairs go whose context it is
                     order = np.argsort(keys)
                     keys, other, counts = keys[order], other[order], counts[order]
@@ -203,6 +230,23 @@ def _merge(hot: np.ndarray, bits_each: int):
     return run
 
 
+def levels_in(keys: np.ndarray, bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many levels of each pair a filter holds, by repeated probes; starts and sizes (in 64-bit words) of its bucket, one for each pair."""
+    level = np.zeros(len(keys), dtype=np.int64)
+    left = np.arange(len(keys))
+    for j in range(1, LEVELS):
+        at, mask = _probe(keys[left], j, sizes[left])
+        left = left[bits[starts[left] + at] & mask == mask]
+        if not len(left):
+            break
+        level[left] = j
+    return level
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** (level.astype(np.int64) - 1), 0.0)
+
+
 @dataclass
 class Shard:
     """Some buckets of the filter and the frequent words: what a worker holds."""
@@ -220,16 +264,8 @@ class Shard:
     noise: float  # f (V + 1)
 
     def count(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """q of pairs by repeated probes; 0 for what is absent."""
-        level = np.zeros(len(keys), dtype=np.int64)
-        left = np.arange(len(keys))
-        for j in range(1, LEVELS):
-            at, mask = _probe(keys[left], j, self.sizes[bucket[left]])
-            left = left[self.bits[self.starts[bucket[left]] + at] & mask == mask]
-            if not len(left):
-                break
-            level[left] = j
-        return np.where(level > 0, 2.0 ** (level - 1), 0.0)
+        """q of pairs; 0 for what is absent."""
+        return quantised(levels_in(keys, self.bits, self.starts[bucket], self.sizes[bucket]))
 
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and T of frequent words, 0 for others."""
@@ -242,8 +278,8 @@ class Shard:
 
 
 #: What a pass hands on: a text's other words, and of each token left open the places there (-1: none), T of the context, the count of the word and q of the pair.
-_PASSED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double, words array<long>, before array<int>, token array<int>, n_before array<double>, n_token array<double>, n_pair array<double>"
-_SCORED = "rid long, part int, doc_id long, n_tokens long, n_known long, base_log double, score double"
+_PASSED = "rid long, doc_id long, n_tokens long, n_known long, base_log double, score double, words array<long>, before array<int>, token array<int>, n_before array<double>, n_token array<double>, n_pair array<double>"
+_SCORED = "rid long, doc_id long, n_tokens long, n_known long, base_log double, score double"
 
 
 def log_p(before: np.ndarray, token: np.ndarray, pair: np.ndarray, divisor: float, noise: float) -> np.ndarray:
@@ -252,65 +288,206 @@ def log_p(before: np.ndarray, token: np.ndarray, pair: np.ndarray, divisor: floa
     return np.log10(lam * np.minimum(before, pair) / np.maximum(before + noise, 1.0) + (1 - lam) * (token + 0.5) / divisor)
 
 
-def _score(shard, part: int):
-    floats, ints = pa.list_(pa.float64()), pa.list_(pa.int32())
-    schema = pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("before", ints), ("token", ints), ("n_before", floats), ("n_token", floats), ("n_pair", floats)])
+_FLOATS, _INTS = pa.list_(pa.float64()), pa.list_(pa.int32())
+_PASSED_ARROW = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("before", _INTS), ("token", _INTS), ("n_before", _FLOATS), ("n_token", _FLOATS), ("n_pair", _FLOATS)])
+
+
+def _scored(s: Shard, ids: list, n: np.ndarray, words: np.ndarray, inverse: np.ndarray, pairs) -> Iterator[tuple]:
+    """Rows without rid of texts of n tokens, words[inverse]; pairs(places) gives q where it matters."""
+    doc = np.repeat(np.arange(len(n)), n)
+    flat = words[inverse]
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    c, t = (x[inverse] for x in s.exact(words))
+    before = np.concatenate(([0.0], t[:-1]))
+    before[starts] = s.start
+    token_open = (c <= 0) & (s.others > 0)
+    before_open = np.concatenate(([False], token_open[:-1]))
+    before_open[starts] = False
+    at = np.flatnonzero((before > 0) | before_open)
+    pair = np.zeros(len(flat))
+    pair[at] = pairs(at)
+    still = token_open | before_open
+    score = np.bincount(doc, np.where(~still, log_p(before, c, pair, s.divisor, s.noise), 0.0), minlength=len(n))
+    base = np.bincount(doc, np.where(~token_open, np.log10(c + 0.5), 0.0), minlength=len(n))
+    known = np.bincount(doc, ~token_open & (c > 0), minlength=len(n)).astype(np.int64)
+    left = np.flatnonzero(still)
+    cut = np.searchsorted(left, np.concatenate((starts, [len(flat)])))
+    for i, d in enumerate(ids):
+        x = left[cut[i] : cut[i + 1]]
+        t, b = x[token_open[x]], x[before_open[x]]
+        own, place = np.unique(np.concatenate((flat[t], flat[b - 1])), return_inverse=True)
+        to, bo = np.full(len(x), -1, np.int32), np.full(len(x), -1, np.int32)
+        to[token_open[x]], bo[before_open[x]] = place[: len(t)], place[len(t) :]
+        yield d, int(n[i]), int(known[i]), float(base[i]), float(score[i]), own.view(np.int64), bo, to, before[x], c[x], pair[x]
+
+
+def _with_rid(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 33
+    yield from in_chunks(((first + i, *r) for i, r in enumerate(rows)), _PASSED_ARROW, weight=lambda r: 8 * len(r[6]) + 32 * len(r[7]))
+
+
+def _score(shard):
+    """(doc_id, text) with the whole filter at hand."""
 
     def run(batches):
         s: Shard = shard.value
-        rid = TaskContext.get().partitionId() << 33
-
-        def rows(ids, seqs):
-            nonlocal rid
-            n = np.array([len(x) for x in seqs])
-            doc = np.repeat(np.arange(len(seqs)), n)
-            flat = np.concatenate(seqs)
-            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-            words, inverse = np.unique(flat, return_inverse=True)
-            c, t = (x[inverse] for x in s.exact(words))
-            before = np.concatenate(([0.0], t[:-1]))
-            before[starts] = s.start
-            keys = pair_keys(contexts(seqs), flat, s.hot)
-            bucket = bucket_of(keys, len(s.starts))
-            here = s.starts[bucket] >= 0
-            token_open = (c <= 0) & (s.others > 0)
-            before_open = np.concatenate(([False], token_open[:-1]))
-            before_open[starts] = False
-            at = np.flatnonzero(here & ((before > 0) | before_open))
-            pair = np.zeros(len(flat))
-            pair[at] = s.count(keys[at], bucket[at])
-            still = token_open | before_open
-            score = np.bincount(doc, np.where(here & ~still, log_p(before, c, pair, s.divisor, s.noise), 0.0), minlength=len(seqs))
-            shut = here & ~token_open
-            base = np.bincount(doc, np.where(shut, np.log10(c + 0.5), 0.0), minlength=len(seqs))
-            known = np.bincount(doc, shut & (c > 0), minlength=len(seqs)).astype(np.int64)
-            left = np.flatnonzero(here & still)
-            cut = np.searchsorted(left, np.concatenate((starts, [len(flat)])))
-            for i, d in enumerate(ids):
-                x = left[cut[i] : cut[i + 1]]
-                t, b = x[token_open[x]], x[before_open[x]]
-                own, place = np.unique(np.concatenate((flat[t], flat[b - 1])), return_inverse=True)
-                to, bo = np.full(len(x), -1, np.int32), np.full(len(x), -1, np.int32)
-                to[token_open[x]], bo[before_open[x]] = place[: len(t)], place[len(t) :]
-                yield rid, part, d, int(n[i]), int(known[i]), float(base[i]), float(score[i]), own.view(np.int64), bo, to, before[x], c[x], pair[x]
-                rid += 1
 
+        def rows():
+            for b in batches:
+                seqs = [tokens(t) for t in bytes_of(b.column(1))]
+                if seqs:
+                    flat = np.concatenate(seqs)
+                    keys = pair_keys(contexts(seqs), flat, s.hot)
+                    yield from _scored(s, b.column(0).to_pylist(), np.array([len(x) for x in seqs]), *placed(flat), lambda at, k=keys: s.count(k[at], bucket_of(k[at], len(s.starts))))
+
+        yield from _with_rid(rows())
+
+    return run
+
+
+def _chunks(batches, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Ids and tokens of about `most` tokens, whole texts."""
+    ids, seqs, n = [], [], 0
+    for b in batches:
+        for d, text in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), strict=True):
+            ids.append(d)
+            seqs.append(tokens(text))
+            n += len(seqs[-1])
+            if n >= most:
+                yield ids, seqs
+                ids, seqs, n = [], [], 0
+    if ids:
+        yield ids, seqs
+
+
+def _chunk_id(flat: np.ndarray, seqs: list[np.ndarray]) -> int:
+    """Of a chunk's texts, on which alone its answers depend."""
+    h = xxhash.xxh64(flat.tobytes())
+    h.update(np.array([len(x) for x in seqs], np.int64).tobytes())
+    return int(np.uint64(h.intdigest()).astype(np.int64))
+
+
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 256^width."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _wide(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def _width(n: int) -> int:
+    return 2 if n <= 1 << 16 else 3 if n <= 1 << 24 else 4
+
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("low", pa.int64()), ("data", pa.binary())])
+_ASKED_SQL = "bucket int, kind int, chunk long, low long, data binary"
+_ANSWERED = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("low", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.binary()), ("words", pa.binary()), ("data", pa.binary())])
+_ANSWERED_SQL = "chunk long, kind int, low long, ids array<long>, n binary, words binary, data binary"
+
+
+def _ask(buckets: int, hot: np.ndarray, most: int):
+    """The distinct pairs of each chunk, in order, in rows of one bucket."""
+
+    def run(batches):
+        def rows():
+            for _, seqs in _chunks(batches, most):
+                flat = np.concatenate(seqs)
+                keys, chunk = distinct(pair_keys(contexts(seqs), flat, hot)), _chunk_id(flat, seqs)
+                cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    for low in range(int(cut[i]), int(cut[i + 1]), ROW):
+                        yield i, 1, chunk, low, keys[low : min(low + ROW, int(cut[i + 1]))].tobytes()
+
+        yield from in_chunks(rows(), _ASKED, weight=lambda r: len(r[4]))
+
+    return run
+
+
+def _answer(batches):
+    """Filters (kind 0) and pairs in order of (bucket, kind) -> a level in one byte for each pair."""
+    held, bits = None, np.zeros(1, np.uint64)
+
+    def rows():
+        nonlocal held, bits
         for b in batches:
-            seqs = [tokens(t) for t in bytes_of(b.column(1))]
-            if seqs:
-                yield from in_chunks(rows(b.column(0).to_pylist(), seqs), schema, weight=lambda r: 8 * len(r[7]) + 32 * len(r[8]))
+            bucket, kind, chunk, low, data = (c.to_pylist() for c in b.columns)
+            i = 0
+            while i < len(bucket):
+                if bucket[i] != held:
+                    held, bits = bucket[i], np.zeros(1, np.uint64)
+                if not kind[i]:
+                    bits = np.frombuffer(data[i], np.uint64)
+                    i += 1
+                    continue
+                j = i
+                while j < len(bucket) and bucket[j] == held:
+                    j += 1
+                keys = np.frombuffer(b"".join(data[i:j]), np.uint64)
+                level = levels_in(keys, bits, np.zeros(len(keys), np.int64), np.full(len(keys), len(bits))).astype(np.uint8)
+                at = 0
+                for k in range(i, j):
+                    yield chunk[k], 0, low[k], None, None, None, level[at : (at := at + len(data[k]) // 8)].tobytes()
+                i = j
+
+    yield from in_chunks(rows(), _ANSWERED, weight=lambda r: len(r[6]))
+
+
+def _pack(most: int):
+    """Each chunk as one row that its answers are joined to."""
+
+    def run(batches):
+        def rows():
+            for ids, seqs in _chunks(batches, most):
+                flat = np.concatenate(seqs)
+                words, inverse = placed(flat)
+                yield _chunk_id(flat, seqs), 1, 0, ids, np.array([len(x) for x in seqs], np.int64).tobytes(), words.tobytes(), _narrow(inverse, _width(len(words)))
+
+        yield from in_chunks(rows(), _ANSWERED, weight=lambda r: len(r[5]) + len(r[6]))
+
+    return run
+
+
+def _score_chunks(shard):
+    """Answers (kind 0) and chunks in order of (chunk, kind, low)."""
+
+    def run(batches):
+        s: Shard = shard.value
+
+        def rows():
+            of, levels = None, {}
+            for b in batches:
+                for chunk, kind, low, ids, n, words, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if chunk != of:
+                        of, levels = chunk, {}
+                    if not kind:
+                        levels[low] = data  # equal chunks have equal answers
+                        continue
+                    n, words = np.frombuffer(n, np.int64), np.frombuffer(words, np.uint64)
+                    inverse = _wide(data, _width(len(words)))
+                    flat = words[inverse]
+                    seqs = np.split(flat, np.cumsum(n)[:-1])
+                    keys, place = placed(pair_keys(contexts(seqs), flat, s.hot))
+                    level = np.frombuffer(b"".join(levels[k] for k in sorted(levels)), np.uint8)
+                    if len(level) != len(keys):
+                        raise RuntimeError("texts came in another order when they were read again; write them out before they are scored")
+                    yield from _scored(s, ids, n, words, inverse, lambda at, level=level, place=place: quantised(level[place[at]]))
+
+        yield from _with_rid(rows())
 
     return run
 
 
 def _finish(divisor: float, noise: float):
     """Passed rows with (place, n, t) of the words that the join found -> rows whose tokens are all scored."""
-    schema = pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
         for b in batches:
             out = []
-            for rid, part, d, n, known, base, score, size, before, token, n_before, n_token, n_pair, got in zip(*([*c] for c in b.columns), strict=True):
+            for rid, d, n, known, base, score, size, before, token, n_before, n_token, n_pair, got in zip(*([*c] for c in b.columns), strict=True):
                 counts, sums = np.zeros(size.as_py() + 1), np.zeros(size.as_py() + 1)  # the last is for places of -1
                 if got.is_valid:
                     k = got.values.field("k").to_numpy()
@@ -318,7 +495,7 @@ def _finish(divisor: float, noise: float):
                 at, of = token.values.to_numpy(), before.values.to_numpy()
                 c, v = n_token.values.to_numpy() + counts[at], n_before.values.to_numpy() + sums[of]
                 more, c_open = log_p(v, c, n_pair.values.to_numpy(), divisor, noise).sum(), c[at >= 0]
-                out.append((rid.as_py(), part.as_py(), d.as_py(), n.as_py(), known.as_py() + int((c_open > 0).sum()), base.as_py() + float(np.log10(c_open + 0.5).sum()), score.as_py() + float(more)))
+                out.append((rid.as_py(), d.as_py(), n.as_py(), known.as_py() + int((c_open > 0).sum()), base.as_py() + float(np.log10(c_open + 0.5).sum()), score.as_py() + float(more)))
             yield rows_to_batch(out, schema)
 
     return run
@@ -385,12 +562,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_
     return LanguageModel(vocabulary, filters, buckets, hot, int(total), int(types), int(least), int(start), float(rate))
 
 
-def _shards(model: LanguageModel) -> Iterator[Shard]:
-    """One shard after the other; each is collected by itself and bounded by SHARD_BYTES."""
+def _frequent(model: LanguageModel) -> Shard:
+    """The frequent words, and no bucket."""
     got = model.vocabulary.where(F.col("n") >= model.least_common).select("word", "n", "t").toArrow()
     words, counts, sums = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy(), got.column("t").to_numpy()
     order = np.argsort(words)
-    words, counts, sums = words[order], counts[order], sums[order]
+    none = np.array([], np.int64)
+    return Shard(words[order], counts[order], sums[order], none, none, np.array([], np.uint64), float(model.types - len(words)), float(model.start), model.hot, model.divisor, model.noise)
+
+
+def _shards(model: LanguageModel) -> Iterator[Shard]:
+    """One shard after the other; each is collected by itself and bounded by SHARD_BYTES."""
+    frequent = _frequent(model)
     sizes = dict(model.filters.select("bucket", "words64").collect())
     plan: list[list[int]] = [[]]
     load = 0
@@ -410,7 +593,7 @@ def _shards(model: LanguageModel) -> Iterator[Shard]:
         if k == len(plan) - 1:  # buckets without any pair: a shared empty one, in the last shard
             starts[[b for b in range(model.buckets) if b not in sizes]] = len(bits) // 8
             bits += bytes(8)
-        yield Shard(words, counts, sums, starts, words64, np.frombuffer(bytes(bits), np.uint64), float(model.types - len(words)), float(model.start), model.hot, model.divisor, model.noise)
+        yield replace(frequent, starts=starts, sizes=words64, bits=np.frombuffer(bytes(bits), np.uint64))
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,21 +601,28 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     small_batches(spark)
     texts = id_and_text(docs, id_col, text_col)
-    parts = None
-    for k, shard in enumerate(_shards(model)):
+    if 8 * (model.filters.agg(F.sum("words64")).first()[0] or 0) <= min(SMALL, SHARD_BYTES):
+        (shard,) = _shards(model)
         held = spark.sparkContext.broadcast(shard)
-        part = stash(texts.mapInArrow(_score(held, k), _PASSED), "scores")
-        held.unpersist()
-        parts = part if parts is None else parts.unionByName(part)
+        passed = texts.mapInArrow(_score(held), _PASSED)
+    else:
+        held = spark.sparkContext.broadcast(_frequent(model))
+        chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        none = [F.lit(None).cast("long").alias(c) for c in ("chunk", "low")]
+        filters = model.filters.select("bucket", F.lit(0).alias("kind"), *none, F.col("bits").alias("data"))
+        asked = texts.mapInArrow(_ask(model.buckets, model.hot, ASKED), _ASKED_SQL).unionByName(filters)
+        answers = asked.repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ANSWERED_SQL)
+        both = answers.unionByName(texts.mapInArrow(_pack(ASKED), _ANSWERED_SQL))
+        passed = both.repartition(max(16, ceil(chars / CHARS_A_BUCKET)), "chunk").sortWithinPartitions("chunk", "kind", "low").mapInArrow(_score_chunks(held), _PASSED)
+    parts = stash(passed, "scores")
+    held.unpersist()
     if model.least_common > 1:  # some words are not among the frequent ones
-        others = parts.select("rid", "part", F.posexplode("words").alias("k", "word")).join(model.vocabulary.where(F.col("n") < model.least_common), "word")
-        others = others.groupBy("rid", "part").agg(F.collect_list(F.struct("k", "n", "t")).alias("got"))
+        others = parts.select("rid", F.posexplode("words").alias("k", "word")).join(model.vocabulary.where(F.col("n") < model.least_common), "word")
+        others = others.groupBy("rid").agg(F.collect_list(F.struct("k", "n", "t")).alias("got"))
         cols = [F.col(c) if c != "words" else F.size("words").alias("size") for c in parts.columns]
-        done = parts.join(others, ["rid", "part"], "left").select(*cols, "got").mapInArrow(_finish(model.divisor, model.noise), _SCORED)
+        done = parts.join(others, "rid", "left").select(*cols, "got").mapInArrow(_finish(model.divisor, model.noise), _SCORED)
     else:
-        done = parts.select("rid", "part", "doc_id", "n_tokens", "n_known", "base_log", "score")
-    if k:
-        done = done.groupBy("rid").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base_log", "score")])
+        done = parts.select("rid", "doc_id", "n_tokens", "n_known", "base_log", "score")
     base = F.col("base_log") - F.col("n_tokens") * log10(model.divisor)
     return done.select("doc_id", "n_tokens", "n_known", base.alias("base_score"), "score")
 

@@ -184,3 +184,25 @@ def test_query_and_held_out_gain(spark):
     got = op9_lm_bloom(spark, path).collect()
     check(got, rows)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_a_filter_of_many_shards_takes_no_more_passes(docs, monkeypatch):
+    """Once a shard was a pass over all texts, written out by itself."""
+    df = docs(None, "", "a b a", "a b a", *(f"the cat{i % 5} sat on mat{i % 3} u{i}" for i in range(60)))
+    model = train(df)
+    texts = docs("u1 the", "u1 the", "zz u2 u3 zz", "cat1 sat on u7 mat2", "", ids=[1, 1, None, 3, 4])
+    run = lambda some: sorted(((r.doc_id or -1, r.n_tokens, r.n_known), r.base_score, r.score) for r in score(some, model).collect())
+    want = [run(df), run(texts)]
+    monkeypatch.setattr(lm, "SHARD_BYTES", 30)
+    monkeypatch.setattr(lm, "ROW", 2)
+    assert len(list(lm._shards(model))) > 3
+    for most in (4, 1_000_000):  # many chunks, some of them equal; one chunk a task
+        monkeypatch.setattr(lm, "ASKED", most, raising=False)
+        passes, real = [], lm.stash
+        with monkeypatch.context() as m:
+            m.setattr(lm, "stash", lambda *a, **k: passes.append(a) or real(*a, **k))
+            got = [run(df), run(texts)]
+        assert len(passes) == 2
+        for a, b in zip(got, want, strict=True):
+            assert [x[0] for x in a] == [x[0] for x in b]
+            assert [y for x in a for y in x[1:]] == pytest.approx([y for x in b for y in x[1:]], rel=1e-9)
