@@ -92,3 +92,23 @@ def test_alias_sets_broadcast_nothing(spark, monkeypatch):
     got = {tuple(r) for r in g.alias_sets(edges).collect()}
     assert got == {(i, 1) for i in range(1, 21)} | {(40, 40), (41, 40)}
     assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
+def test_rounds_over_a_graph_broadcast_nothing_and_find_its_edges_once(spark, monkeypatch):
+    """What a round changed grows with the graph, so no join of a round may send it through the driver; edges are not derived anew in each round."""
+    plans, real = [], g.cut
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(g, "cut", told)
+    edges = spark.range(6).selectExpr("id AS src", "id + 1 AS dst").union(spark.range(1).selectExpr("6L", "2L"))
+    own = spark.range(7).selectExpr("id AS node", "shiftleft(1L, CAST(id AS INT)) AS caps")
+    starts = spark.createDataFrame([(0,), (5,)], "start long")
+    caps = {r.node: r.caps for r in g.propagate_caps(edges, own).where("converged").collect()}
+    assert caps == {0: 127, 1: 126, **dict.fromkeys(range(2, 7), 124)}
+    assert {(r.start, r.node, r.depth) for r in g.reach(edges, starts).collect()} == {(0, i, i) for i in range(7)} | {(5, 5, 0), (5, 6, 1), (5, 2, 2), (5, 3, 3), (5, 4, 4)}
+    assert {(r.node, r.depth) for r in g.distances(edges, starts).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0), (6, 1)}
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+    assert sum(p.count("Range (0, 6") > 0 for p in plans) == 3
