@@ -12,21 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
-from .graph import batches, scc
+from ..plans.storage import apart, cut, cut_and_told, packed
+from .graph import between_components, levels, scc
 
 _NONE = "component long, caps long"
 
 
 def plan(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, component), (component, level), calls between components (a, b). Nodes without calls are components of level 0."""
-    e = edges.select("src", "dst").distinct()
-    found = scc(e)
-    all_ = nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    member = cut(all_.unionByName(found.join(nodes.select("node").distinct(), "node", "left_anti").select("node", "component")))
-    between = e.join(member.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-    between = cut(between.where("a <> b").select("a", "b").distinct())
-    return member, cut(batches(e, member)), between
+    e = packed(edges.select("src", "dst").distinct())
+    member = cut(nodes.select("node").distinct().join(apart(scc(e)), "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    between = between_components(e, member)
+    return member, levels(between, member), between
 
 
 def evaluate(own: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame], before: DataFrame | None = None, dirty: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
@@ -35,34 +32,47 @@ def evaluate(own: DataFrame, planned: tuple[DataFrame, DataFrame, DataFrame], be
     own (node, caps); before (component, caps) with dirty (component) for a run after an edit; without them every component is evaluated. Levels without dirty components cost nothing.
     """
     member, level, between = planned
-    base = cut(member.join(own.groupBy("node").agg(F.bit_or("caps").alias("caps")), "node", "left").groupBy("component").agg(F.coalesce(F.bit_or("caps"), F.lit(0)).alias("own")).join(level, "component"))
+    base = member.join(apart(own.groupBy("node").agg(F.bit_or("caps").alias("caps"))), "node", "left").groupBy("component").agg(F.coalesce(F.bit_or("caps"), F.lit(0)).alias("own")).join(apart(level), "component")
     kept = before if before is not None else own.sparkSession.createDataFrame([], _NONE)
-    due = level.select("component", "level") if dirty is None else cut(level.join(dirty.select("component").distinct(), "component", "left_semi").select("component", "level"))
-    asked = {r.level for r in due.select("level").distinct().collect()}  # as many as the graph is deep
-    deepest = max((r.level for r in level.select("level").distinct().collect()), default=-1)
+    base = base.join(apart(kept.select("component", F.col("caps").alias("was"))), "component", "left")
+    due = F.lit(True) if dirty is None else F.col("_due").isNotNull()
+    base = base if dirty is None else base.join(apart(dirty.select("component").distinct().withColumn("_due", F.lit(True))), "component", "left")
+    base, told = cut_and_told(base.select("component", "own", "level", "was", due.alias("due")), F.max("level").alias("deepest"), F.collect_set(F.when(F.col("due"), F.col("level"))).alias("asked"))
+    asked = set(told["asked"])  # as many as the graph is deep
+    calls = packed(between.join(apart(level.select(F.col("component").alias("a"), "level")), "a")) if told["deepest"] else None
     done, report, moved = None, [], False
-    for low in range(deepest + 1):
+    for low in range((-1 if told["deepest"] is None else told["deepest"]) + 1):
         if low not in asked and not moved:
             continue
-        now = due.where(F.col("level") == low).select("component").distinct()
-        state = kept if done is None else kept.join(done.select("component"), "component", "left_anti").unionByName(done.select("component", "caps"))
-        callees = between.join(now.withColumnRenamed("component", "a"), "a", "left_semi").join(state.select(F.col("component").alias("b"), "caps"), "b")
-        got = base.join(now, "component", "left_semi").join(callees.groupBy(F.col("a").alias("component")).agg(F.bit_or("caps").alias("more")), "component", "left")
-        got = got.join(kept.select("component", F.col("caps").alias("was")), "component", "left")
-        got = cut(got.select("component", F.col("own").bitwiseOR(F.coalesce("more", F.lit(0))).alias("caps"), "was"))
-        changed = got.where("was IS NULL OR was <> caps")
-        n, k = got.agg(F.count(F.lit(1)), F.count_if(F.col("was").isNull() | (F.col("was") != F.col("caps")))).first()
-        if not n:
+        got = base.where(F.col("level") == low)
+        if low:
+            # each call is looked at on its caller's level alone: what the callee has by now, and whether that is new
+            lower = calls.where(F.col("level") == low).select("a", "b")
+            if dirty is not None and not moved:
+                lower = lower.join(apart(got.where("due").select(F.col("component").alias("a"))), "a", "left_semi")
+            if dirty is not None:
+                lower = lower.join(apart(kept.select(F.col("component").alias("b"), F.col("caps").alias("old"))), "b", "left")
+            now = F.lit(None).cast("long")
+            if done is not None:
+                lower, now = lower.join(apart(done.select(F.col("component").alias("b"), F.col("caps").alias("new"), F.coalesce(F.col("was") != F.col("caps"), F.lit(True)).alias("moved"))), "b", "left"), F.col("new")
+            caps = F.coalesce(now, F.col("old")) if dirty is not None else now
+            new = F.coalesce("moved", F.lit(False)) if done is not None else F.lit(False)
+            more = lower.groupBy(F.col("a").alias("component")).agg(F.bit_or(caps).alias("more"), F.bool_or(new).alias("moved"))
+            got = got.join(apart(more), "component", "left").where(F.col("due") | F.coalesce("moved", F.lit(False)))
+            got = got.select("component", F.col("own").bitwiseOR(F.coalesce("more", F.lit(0))).alias("caps"), "was")
+        else:
+            got = got.where("due").select("component", F.col("own").alias("caps"), "was")
+        got, told = cut_and_told(got, F.count(F.lit(1)).alias("n"), F.count_if(F.col("was").isNull() | (F.col("was") != F.col("caps"))).alias("k"))
+        if not told["n"]:
             continue
-        report.append((low, n, k))
+        report.append((low, told["n"], told["k"]))
         done = got if done is None else done.unionByName(got)
-        if dirty is not None and k:
-            moved = True
-            up = between.join(changed.select(F.col("component").alias("b")), "b", "left_semi").select(F.col("a").alias("component")).distinct()
-            due = due.unionByName(cut(level.join(up, "component", "left_semi").select("component", "level")))
+        moved = moved or dirty is not None and told["k"] > 0
+    state = kept.join(apart(level), "component", "left_semi").select("component", "caps") if dirty is not None else None
     if done is None:
-        return kept.join(level, "component", "left_semi").select("component", "caps"), report
-    return cut(kept.join(level, "component", "left_semi").join(done.select("component"), "component", "left_anti").select("component", "caps").unionByName(done.select("component", "caps"))), report
+        return (kept.select("component", "caps") if state is None else state), report
+    done = done.select("component", "caps")
+    return cut(done if state is None else state.join(apart(done.select("component")), "component", "left_anti").unionByName(done)), report
 
 
 def dirty_components(own: DataFrame, own_before: DataFrame, edges: DataFrame, edges_before: DataFrame, member: DataFrame, member_before: DataFrame) -> DataFrame:

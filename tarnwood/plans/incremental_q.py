@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental as inc
 from .registry import query
+from .storage import packed
 
 _OWN = "SELECT p_partkey AS node, CASE WHEN p_partkey % 9 = 0 THEN CAST(POWER(2, p_size % 21) AS BIGINT) ELSE 0 END AS caps FROM {part}"
 #: After an edit: some functions gained or lost capabilities, and some calls went.
@@ -33,9 +34,9 @@ def _(h):
 @query("g57_after_an_edit", _reach(f"(SELECT * FROM branching WHERE {_KEPT})", _EDITED))
 def _(h):
     """The state of a full run is brought up to date; only what an edit can reach is evaluated."""
-    own, edited, edges = _own(h), _own(h, _EDITED), h.branching.where(_KEPT)
-    planned = inc.plan(h.branching, own)
-    state, planned, _ = inc.rerun(edited, own, edges, h.branching, inc.evaluate(own, planned)[0], planned)
+    own, edited, calls = _own(h), _own(h, _EDITED), packed(h.branching)
+    planned = inc.plan(calls, own)
+    state, planned, _ = inc.rerun(edited, own, calls.where(_KEPT), calls, inc.evaluate(own, planned)[0], planned)
     return inc.by_node(state, planned[0])
 
 

@@ -135,3 +135,32 @@ def test_field_summaries(spark):
     params = spark.createDataFrame([(7, 0, 1), (7, 1, 3), (8, 0, 5)], "fid long, param long, value long")
     accesses = spark.createDataFrame([(7, 2, "f", False), (7, 2, "g", True), (7, 9, pt.ELEMENT, True), (7, 40, "none", True), (8, 6, "h", False), (8, 1, "other", False)], "fid long, base long, field string, is_write boolean")
     assert sorted(map(tuple, pt.field_summary(params, accesses, labels).collect())) == [(7, 0, ["f"], ["g"]), (7, 1, [], [pt.ELEMENT]), (8, 0, ["h"], [])]
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_level_costs_few_jobs(spark):
+    edges = [(i, j) for i in range(1, 9) for j in (i - 1, 0) if i != j] + [(20, 21), (21, 20), (21, 8)]
+    own = {i: 1 << i for i in (*range(9), 20, 21)}
+    e, o = frames(spark, edges, own)
+    planned, n = jobs_of(spark, "plan", lambda: inc.plan(e, o))
+    assert {r.component: r.level for r in planned[1].collect()} == {**{i: i for i in range(9)}, 20: 9}
+    (state, report), m = jobs_of(spark, "evaluate", lambda: inc.evaluate(o, planned))
+    assert {x.node: x.caps for x in inc.by_node(state, planned[0]).collect()} == full(edges, own, own) and [r[0] for r in report] == list(range(10))
+    assert n <= 80 and m <= 80, (n, m)
+
+
+def test_what_lies_on_no_cycle_and_mutual_calls_are_not_coloured(spark):
+    pairs = [(10 * i + a, 10 * i + b) for i in range(6) for a, b in ((1, 2), (2, 1))]
+    edges = [*pairs, *((10 * i + 11, 10 * i + 2) for i in range(5)), *((100 + i, 101 + i) for i in range(5)), (105, 51), (1, 200), (7, 7)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    got, n = jobs_of(spark, "scc", lambda: {x.node: x.component for x in g.scc(e, 0).collect()})
+    assert got == {x: x - x % 10 + 1 if x < 60 and x % 10 == 2 else x for p in edges for x in p}
+    assert n <= 100, n
