@@ -6,8 +6,9 @@ on the words that make sentences offend, and `locate` points at them. Features a
 and word beginnings of 3 to 8 letters, which carry a stem to other forms; all of them are kept, each in
 one of 2^BITS hashed places.
 
-The model is fitted on at most TRAIN_DOCS labelled rows of at most TRAIN_CHARS characters in all, in the order of a hash of their
-ids; that bound is what the driver holds. Everything else covers all rows and whole texts. The number of steps and the
+The model is fitted on all labelled rows of the chosen folds and on their whole texts. Up to DRIVER_CHARS of them are numbered and descended on the driver; beyond that they stay
+on the executors as blocks of numbers, and each step sends the weights out and adds up the blocks' gradients. Gradients are added as whole multiples of GRAIN, so
+the order in which tasks end changes nothing. The number of steps and the
 penalty were chosen by training on remainder 0 of the ids' hash and testing on remainder 2, and the other way round.
 
 Defined cases. Null, empty or wordless text: no sentence, score 0. Repeated rows: scored alike; null ids: scored and returned as null, `held_out` null too. Very long
@@ -18,19 +19,24 @@ and id are no inputs of a score. `score` and `locate` return the columns they na
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import pass_rows, rows_to_batch, small_batches
+from .common import discard, pass_rows, rows_to_batch, small_batches, stash
 
-#: Bounds of what is trained on.
-TRAIN_DOCS, TRAIN_CHARS = 20_000, 24_000_000
+#: Characters up to which the driver trains by itself; those of a block, and tasks that hold the blocks: each sends 2^BITS numbers a step.
+DRIVER_CHARS, BLOCK_CHARS, TASKS = 8_000_000, 12_000_000, 32
+#: Labelled ids up to which they are broadcast to the texts.
+BROADCAST_ROWS = 2_000_000
+GRAIN = 2.0**-30
 BITS, STEPS, PENALTY = 18, 200, 0.2
 THRESHOLD, OFFENDS = 0.7, 0.5
 #: The held-out third: this remainder of crc32(id) by 3.
@@ -98,35 +104,94 @@ class Model:
         return [(m.start() + len(m[0]) - len(m[0].lstrip()), m.start() + len(m[0].rstrip()), float(x)) for (m, _), x in zip(found, p, strict=True) if x >= least]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, folds: tuple[int, ...] = (0, 2)) -> Model:
-    """A model of the labelled rows whose ids' hash has one of these remainders."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int | None = None, train_chars: int | None = None, folds: tuple[int, ...] = (0, 2), driver_chars: int = DRIVER_CHARS) -> Model:
+    """A model of all labelled rows whose ids' hash has one of these remainders; train_docs and train_chars are for callers that want fewer, in the order of a hash of their ids."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
     known = known.where((F.crc32(F.col("id").cast("string")) % FOLDS).isin(*folds)).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    some = spark.createDataFrame(known.toPandas(), "id long, toxic int")  # at most train_docs rows of two numbers
-    sizes = texts.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.sum(F.length("text")).alias("chars")).toPandas()
-    if sizes.empty:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where((F.crc32(F.col("id").cast("string")) % FOLDS).isin(*folds))
+    if train_docs is not None or train_chars is not None:
+        known = _bounded(texts, known, train_docs, train_chars)
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    told = Observation()
+    rows = texts.join(known, "id").select("id", (F.col("toxic") > 0).cast("int").alias("y"), "text")
+    rows = stash(rows.observe(told, F.sum(F.length("text")).alias("chars"), F.max("y").alias("any")), "labelled")
+    if not told.get["any"]:
+        discard(rows)
         return Model()
-    sizes = sizes.merge(spark.createDataFrame(sizes[["id"]]).select("id", F.xxhash64("id").alias("at")).toPandas(), on="id").sort_values(["at", "id"])
+    chars = told.get["chars"] or 0
+    if chars <= driver_chars:
+        got = rows.mapInArrow(lambda batches: map(_bags, batches), _BAGS)
+        model = train(got.toArrow())
+    else:
+        n = min(TASKS, -(-chars // BLOCK_CHARS))
+        blocks = rows.coalesce(n).mapInArrow(_blocks, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.DISK_ONLY)
+        model = descend(lambda w, bias: _added(spark, blocks, w, bias))
+        blocks.unpersist()
+    discard(rows)
+    return model
+
+
+def _bounded(texts: DataFrame, known: DataFrame, train_docs: int | None, train_chars: int | None) -> DataFrame:
+    """As many of the labelled ids as the caller's bounds allow."""
+    if train_docs is not None:
+        known = known.orderBy(F.xxhash64("id"), "id").limit(train_docs)
+    if train_chars is None:
+        return known
+    sizes = texts.join(known, "id").groupBy("id", "toxic").agg(F.sum(F.length("text")).alias("chars")).withColumn("at", F.xxhash64("id")).toPandas().sort_values(["at", "id"])
     room, fits = train_chars, []
     for chars in sizes.chars.tolist():  # a row too long for what is left makes room for those after it
         fits.append(chars <= room)
         room -= chars * fits[-1]
-    sizes = sizes[fits]
-    if not (sizes.toxic > 0).any():
-        return Model()
-    chosen = spark.createDataFrame(sizes[["id", "toxic"]], "id long, toxic int")
+    return texts.sparkSession.createDataFrame(list(sizes[["id", "toxic"]][np.array(fits, dtype=bool)].itertuples(index=False, name=None)), "id long, toxic int")
 
-    def bags(batches):
-        for b in batches:
-            rows = [(d, int(y > 0), [sorted(s) for s in sentences(t)]) for d, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            yield rows_to_batch(rows, pa.schema([("id", pa.int64()), ("y", pa.int32()), ("sentences", pa.list_(pa.list_(pa.string())))]))
 
-    got = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text").mapInArrow(bags, "id long, y int, sentences array<array<string>>")
-    return train(got.toArrow())
+_BAGS = "id long, y int, sentences array<array<string>>"
+
+
+def _bags(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The distinct words of each sentence of (id, y, text)."""
+    rows = [(d, y, [sorted(s) for s in sentences(t)]) for d, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return rows_to_batch(rows, pa.schema([("id", pa.int64()), ("y", pa.int32()), ("sentences", pa.list_(pa.list_(pa.string())))]))
+
+
+def _blocks(batches):
+    """Numbered bags of bounded size, pickled: one row each."""
+    held, chars = [], 0
+
+    def block():
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(x if x.dtype == float else x.astype(np.int32) for x in numbered(pa.Table.from_batches(held))))], pa.binary())], names=["block"])
+
+    for b in batches:
+        held.append(_bags(b))
+        chars += b.column(2).nbytes
+        if chars >= BLOCK_CHARS:
+            yield block()
+            held, chars = [], 0
+    if held:
+        yield block()
+
+
+def _added(spark, blocks, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """The gradient over all blocks; the driver gets one vector a task."""
+    sent = spark.sparkContext.broadcast((weights, bias))
+
+    def run(some):
+        w, b = sent.value
+        total = np.zeros(len(w) + 1, dtype=np.int64)
+        for data in some:
+            _, by_weight, by_bias = loss_and_gradient(w, b, data)
+            total += np.rint(np.append(by_weight, by_bias) / GRAIN).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield at.astype(np.int32), total[at]
+
+    total = np.zeros(len(weights) + 1, dtype=np.int64)
+    for at, part in blocks.mapPartitions(run).collect():
+        total[at] += part
+    sent.destroy()
+    g = total * GRAIN
+    return g[:-1], g[-1]
 
 
 def numbered(bags: pa.Table) -> tuple[np.ndarray, ...]:
@@ -162,13 +227,17 @@ def loss_and_gradient(weights: np.ndarray, bias: float, data: tuple[np.ndarray,
 
 
 def train(bags: pa.Table, steps: int = STEPS, penalty: float = PENALTY) -> Model:
-    """Full-batch proximal Adam on (id, y, sentences): the loss and the penalty times the weights' absolute values, which keeps words of too few documents at 0."""
+    """The model of (id, y, sentences)."""
     data = numbered(bags)
+    return descend(lambda w, bias: loss_and_gradient(w, bias, data)[1:], steps, penalty)
+
+
+def descend(gradient, steps: int = STEPS, penalty: float = PENALTY) -> Model:
+    """Full-batch proximal Adam: the loss and the penalty times the weights' absolute values, which keeps words of too few documents at 0."""
     n, w, bias = 1 << BITS, np.zeros(1 << BITS), -5.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        _, by_weight, by_bias = loss_and_gradient(w, bias, data)
-        g = np.append(by_weight, by_bias)
+        g = np.append(*gradient(w, bias))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         rate = 0.1 / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
         move = rate * m / (1 - 0.9**step)

@@ -111,3 +111,23 @@ def test_query_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     got = op8_toxicity_mil(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.93 * len(got)
+
+
+def test_every_labelled_row_counts_and_blocks_give_the_same_model(planted, spark, monkeypatch):
+    from tarnwood.llm import toxicity
+
+    docs, labels = planted
+    whole = fit(docs, labels)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(toxicity, "STEPS", 200)
+    apart = fit(docs, labels, driver_chars=0)
+    assert apart.bias == pytest.approx(whole.bias, abs=1e-3) and np.abs(apart.weights - whole.weights).max() < 1e-3
+    assert (fit(docs, labels, driver_chars=0).weights == apart.weights).all()
+
+
+def test_rows_beyond_any_former_bound_are_learned_from(spark):
+    """The word of the rows whose ids' hash comes last is learned, however many rows come before."""
+    rows = spark.range(24_000 * 3 // 2).select(F.col("id").alias("doc_id"), F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.xxhash64("id"), "id")).alias("k"))
+    rows = rows.select("doc_id", F.when(F.col("k") > 34_000, "common vileword").otherwise("common word").alias("text"), (F.col("k") > 34_000).cast("int").alias("toxic")).cache()
+    model = fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    assert model.score("common vileword") > 0.9 and model.score("common word") < 0.1
