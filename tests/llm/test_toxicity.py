@@ -131,3 +131,23 @@ def test_rows_beyond_any_former_bound_are_learned_from(spark):
     rows = rows.select("doc_id", F.when(F.col("k") > 34_000, "common vileword").otherwise("common word").alias("text"), (F.col("k") > 34_000).cast("int").alias("toxic")).cache()
     model = fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
     assert model.score("common vileword") > 0.9 and model.score("common word") < 0.1
+
+
+def test_beginnings_are_numbered_once_and_no_more_tasks_than_cores_answer_a_step(planted, spark, monkeypatch):
+    from tarnwood.llm import toxicity
+
+    words = [f"beginning{i}" for i in range(500)]
+    data = numbered(pa.table({"id": [1], "y": pa.array([1], pa.int32()), "sentences": pa.array([[words]], pa.list_(pa.list_(pa.string())))}))
+    assert max(map(len, data)) <= 500 + 6 + 1  # six beginnings stand for all words
+    docs, labels = planted
+    seen, added = [], toxicity._added
+
+    def spied(*args):
+        seen.append(args[-3].getNumPartitions())
+        return added(*args)
+
+    monkeypatch.setattr(toxicity, "_added", spied)
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(toxicity, "descend", lambda gradient: Model(*[g for g in gradient(np.zeros(1 << BITS), -5.0)][::-1]))
+    got = fit(docs.repartition(16), labels, driver_chars=0)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism and got.weights.any()
