@@ -8,7 +8,8 @@ Tables
     imports    file, spec, and what else the caller carries
 
 Files are indexed by the paths under which an import may name them, so that each candidate is one equi-join. Enclosing packages and configurations are found by joining a folder's
-ancestors with their roots, the longest wins; aliases by joining the prefixes of a specifier with those of the patterns. Work is done once for each folder and specifier.
+ancestors with their roots, the longest wins; aliases by joining the prefixes of a specifier with those of the patterns. Work is done once for each folder and specifier: these and the
+index of the files are kept in the shared folder, so imports are passed over twice, to find them and to give each its verdict.
 
 Order: builtin, relative, alias (if a target exists), package, else unresolved. Defined cases: empty and null specifiers have no kind; paths that leave the root match nothing;
 a folder or specifier that a third of the imports share is joined by sort and merge, which the adaptive skew join parts;
@@ -24,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import packed
+
 #: Extensions that an import may leave out, in the order of their trial, and those tried for a specifier that names a script (fixed values).
 EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs")
 SCRIPT, TYPED = ("js", "jsx", "mjs", "cjs"), ("ts", "tsx", "mts", "cts")
@@ -71,7 +74,7 @@ def targets(files: DataFrame) -> DataFrame:
         return F.when(when, F.struct(candidate.alias("candidate"), rank.cast("int").alias("rank")))
 
     own = [name(path, F.lit(0), F.lit(True)), name(stem, nth, nth > 0), *[name(F.concat(stem, F.lit("." + s)), typed + 10, typed > 0) for s in SCRIPT], name(inside, nth + 20, is_index & (nth > 0))]
-    rows = files.select("path", F.explode(F.array_compact(F.array(*own))).alias("t"))
+    rows = files.select("path").distinct().select("path", F.explode(F.array_compact(F.array(*own))).alias("t"))
     return rows.groupBy("t.candidate").agg(F.min(F.struct("t.rank", "path"))["path"].alias("target"))
 
 
@@ -135,13 +138,13 @@ def resolve(imports: DataFrame, files: DataFrame, packages: DataFrame, exports:
     """imports with kind, resolved (a file or null) and package (of the file, or the one named)."""
     spec = F.col("spec")
     rows = imports.withColumn("folder", folder(F.col("file")))
-    asked = rows.where(F.length(spec) > 0).select("folder", "spec").distinct()
+    asked = packed(rows.where(F.length(spec) > 0).select("folder", "spec").distinct())
     builtin = F.regexp_replace(spec, "^node:", "").isin(*BUILTINS)
     relative = spec.rlike(r"^\.\.?(/|$)")
     # a builtin is no path
     local = asked.where(~builtin & relative).select("folder", "spec", normal(F.concat_ws("/", "folder", "spec")).alias("candidate"))
     other = asked.where(~builtin & ~relative)
-    index = targets(files)
+    index = packed(targets(files))
     found_local = local.join(index, "candidate").select("folder", "spec", "target")
     found_alias = alias_candidates(other, aliases).join(index, "candidate").groupBy("folder", "spec").agg(F.min(F.struct("order", "target"))["target"].alias("target"))
     by_name = package_candidates(other.select("spec").distinct(), packages, exports)
@@ -161,18 +164,21 @@ def namespace(resolved: Column, package: Column) -> Column:
     return F.when(package.isNotNull(), F.concat(package, F.lit("::"), resolved)).otherwise(resolved)
 
 
-def function_keys(bindings: DataFrame, packages: DataFrame) -> DataFrame:
+def function_keys(bindings: DataFrame, packages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """file, local, lang, namespace, name of the functions that resolved import bindings (file, local, exported, resolved) stand for.
 
-    Side effects, default and whole-module bindings name no function. The last of several bindings with one local name (largest `nth`) counts.
+    Side effects, default and whole-module bindings name no function. The last of several bindings with one local name (largest `nth`) counts. Where the files (path) are given, owners are
+    found for their folders, else for those of the last bindings; these are kept in the shared folder then, and bindings are passed over once either way.
     """
     named = bindings.where(F.col("resolved").isNotNull() & F.col("exported").isNotNull() & ~F.col("exported").isin("", "*", "default") & (F.col("local") != ""))
-    owner = enclosing(named.select(folder(F.col("resolved")).alias("folder")), packages, "name").select("folder", F.col("name").alias("owner"))
-    rows = named.withColumn("folder", folder(F.col("resolved"))).join(owner, "folder", "left")
     ext = F.regexp_extract("resolved", r"\.([^./]+)$", 1)
     lang = F.when(ext.isin("ts", "tsx", "mts", "cts"), "typescript").when(ext.isin("js", "jsx", "mjs", "cjs"), "javascript").otherwise(F.col("lang"))
-    last = F.max_by(F.struct(lang.alias("lang"), namespace(F.col("resolved"), F.col("owner")).alias("namespace"), F.col("exported").alias("name")), F.col("nth"))
-    return rows.groupBy("file", "local").agg(last.alias("k")).select("file", "local", "k.*")
+    last = named.groupBy("file", "local").agg(F.max_by(F.struct("resolved", "exported", "lang"), F.col("nth")).alias("k")).select("file", "local", "k.*")
+    last = packed(last) if files is None else last
+    folders = last.select(folder(F.col("resolved")).alias("folder")) if files is None else files.select(folder(F.col("path")).alias("folder"))
+    owner = enclosing(folders, packages, "name").select("folder", F.col("name").alias("owner"))
+    keyed = last.withColumn("folder", folder(F.col("resolved"))).join(owner, "folder", "left")
+    return keyed.select("file", "local", lang.alias("lang"), namespace(F.col("resolved"), F.col("owner")).alias("namespace"), F.col("exported").alias("name"))
 
 
 _SHIELD = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?(?:\*/|\Z)', re.S)

@@ -65,14 +65,14 @@ _KEYS = f"""{_PAIRS}, bound AS (SELECT i.file, i.local, i.exported, v.resolved,
 def _(h):
     files, packages, exports, aliases = _graph(h)
     bound = im.resolve(h.mod_imports, files, packages, exports, aliases).withColumn("lang", F.lit("javascript")).withColumn("nth", F.struct("nth", "resolved", "exported"))
-    return im.function_keys(bound, packages)
+    return im.function_keys(bound, packages, files)
 
 
 @query("s23_imports_by_namespace", f"""WITH {_KEYS} SELECT coalesce(o.owner || '::', '') || l.file AS caller, count(*) AS bindings, count(DISTINCT k[2]) AS modules FROM last l LEFT JOIN owner o ON o.path = l.file GROUP BY 1""")
 def _(h):
     files, packages, exports, aliases = _graph(h)
     bound = im.resolve(h.mod_imports, files, packages, exports, aliases).withColumn("lang", F.lit("javascript")).withColumn("nth", F.struct("nth", "resolved", "exported"))
-    keys = im.function_keys(bound, packages)
+    keys = im.function_keys(bound, packages, files)
     owner = im.enclosing(files.select(im.folder(F.col("path")).alias("folder")), packages, "name").select("folder", F.col("name").alias("owner"))
     own = keys.withColumn("folder", im.folder(F.col("file"))).join(owner, "folder", "left")
     return own.groupBy(im.namespace(F.col("file"), F.col("owner")).alias("caller")).agg(F.count(F.lit(1)).alias("bindings"), F.count_distinct("namespace").alias("modules"))

@@ -3,6 +3,8 @@
 import posixpath
 import random
 
+from pyspark.sql import functions as F
+
 from tarnwood.operators import imports as im
 
 
@@ -133,3 +135,27 @@ def test_manifests(spark):
     assert sorted(map(tuple, packages.collect())) == [("", "root", None, True), ("a", "x", "m.mjs", True)]
     assert sorted(((r.root, r.key, r.target) for r in exports.collect()), key=str) == [("", ".", "./i.js"), ("a", "./k", "./r.cjs"), ("a", "./u//v", "./w"), ("a", "node", None)]
     assert [tuple(r) for r in aliases.collect()] == [("b/tsconfig.json", "b", 0, "a", True, ["s/*"])]
+
+
+def test_imports_are_passed_over_twice(spark):
+    """Whatever the steps of the resolution are: once for the distinct folders and specifiers, once for the verdicts."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(len(b))
+            yield b
+
+    files = ["p/src/a.ts", "p/src/b.ts", "q/index.js"] * 3
+    rows = [("p/src/a.ts", i, f"v{i % 2}", "g", s) for i, s in enumerate(["./b", "q", "@/b", "fs", "../../.."] * 4)]
+    imports = spark.createDataFrame(rows, "file string, nth int, local string, exported string, spec string").mapInPandas(counted, "file string, nth int, local string, exported string, spec string")
+    packages = spark.createDataFrame([("p", "p", None, False), ("q", "q", None, False)], "root string, name string, main string, closed boolean")
+    exports = spark.createDataFrame([], "root string, nth int, key string, target string")
+    aliases = spark.createDataFrame([("p/tsconfig.json", "p/src", 0, "@/", True, ["*"])], "config string, base string, nth int, prefix string, wildcard boolean, targets array<string>")
+    paths = spark.createDataFrame([(f,) for f in files], "path string")
+    bound = im.resolve(imports, paths, packages, exports, aliases).withColumn("lang", F.lit("javascript"))
+    want = [("p/src/a.ts", "v0", "javascript", "q::q/index.js", "g"), ("p/src/a.ts", "v1", "typescript", "p::p/src/b.ts", "g")]
+    assert sorted(map(tuple, im.function_keys(bound, packages, paths).collect())) == want
+    assert passed.value <= 2 * len(rows)
+    assert sorted(map(tuple, im.function_keys(bound, packages).collect())) == want
+    assert passed.value <= 3 * len(rows)
