@@ -7,7 +7,8 @@ A pattern matches a node of its kind that stands in the relation to a node of th
 not_relation to a node of not_kind are suppressed. Relations: child, parent, descendant, ancestor, sibling (a later one).
 
 Intervals nest, so no pairs of nodes are formed: a node has an ancestor among some nodes if the running maximum of their ends reaches it, a descendant if the next of them begins before its own end;
-one window over a file each. Child, parent and sibling are equi-joins. The unit of a window is a file and a pattern.
+one window over a file each. Child, parent and sibling are equi-joins. The unit of a window is a file and a pattern. The nodes are kept in the shared folder: each relation reads them, and
+parsing or grouping what they come from is done once.
 
 Defined cases: null kinds match nothing, null texts only a null expression; a node is never its own relative; repeated nodes match alike; empty tables give no rows.
 """
@@ -19,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import packed
+
 RELATIONS = ("child", "parent", "descendant", "ancestor", "sibling")
 #: Patterns up to which they are broadcast; more are joined on the kind by a shuffle.
 FEW = 10_000
@@ -62,6 +65,14 @@ def _related(anchors: DataFrame, others: DataFrame) -> DataFrame:
 
 def matches(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, file, pre, one row for each matched node and pattern."""
+    return _matches(_kept(nodes), patterns)
+
+
+def _kept(nodes: DataFrame) -> DataFrame:
+    return packed(nodes.select("file", "pre", "post", "parent", "kind", "text"))
+
+
+def _matches(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
     at = ["pattern", "file", "pre"]
     free = _candidates(nodes, patterns.where("relation IS NULL"), "kind", "text", None).select(*at)
     anchors = _candidates(nodes, patterns.where("relation IS NOT NULL"), "kind", "text", "relation")
@@ -73,7 +84,8 @@ def matches(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def findings(nodes: DataFrame, patterns: DataFrame, *described: str) -> DataFrame:
     """Matches with the node's text and the columns that describe the pattern."""
-    hits = matches(nodes, patterns)
+    nodes = _kept(nodes)
+    hits = _matches(nodes, patterns)
     rows = hits.join(nodes.select("file", "pre", "text").distinct(), ["file", "pre"])
     p = patterns.select("pattern", *described)
     return rows.join(F.broadcast(p) if p.count() <= FEW else p, "pattern")

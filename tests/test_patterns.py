@@ -73,3 +73,20 @@ def test_pages(spark):
     few = [n for n in rows if n[0] in some]
     got = pa.matches(spark.createDataFrame(few, NODE), spark.createDataFrame(ON_PAGES, PATTERN))
     assert {tuple(x) for x in got.collect()} == brute(few, ON_PAGES)
+
+
+def test_nodes_are_made_once(spark):
+    """However many relations the patterns ask for."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            passed.add(len(b))
+            yield b
+
+    schema = "file long, pre long, post long, parent long, kind string, text string"
+    rows = [(1, 1, 4, None, "body", ""), (1, 2, 4, 1, "ul", ""), (1, 3, 3, 2, "p", ""), (1, 4, 4, 2, "p", "")]
+    nodes = spark.createDataFrame(rows, schema).mapInPandas(counted, schema)
+    got = pa.findings(nodes, spark.createDataFrame(ON_PAGES, PATTERN), "severity").collect()
+    assert sorted((r.pattern, r.pre) for r in got) == [("empty_list", 2), ("paragraph_runs", 3)]
+    assert passed.value == len(rows)
