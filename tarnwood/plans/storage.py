@@ -40,6 +40,12 @@ def packed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed_and_told(df: DataFrame, *what: Column) -> tuple[DataFrame, dict]:
+    """packed(df) and aggregates of it by name. A checkpoint hands on the optimiser's guess of its size, and a join multiplies its sides' guesses: over rounds of joins these numbers fill the driver. Files have their own size."""
+    seen = Observation()
+    return packed(df.observe(seen, *what)), seen.get
+
+
 def apart(df: DataFrame) -> DataFrame:
     """df as the side of a join that is sorted and merged: sizes of checkpoints are guesses, and a large one that is taken for small would go through the driver."""
     return df.hint("merge")
