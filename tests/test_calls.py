@@ -102,7 +102,7 @@ def test_alias_sets_shrink_from_round_to_round(spark, monkeypatch):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         out_df = out[0] if isinstance(out, tuple) else out
         rows.append(out_df.count())
-        known.append(out_df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+        known.append(out_df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
         assert sum(rows) <= 8 * 158  # eight times the nodes; told at once, as rounds that don't shrink are many
         return out
 
